@@ -132,7 +132,8 @@ def slow_base(text):
     return sorted(found)
 
 
-def test_base_spans(spark, sf):
+def test_base_spans(spark):
+    sf = "/root/testdata/sf0.01"
     given = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     hit = 0
     for r in op9_secrets(spark, sf).collect():
