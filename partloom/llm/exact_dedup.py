@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import text_or_empty
+from partloom.llm.common import cut, text_or_empty
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def classes(docs: DataFrame) -> DataFrame:
         F.max("keep_id").alias("keep_id"),
         F.when(F.count(F.lit(1)) == 1, F.max("group_size")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256"))).cast("long").alias("group_size"),
     )
+    groups = cut(groups)  # a table on each side lets adaptive execution split the rows of a hot text
     rows = keyed.select("doc_id", "content_hash", F.sha2("body", 256).alias("text_sha256"))
     joined = rows.join(groups, ["content_hash", "text_sha256"])
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
