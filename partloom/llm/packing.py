@@ -26,19 +26,22 @@ from partloom.llm.common import cut, text_or_empty
 
 WINDOW, END = 4096, 2
 #: Ids in a shard, about; words that a task remembers the ids of.
-SHARD, REMEMBERED = 3_000_000, 300_000
+SHARD, REMEMBERED = 3_000_000, 500_000
 K1, B = 1.2, 0.75
-#: A seed asks the index for so many of its own terms, those of the highest weight. It orders neighbours; none is left out.
+#: A seed asks the index for so many of its own terms, those of the highest weight.
 ASKED = 24
+#: Neighbours that a seed gets, and ties; if a window takes them all, it goes on with a new seed.
+NEAREST = 48
 _MARK = "\x01"
 # Lower-case words of these letters, ASCII digits and signs fall apart by this pattern as by the tokenizer's own.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _SIMPLE = re.compile(r"[!-@\[-`a-z{-~ß-öø-ÿ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _loaded: dict[str, _Words] = {}
 
 
 class _Words:
-    """A tokenizer that remembers the ids of words, as little-endian unsigned 16-bit numbers.
+    """A tokenizer that remembers the ids of words.
 
     No token of it spans white space, so a text's ids are those of its words. Plain words not met before go through its
     merges in one call for many: each word ends in a mark that stands for the vocabulary's end-of-word sign.
@@ -61,51 +64,67 @@ class _Words:
                 self.last[i] = sign.endswith("</w>")
                 ranks[bytes(byte_of[c] for c in sign.removesuffix("</w>")) + _MARK.encode() * bool(self.last[i])] = i
         self.merges = tiktoken.Encoding(name, pat_str=rf"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = []
-        for w in set(words):
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-            else:
-                new.append(w)
-        simple = [w for w in new if _SIMPLE.fullmatch(w)]
-        parts = [_PARTS.findall(w) for w in simple]
-        ids = np.array(self.merges.encode_ordinary("".join([p + _MARK for x in parts for p in x])), "<u2")
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(simple, (2 * (np.flatnonzero(self.last[ids]) + 1))[np.cumsum([len(x) for x in parts], dtype=np.int64) - 1].tolist(), strict=True):
-            self.known[w] = raw[start:end]
-            start = end
-        other = [w for w in new if w not in self.known]
-        self.known.update(zip(other, self.whole(other), strict=True))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = _Numbers()
+        self.ids, self.start = np.empty(0, np.uint16), np.zeros(1, np.int64)  # word n has ids[start[n]:start[n + 1]]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def learn(self) -> None:
+        """Ids of the words that got a number since the last time."""
+        new, self.number.new = self.number.new, []
+        parts = [(w,) if _LETTERS.fullmatch(w) else _PARTS.findall(w) if _SIMPLE.fullmatch(w) else None for w in new]
+        ids = np.array(self.merges.encode_ordinary("".join([p + _MARK for x in parts if x for p in x])), np.uint16)
+        sizes = np.array([len(x) if x else 0 for x in parts], np.int64)
+        ends = np.r_[0, np.flatnonzero(self.last[ids]) + 1][np.cumsum(sizes)]
+        lengths = np.diff(ends, prepend=0)
+        other = [i for i, x in enumerate(parts) if not x]
+        if other:
+            found = self.whole([new[i] for i in other])
+            ids = np.insert(ids, np.repeat(ends[other], [len(x) for x in found]), np.concatenate(found))
+            lengths[other] = [len(x) for x in found]
+        self.ids = np.r_[self.ids, ids]
+        self.start = np.r_[self.start, self.start[-1] + np.cumsum(lengths)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 128):
-            part = texts[at : at + 128]
+        for at in range(0, len(texts), 512):
+            part = texts[at : at + 512]
+            if len(self.number) > REMEMBERED:
+                self.forget()
             split = [t.lower().split() if _plain(t) else None for t in part]
             odd = iter(self.whole([t for t, words in zip(part, split, strict=True) if words is None]))
-            ids = [None if words is None else list(map(self.known.get, words)) for words in split]
-            new = [w for words, found in zip(split, ids, strict=True) if found and None in found for w, x in zip(words, found, strict=True) if x is None]
-            if new:
-                self.learn(new)
-            for words, found in zip(split, ids, strict=True):
-                if found is None:
-                    out.append(next(odd))
+            numbers = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) if words else _NONE for words in split]
+            if self.number.new:
+                self.learn()
+            for words, n in zip(split, numbers, strict=True):
+                if words is None:
+                    out.append(next(odd).tobytes())
                     continue
-                if None in found:
-                    found = [x if x is not None else self.known[w] for w, x in zip(words, found, strict=True)]
-                out.append(b"".join(found))
+                first, size = self.start[n], self.start[n + 1] - self.start[n]
+                ends = np.cumsum(size)
+                out.append(self.ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
         return out
 
 
+class _Numbers(dict):
+    """Words to numbers; a word not met before gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
+_NONE = np.empty(0, np.int64)
+
+
 def _plain(text: str) -> bool:
     """Whether lower-casing and splitting it in Python gives what the tokenizer's normalizer would."""
     try:
@@ -130,7 +149,7 @@ def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenized(docs: DataFrame, name: str) -> DataFrame:
-    """doc_id, ids (with the end mark), and in one row of each task the number of its documents that hold each id."""
+    """doc_id, ids (with the end mark), their number n, and in one row of each task the number of its documents that hold each id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << 16, np.int64)
@@ -139,11 +158,11 @@ def tokenized(docs: DataFrame, name: str) -> DataFrame:
             ids = [x + end for x in encode_batch(batch.column(1).to_pylist(), name)]
             for x in ids:
                 held[_counted(np.frombuffer(x, "<u2"))[0]] += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), _HELD)], names=["doc_id", "ids", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.nulls(len(ids), _HELD)], names=["doc_id", "ids", "n", "held"])
         some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([[{"id": a, "n": b} for a, b in zip(some.tolist(), held[some].tolist(), strict=True)]], _HELD)], names=["doc_id", "ids", "held"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([[{"id": a, "n": b} for a, b in zip(some.tolist(), held[some].tolist(), strict=True)]], _HELD)], names=["doc_id", "ids", "n", "held"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary, held array<struct<id:int,n:long>>")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, held array<struct<id:int,n:long>>")
 
 
 _HELD = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
@@ -216,6 +235,9 @@ def _neighbours(index: Index, seed: int, used: np.ndarray) -> list[int]:
     score[used] = 0
     score[seed] = 0
     some = np.flatnonzero(score > 0)
+    if len(some) > NEAREST:
+        least = np.partition(score[some], -NEAREST)[-NEAREST]
+        some = some[score[some] >= least]
     return some[np.lexsort((-some, score[some]))].tolist()
 
 
@@ -237,9 +259,8 @@ def _in_powers(pieces: list[tuple[int, int, int, int, int]], last: int, size: in
 def sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     all_rows = cut(tokenized(docs, tokenizer))
-    ids = all_rows.where(F.col("ids").isNotNull()).select("doc_id", "ids")
-    sizes = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
-    n_docs, n_ids = sizes[0], sizes[1] // 2
+    ids = all_rows.where(F.col("n").isNotNull()).select("doc_id", "ids")
+    n_docs, n_ids = all_rows.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # At most as many rows as the vocabulary, whatever the table's size.
     held = all_rows.where(F.col("held").isNotNull()).select(F.inline("held")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(1 << 16)
