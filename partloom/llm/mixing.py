@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partloom.llm.common import WORD, cut
+from partloom.llm.common import WORD, cut, parallelism
 
 WEIGHTS = (5, 2, 1)
 #: Words in a block, buckets that cut a source's stream for the running sums, slots that one task lists at a time.
@@ -74,8 +74,11 @@ def _tie() -> Column:
 
 
 def _taken_blocks(plan: DataFrame, shards: int) -> DataFrame:
-    """sid, block, round, shard: one row for every slot."""
-    chunks = plan.where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).repartition("sid", "chunk")
+    """sid, block, round, shard: one row for every slot.
+
+    Spark takes what is exploded for as small as what it came from, so joins with it ask for a merge: it is no broadcast.
+    """
+    chunks = plan.where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})"))).repartition(parallelism(plan.sparkSession), "sid", "chunk")
     slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")))
     divides = F.filter(F.array(*[F.lit(p).cast("long") for p in STRIDES]), lambda p: F.pmod(F.col("blocks"), p) != 0)
     strides = F.element_at(divides, (F.pmod(F.col("sid") + F.expr("slot div blocks"), F.size(divides)) + 1).cast("int"))
@@ -96,7 +99,7 @@ def taken(docs: DataFrame, block: int = BLOCK, shards: int = 64) -> DataFrame:
     placed, plan = _placed(docs, block, once=False)
     placed = cut(placed)
     times = _taken_blocks(plan, shards).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    words = _pieces(placed, block).join(times, ["sid", "block"]).groupBy("sid", "offset").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    words = _pieces(placed, block).join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "offset").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     words = words.select(F.col("sid").alias("w_sid"), F.col("offset").alias("w_offset"), "taken")
     out = placed.join(words, (F.col("size") > 0) & (F.col("sid") == F.col("w_sid")) & (F.col("offset") == F.col("w_offset")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -111,7 +114,7 @@ def mixed_rows(docs: DataFrame, block: int = BLOCK, shards: int = 64) -> DataFra
     """
     placed, plan = _placed(docs, block, once=True)
     placed = cut(placed)
-    got = _pieces(placed, block).join(_taken_blocks(plan, shards), ["sid", "block"])
+    got = _pieces(placed, block).join(_taken_blocks(plan, shards).hint("merge"), ["sid", "block"])
     got = got.groupBy("sid", "offset", "round").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs"))
     chosen = placed.where("size > 0").join(got, ["sid", "offset"]).select(F.col("doc_id").alias("id"), F.col("tie").alias("t"), (F.col("words") == F.col("size")).alias("whole"), "runs")
     named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
