@@ -66,3 +66,14 @@ PACKAGE_ALIASES = {
 }
 MOUNT_TOKENS = ("THT", "SMD", "SMT", "TH", "THROUGHHOLE", "SURFACEMOUNT")
 TOLERANCE_LETTERS = {"B": 0.1, "C": 0.25, "D": 0.5, "F": 1.0, "G": 2.0, "J": 5.0, "K": 10.0, "M": 20.0, "Z": 30.0}
+
+# The dossier: authority of sources, dollars for a unit of currency in ten-thousandths, risk of states in thousandths, weights of
+# lifecycle, stock, lead time, vendors, price trend and manufacturer, and function groups by keyword in this order
+SOURCE_RANK = {"manufacturer": 0, "distributor": 1, "mock": 2}
+DOSSIER_RATES = {"USD": 10000, "EUR": 10900, "GBP": 12700, "INR": 120, "JPY": 67, "CNY": 1400}
+DOSSIER_LIFECYCLE = {"Active": 0, "New": 0, "NRND": 300, "EOL": 600, "Last time buy": 800, "Obsolete": 1000, "Unknown": 500}
+DOSSIER_WEIGHTS = (40, 20, 15, 10, 10, 5)
+CATEGORY_GROUPS = {
+    "regulator": "power", "switching": "power", "transistor": "discrete", "mosfet": "discrete", "diode": "discrete", "microcontroller": "mcu", "microprocessor": "mcu", "op amp": "analog", "adc": "analog",
+    "dac": "analog", "switch": "analog", "transceiver": "comms", "bridge": "comms", "interface": "comms", "logic": "logic", "buffer": "logic", "register": "logic",
+}

@@ -275,3 +275,49 @@ SQL: dict[str, str] = {
     "header_fingerprint": "select user_id, substr(sha1(array_to_string(list_sort(list(distinct regexp_replace(lower(event_type), '[^a-z0-9]+', '', 'g'))), '|')), 1, 16) as fingerprint, count(distinct event_type)::int as headers from events group by user_id",
     "page_text_cells": r"select page_id, (pos - 1)::int as pos, trim(regexp_replace(cell, '<[^>]*>', ' ', 'g')) as cell from (select page_id, unnest(cells) as cell, generate_subscripts(cells, 1) as pos from (select page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) as cells from pages))",
 }
+
+_FACTS = ("mpn", "manufacturer", "description", "package", "lifecycle", "rohs", "reach")
+_CLAIMS = """claims as (select *, provider::varchar as source, ['manufacturer', 'distributor', 'mock'][provider + 1] as source_type, case when provider = 0 then 900 when part_id % 6 = 0 then 450 else 700 end as confidence from v_provider_part),
+ won as (select part_id, """ + ", ".join(f"min(provider) filter ({f} not in ('', 'Unknown') or ({f} = 'Unknown' and '{f}' <> 'lifecycle')) as p_{f}, arg_min({f}, provider) filter ({f} not in ('', 'Unknown') or ({f} = 'Unknown' and '{f}' <> 'lifecycle')) as w_{f}" for f in _FACTS) + """ from claims group by part_id),
+ judged as (select c.*, """ + " + ".join(f"({f} <> '')::int" for f in _FACTS) + " as claimed, " + " + ".join(f"coalesce({f} <> '' and {f} <> w_{f}, false)::int" for f in _FACTS) + " as contested, " + " + ".join(f"coalesce({f} <> '' and {f} <> w_{f} and provider >= p_{f}, false)::int" for f in _FACTS) + """ as conflicts from claims c join won using (part_id))"""
+
+
+def _with_more(ctes: str, sql: str) -> str:
+    """The views that the query needs, its own tables after them, and the query."""
+    made = with_views(f"{ctes} {sql}")
+    return made.replace(f" {ctes} {sql}", f", {ctes} {sql}")
+
+
+SQL |= {
+    "fact_merge": _with_more(_CLAIMS, "select part_id, " + ", ".join(f"coalesce(any_value(w_{f}), '') as {f}" for f in _FACTS) + """, coalesce(any_value(p_lifecycle)::varchar, '') as lifecycle_source, sum(conflicts)::bigint as conflicts,
+        ((2 * 85 * sum(confidence * [6, 3, 2][provider + 1]) + 100 * sum([6, 3, 2][provider + 1])) // (200 * sum([6, 3, 2][provider + 1])))::bigint as confidence from judged join won using (part_id) group by part_id"""),
+    "fact_evidence": _with_more(_CLAIMS, """select part_id, source, claimed, contested, conflicts,
+        case when claimed = 0 then 'unknown' when source_type = 'mock' then case when contested > 0 then 'unknown' else 'verified' end when contested > 0 then 'conflicting' when confidence >= 500 then 'verified' else 'unknown' end as status from judged"""),
+    "source_offers": with_views(f"""select part_id, region, supp_id, available, (unit_micro * coalesce({_case('currency', C.DOSSIER_RATES)}, 10000) + 500000) // 1000000 * 100 as usd_micro from (
+        select part_id, region, currency, coalesce(min(supp_id) filter (stock > 0), min(supp_id)) as supp_id, max(stock) > 0 as available from v_offer group by all) join v_price_break using (part_id, supp_id) where break_qty = 1"""),
+    "part_risk": _with_more(
+        f"""vendor as (select part_id, supp_id, count(*) as points, count(*) filter (checked_at >= timestamp '2000-06-01') as seen, coalesce(sum(available_qty) filter (available and checked_at >= timestamp '2000-06-01'), 0) as qty,
+          bool_or(available and checked_at >= timestamp '2000-06-01') as held, first(min_price_micro order by checked_at, min_price_micro, available_qty) as a, last(min_price_micro order by checked_at, min_price_micro, available_qty) as z from v_snapshot group by all),
+        told as (select vendor.*, case when points >= 2 then floor(((z - a) * 2000 + a)::double / (a * 2)) end as moved, case when stock <= 0 then (factory_lead_days * 200 + 7) // 14 end as weeks from vendor left join v_offer using (part_id, supp_id)),
+        folded as (select part_id, sum(seen) as seen, sum(qty) as qty, count(*) filter (held) as vendors, sum(moved) as change, count(moved) as n_moved, sum(weeks * seen) as weeks, coalesce(sum(seen) filter (weeks is not null), 0) as timed from told group by part_id),
+        shares as (select p.part_id, ({_case('lifecycle', C.DOSSIER_LIFECYCLE)})::bigint as lifecycle_risk,
+          (case when seen > 0 then 1000 - least(1000, qty) when seen = 0 then 500 else 800 end)::bigint as stock_risk,
+          (case when seen > 0 and timed > 0 then least(1000, (weeks * 2000 + timed * 5200) // (timed * 10400)) when seen > 0 then 800 when seen = 0 then 500 else 900 end)::bigint as lead_risk,
+          (case when vendors >= 3 then 0 when vendors = 2 then 400 when vendors = 1 then 700 else 1000 end)::bigint as vendor_risk,
+          (case when n_moved > 0 then case when change > n_moved * 50 then 900 else 200 end else 500 end)::bigint as trend_risk, (case when manufacturer = '' then 1000 else 0 end)::bigint as maker_risk
+          from v_part p left join folded using (part_id)),
+        rated as (select *, (lifecycle_risk * 40 + stock_risk * 20 + lead_risk * 15 + vendor_risk * 10 + trend_risk * 10 + maker_risk * 5 + 500) // 1000 as score from shares)""",
+        "select *, case when score < 25 then 'LOW' when score < 50 then 'MEDIUM' when score < 75 then 'HIGH' else 'CRITICAL' end as level from rated",
+    ),
+    "replacements_topk": _with_more(
+        f"""traits as (select p.part_id, upper(mpn) as mpn, lower(category) as category, regexp_replace(upper(package), '[- ]', '', 'g') as package, (p.part_id % 3)::int as v, ({_case('lifecycle', C.DOSSIER_LIFECYCLE)}) as risk, coalesce(s.n, 0) > 0 as available
+          from v_part p left join (select part_id, sum(stock) as n from v_offer group by part_id) s using (part_id)),
+        pairs as (select t.part_id, c.part_id as candidate_id, c.mpn, t.package = c.package as same, t.v = 0 or c.v = 0 or t.v = c.v or (t.v = 2 and c.v = 1) as volts, c.v as cv, t.v as tv, c.risk, c.available from traits t join traits c on t.category = c.category and t.mpn <> c.mpn),
+        kinds as (select *, same and volts and (tv = 0 or cv <> 0) as drop_in, (least(100000, 50000 + same::int * 25000 + case when volts then 10000 else 3500 end + 20000 + (1000 - risk) * 5 + case when available then 5000 else 3000 end) + 50) // 100 as s0 from pairs),
+        scores as (select *, case when drop_in and cv = 0 then (s0 * 8 + 5) // 10 else s0 end as s1 from kinds),
+        finals as (select part_id, candidate_id, mpn, case when drop_in then 'DROP_IN' else 'FUNCTIONAL' end as kind, (case when risk > 0 then (s1 * (100000 - risk * 15) + 50000) // 100000 else s1 end)::bigint as score from scores)""",
+        "select part_id, row_number() over (partition by part_id order by kind, score desc, mpn, candidate_id)::int as place, candidate_id, kind, score from finals qualify row_number() over (partition by part_id order by kind, score desc, mpn, candidate_id) <= 12",
+    ),
+    "quote_rows": _scored(f"select l.bom_id, l.source_row, l.mpn, l.manufacturer, s.required as quantity from scored s join v_bom_line l using (bom_id, source_row) where not l.dnp and {mpn_key('l.mpn')} <> ''"),
+    "compliance_exceptions": _scored("select bom_id, source_row, part_id, rohs, reach, eccn from scored where coalesce(not (rohs = 'Compliant' and reach in ('Compliant', 'Unknown') and eccn = 'EAR99'), true)"),
+}

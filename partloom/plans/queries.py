@@ -12,8 +12,9 @@ from partloom.functions import money as M
 from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, cost, history, lines, match, risk
+from partloom.operators import alternates, catalogue, cost, evidence, history, lines, match, replacements, risk
 from partloom.plans import analysis
+from partloom.sinks import files
 from partloom.sources.views import Frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,3 +308,50 @@ def page_text_cells(v: Frames) -> DataFrame:
     """Cells of web pages: tags stripped to blanks, as for tables in HTML files."""
     cells = F.regexp_extract_all(F.col("html"), F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))
     return v["pages"].select("page_id", F.posexplode(cells).alias("pos", "cell")).select("page_id", "pos", F.trim(F.regexp_replace("cell", "<[^>]*>", " ")).alias("cell"))
+
+
+def _claims(v: Frames) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("manufacturer"), F.lit("distributor"), F.lit("mock")), F.col("provider") + 1)
+    sure = F.when(F.col("provider") == 0, 900).when(F.col("part_id") % 6 == 0, 450).otherwise(700)
+    return v["v_provider_part"].withColumns({"source": F.col("provider").cast("string"), "source_type": kind, "confidence": sure})
+
+
+@query
+def fact_merge(v: Frames) -> DataFrame:
+    return evidence.merged_facts(_claims(v))
+
+
+@query
+def fact_evidence(v: Frames) -> DataFrame:
+    return evidence.evidence(_claims(v))
+
+
+@query
+def source_offers(v: Frames) -> DataFrame:
+    """A region stands for a distributor that several sources list."""
+    price = v["v_price_break"].where("break_qty = 1").select("part_id", "supp_id", "unit_micro")
+    offers = v["v_offer"].withColumn("available", F.col("stock") > 0)
+    got = evidence.first_available(offers, ["part_id", "region"], "supp_id").join(price, ["part_id", "supp_id"])
+    return got.select("part_id", "region", "supp_id", "available", evidence.dossier_usd(F.col("unit_micro"), F.col("currency")).alias("usd_micro"))
+
+
+@query
+def part_risk(v: Frames) -> DataFrame:
+    return evidence.part_risk(v["v_part"], v["v_snapshot"], v["v_offer"], "2000-06-01")
+
+
+@query
+def replacements_topk(v: Frames) -> DataFrame:
+    volts = F.when(F.col("part_id") % 3 == 1, "3-5").when(F.col("part_id") % 3 == 2, "4 V").otherwise("")
+    stock = v["v_offer"].groupBy("part_id").agg((F.sum("stock") > 0).alias("available"))
+    return replacements.best(v["v_part"].withColumn("voltage", volts).join(stock, "part_id", "left").fillna(False, ["available"]))
+
+
+@query
+def quote_rows(v: Frames) -> DataFrame:
+    return files.quote_rows(analysis.scored_lines(v))
+
+
+@query
+def compliance_exceptions(v: Frames) -> DataFrame:
+    return files.compliance_exceptions(analysis.scored_lines(v))

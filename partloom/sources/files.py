@@ -1,0 +1,217 @@
+"""Spreadsheets and tables in files as rows of text cells: delimited text, JSON, HTML, XML, xlsx and ods.
+
+Spark lists the files and deals them to tasks; a helper reads one file, and every cell stays text, so 0402 and 1E5 are kept.
+Files of 0 bytes or over `MOST_BYTES` are left out, which bounds a task's memory; rows and columns are not capped.
+"""
+
+from __future__ import annotations
+
+import csv
+import datetime
+import html
+import io
+import json
+import re
+import zipfile
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partloom.functions.text import clean
+
+MOST_BYTES = 200 * 1024 * 1024
+Grid = list[list[str]]
+# Where JSON keeps its rows, what separates cells, number formats that are dates, encodings tried.
+JSON_LISTS = ("lines", "bom", "items", "parts", "rows", "data", "components", "BomLines")
+DELIMITERS = (",", ";", "\t", "|", "^", ":")
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+ENCODINGS = ("utf-8", "cp1252", "latin-1")
+
+
+def kind_of(path: str, raw: bytes) -> str:
+    """The format by the first bytes, else by the name's end."""
+    head = raw[:1024].lstrip(b"\xef\xbb\xbf \t\r\n").lower()
+    if raw[:2] == b"PK":
+        return "ods" if b"opendocument" in raw[:200] else "xlsx"
+    if head[:5] == b"<html" or head[:9] == b"<!doctype" or b"<table" in head:
+        return "html"
+    if head[:1] in b"{[" and head:
+        return "json"
+    if head[:1] == b"<":
+        return "xml"
+    return "html" if path.lower().endswith((".html", ".htm")) else "text"
+
+
+def decoded(raw: bytes) -> str:
+    """Text in the encoding that its marks or its zero bytes tell, else the first that fits; line ends become plain."""
+    odd, even = raw[1:4000:2].count(0), raw[0:4000:2].count(0)
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        text = raw.decode("utf-16", "replace")
+    elif odd + even > 0.2 * len(raw[:4000]):
+        text = raw.decode("utf-16-le" if odd > even else "utf-16-be", "replace")
+    else:
+        text = next((raw.decode(e) for e in ENCODINGS if _fits(raw, e)), "")
+    return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+
+
+def _fits(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _delimited(text: str) -> Grid:
+    first = [x for x in text.split("\n")[:50] if x.strip()]
+
+    def regular(sep: str) -> float:
+        mode, n = Counter(len(r) for r in csv.reader(first, delimiter=sep)).most_common(1)[0] if first else (1, 0)
+        return 10 * n / len(first) + 0.4 * min(mode, 30) if mode > 1 else 0
+
+    best = max(DELIMITERS, key=regular)
+    return list(csv.reader(io.StringIO(text), delimiter=best, skipinitialspace=True))
+
+
+def _json(text: str) -> Grid:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        found = [json.loads(x) for x in text.split("\n") if x.strip()]  # an object a line
+    if isinstance(found, dict):
+        listed = next((found[k] for k in JSON_LISTS if isinstance(found.get(k), list)), None)
+        found = listed if listed is not None else list(found.values()) if found and all(isinstance(x, dict) for x in found.values()) else [found]
+    rows = [x for x in found if isinstance(x, dict)]
+    if not rows:
+        return [[_cell(c) for c in (x if isinstance(x, list) else [x])] for x in found]
+    names = list(dict.fromkeys(k for x in rows for k in x))
+    return [names, *[[_cell(x.get(k)) for k in names] for x in rows]]
+
+
+def _cell(x: object) -> str:
+    if x is None:
+        return ""
+    if isinstance(x, bool):
+        return str(x).upper()
+    return json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list)) else str(x)
+
+
+def _html(text: str) -> list[Grid]:
+    text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ", text)
+    bare = lambda x: html.unescape(re.sub(r"(?s)<[^>]*>", " ", x)).strip()
+    rows = lambda t: [[bare(c) for c in re.findall(r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dhr]\b|$)", r)] for r in re.split(r"(?i)<tr\b[^>]*>", t)[1:]]
+    return sorted((rows(t) for t in re.findall(r"(?is)<table\b.*?(?:</table>|$)", text) or [text]), key=len, reverse=True)
+
+
+def _xml(raw: bytes) -> Grid:
+    """The most frequent repeated child is the record; its attributes and children are columns."""
+    root = ElementTree.fromstring(raw)
+    tag, times = Counter((p.tag, c.tag) for p in root.iter() for c in p).most_common(1)[0] if len(root) else (("", root.tag), 1)
+    plain = lambda x: x.rpartition("}")[2]
+    of = lambda e: {plain(k): v for k, v in e.attrib.items()} | {plain(c.tag): "".join(c.itertext()).strip() for c in e}
+    repeated = Counter(c.tag for p in root.iter() for c in p if len(c) or c.attrib)
+    record = repeated.most_common(1)[0][0] if repeated else tag[1]
+    rows = [of(e) for e in root.iter(record)]
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    return [names, *[[r.get(k, "") for k in names] for r in rows]]
+
+
+def _xlsx(raw: bytes) -> list[tuple[str, Grid]]:
+    """Sheets in order, visible ones first. Cells left out and rows skipped are blank; errors are blank; dates are ISO."""
+    box = zipfile.ZipFile(io.BytesIO(raw))
+    part = lambda name: ElementTree.fromstring(box.read(name)) if name in box.namelist() else ElementTree.Element("none")
+    shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in part("xl/sharedStrings.xml")]
+    styles = part("xl/styles.xml")
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter() if f.tag.endswith("}numFmt")}
+    dates = DATE_FORMATS | {i for i, f in own.items() if re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.lower()))}
+    formats = [int(x.get("numFmtId", 0)) in dates for xfs in styles if xfs.tag.endswith("}cellXfs") for x in xfs]
+    target = {r.get("Id"): r.get("Target", "").removeprefix("/xl/") for r in part("xl/_rels/workbook.xml.rels")}
+    sheets = [s for s in part("xl/workbook.xml").iter() if s.tag.endswith("}sheet")]
+
+    def value(c: ElementTree.Element) -> str:
+        kind, v = c.get("t"), next((x.text or "" for x in c if x.tag.endswith("}v")), "")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in c.iter() if t.tag.endswith("}t"))
+        if kind == "s":
+            return shared[int(v)]
+        if kind in ("b", "e"):
+            return {"1": "TRUE", "0": "FALSE"}[v] if kind == "b" else ""
+        style = int(c.get("s", 0))
+        if v and kind is None and style < len(formats) and formats[style]:
+            at = datetime.datetime(1899, 12, 30) + datetime.timedelta(days=float(v))
+            return (at.date() if at.time() == datetime.time() else at).isoformat()
+        return v.removesuffix(".0")
+
+    def grid(root: ElementTree.Element) -> Grid:
+        rows: Grid = []
+        for r in (x for x in root.iter() if x.tag.endswith("}row")):
+            rows += [[] for _ in range(int(r.get("r", len(rows) + 1)) - 1 - len(rows))]
+            row: list[str] = []
+            for c in r:
+                letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                at = len(row)
+                if letters:
+                    at = 0
+                    for x in letters:
+                        at = at * 26 + ord(x) - 64
+                    at -= 1
+                row += [""] * (at - len(row)) + [value(c)]
+            rows.append(row)
+        return rows
+
+    rel = lambda s: next(v for k, v in s.attrib.items() if k.endswith("}id"))
+    return [(s.get("name"), grid(part("xl/" + target[rel(s)]))) for s in sorted(sheets, key=lambda s: s.get("state", "visible") != "visible")]
+
+
+def _ods(raw: bytes) -> list[tuple[str, Grid]]:
+    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("content.xml"))
+    name = lambda e: e.tag.rpartition("}")[2]
+    of = lambda e, key: next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == key), "")
+
+    def row(r: ElementTree.Element) -> list[str]:
+        cells: list[str] = []
+        for c in r:
+            text = "\n".join("".join(p.itertext()) for p in c if name(p) == "p")
+            cells += [of(c, "value") or text] * int(of(c, "number-columns-repeated") or 1) if text else [""] * min(512, int(of(c, "number-columns-repeated") or 1))
+        while cells and not cells[-1]:
+            cells.pop()
+        return cells
+
+    found = []
+    for t in (e for e in root.iter() if name(e) == "table"):
+        rows: Grid = []
+        for r in (e for e in t.iter() if name(e) == "table-row"):
+            rows += [row(r)] * min(1000, int(of(r, "number-rows-repeated") or 1))  # sheets end in a repeated blank row
+        found.append((of(t, "name"), rows))
+    return found
+
+
+def sheets_of(path: str, raw: bytes) -> list[tuple[str, Grid]]:
+    kind = kind_of(path, raw)
+    if kind in ("xlsx", "ods"):
+        return _xlsx(raw) if kind == "xlsx" else _ods(raw)
+    if kind == "html":
+        return [(f"table {i + 1}", g) for i, g in enumerate(_html(decoded(raw)))]
+    return [("", _xml(raw) if kind == "xml" else _json(decoded(raw)) if kind == "json" else _delimited(decoded(raw)))]
+
+
+def read_grids(spark: SparkSession, path: str) -> DataFrame:
+    """file, sheet, sheet_no, row_no (from 1), cells (cleaned) of every row that has a cell filled; error, where a file can't be read."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, raw in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows = [(file, s, n, i + 1, r, None) for n, (s, g) in enumerate(sheets_of(file, raw)) for i, r in enumerate(g)]
+                except (ValueError, KeyError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows = [(file, "", 0, 0, [], f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["file", "sheet", "sheet_no", "row_no", "cells", "error"])
+
+    found = spark.read.format("binaryFile").load(path).where(F.col("length").between(1, MOST_BYTES)).select("path", "content")
+    rows = found.mapInPandas(run, "file string, sheet string, sheet_no int, row_no int, cells array<string>, error string")
+    rows = rows.withColumn("cells", F.transform("cells", clean))
+    return rows.where(F.exists("cells", lambda c: c != "") | F.col("error").isNotNull())
