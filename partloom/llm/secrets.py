@@ -1,9 +1,11 @@
 """Secrets in texts and in what is encoded inside them.
 
-A worklist starts with the text itself. Each layer is scanned, and every run in it that is URL-encoded, written in
-Unicode escapes or character references, or base64 of readable text or of a compressed stream is unwrapped into a layer of
-its own, until nothing new comes up. A layer already seen in the document is not entered again, so cycles end. What a
-layer inside the text holds is reported at the place of the encoded run in the text.
+The text is scanned, and every run in it that is URL-encoded, written in Unicode escapes or character references, or
+base64 is unwrapped into layers of its own, until nothing new comes up. Bytes become text whatever they hold, and each
+compressed stream in them is a layer too. Base64 is read from each of its four alignments, so that a value behind other
+characters of the alphabet (a path, a name) is met, and also over line ends. A content is scanned once in a document;
+what it holds, with all layers inside it, is reported at each place of the text where it is encoded. Wrapped base64 is
+reported as a whole where its lines alone don't hold the same.
 
 Defined results: a null text is empty and has no spans; repeated rows each get a row; texts of any length are read whole;
 an empty table gives an empty result. A compressed stream that unpacks to more than `largest` bytes isn't entered.
@@ -12,7 +14,6 @@ an empty table gives an empty result. A compressed stream that unpacks to more t
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
@@ -34,7 +35,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # shorter runs fail, and no later st
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]?[0-9A-Fa-f]+;")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What the shortest secret takes in base64.
+_SHORTEST = 16
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{_SHORTEST},}}={{0,2}}")
+#: Base64 that goes on over whole lines.
+_WRAPPED = re.compile(rf"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{_SHORTEST},}}+(?:[ \t]*+\r?\n[ \t>#*]*+[A-Za-z0-9+/_-]++(?=={{0,2}}[ \t]*+(?:[\r\n"'<>`,;)]|\Z)))+={{0,2}}""")
+_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+_STANDARD = str.maketrans("-_", "+/")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 _EDGE = re.compile(r"[\s\"'<>`]")
 Span = tuple[int, int, int]  # start, kind's number, end
 
@@ -76,73 +84,103 @@ def _unescape(run: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def _unpack(raw: bytes, largest: int) -> bytes | None:
-    """raw without its compression; None if it has none, is damaged or too large."""
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        tool = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = tool.decompress(raw, largest + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return out if len(out) <= largest else None
-
-
-def _from_base64(run: str, largest: int) -> str | None:
-    body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    while (inner := _unpack(raw, largest)) is not None:
-        raw = inner
-    return _readable(raw)
+def _unpack(raw: memoryview, largest: int) -> tuple[bytes, int] | None:
+    """What the compressed streams at the start of raw unpack to, one after the other, and the bytes they take; None if
+    the first is damaged or all are too large."""
+    out, size, rest = [], 0, raw
+    while m := _PACKED.match(rest):
+        tool = bz2.BZ2Decompressor() if m[0][:1] == b"B" else lzma.LZMADecompressor() if m[0][:1] == b"\xfd" else zlib.decompressobj(47)
+        try:
+            out.append(tool.decompress(rest, largest + 1 - size))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        size += len(out[-1])
+        if size > largest:
+            return None
+        rest = tool.unused_data.lstrip(b"\0")
+    return (b"".join(out), len(raw) - len(rest)) if out else None
+
+
+def _contents(raw: bytes, largest: int) -> Iterator[str]:
+    """The bytes as text, and what the compressed streams in them unpack to, stream in stream."""
+    seen, work = set(), [raw]
+    while work:
+        raw = work.pop()
+        if raw in seen:
+            continue
+        seen.add(raw)
+        yield raw.decode("utf-8", "replace")
+        end = 0
+        for m in _PACKED.finditer(raw):
+            if m.start() >= end and (got := _unpack(memoryview(raw)[m.start() :], largest)):
+                work.append(got[0])
+                end = m.start() + got[1]
+
+
+def _from_base64(run: str, largest: int) -> Iterator[str]:
+    body = run.translate(_STANDARD)
+    for at in range(min(4, len(body) - _SHORTEST + 1)):
+        part = body[at : len(body) - ((len(body) - at) % 4 == 1)]
+        yield from _contents(base64.b64decode(part + "=" * (-len(part) % 4)), largest)
 
 
 def layers(text: str, largest: int) -> Iterator[tuple[int, int, str]]:
     """start, end, content of what is encoded in the text, one level deep."""
     if "%" in text:
         for s, e in _runs(text, _PERCENT):
-            raw = unquote_to_bytes(text[s:e])
-            yield s, e, raw.decode("utf-8", "replace")
+            yield from ((s, e, inner) for inner in _contents(unquote_to_bytes(text[s:e]), largest))
     if "\\" in text or "&#" in text:
         for s, e in _runs(text, _ESCAPE):
-            yield s, e, _unescape(text[s:e])
+            inner = _unescape(text[s:e])
+            yield s, e, inner
+            if inner.isascii():
+                continue
+            try:
+                raw = inner.encode("latin-1")
+            except UnicodeEncodeError:
+                continue
+            yield from ((s, e, deeper) for deeper in _contents(raw, largest))
     for m in _BASE64.finditer(text):
-        if (inner := _from_base64(m[0], largest)) is not None:
-            yield m.start(), m.end(), inner
+        yield from ((m.start(), m.end(), inner) for inner in _from_base64(m[0].rstrip("="), largest))
+    for m in _WRAPPED.finditer(text):
+        yield from ((m.start(), m.end(), inner) for inner in _from_base64(_NOT_BASE64.sub("", m[0]), largest))
 
 
 def find(text: str | None, largest: int = 1 << 26) -> tuple[list[Span], list[Span]]:
     """The spans in the text itself, and all spans with those of every layer inside it, in order, each once."""
     text = text or ""
     base = scan(text)
-    every = set(base)
-    seen = {text}
-    work = [(s, e, inner) for s, e, inner in layers(text, largest)]
+    top = list(layers(text, largest))
+    held: dict[str, set[tuple[int, str]]] = {}  # kinds and secrets of each content
+    outer: dict[str, set[str]] = {}
+    work = [inner for _, _, inner in top]
     while work:
-        start, end, inner = work.pop()
-        if inner in seen:
+        content = work.pop()
+        if content in held:
             continue
-        every |= {(start, kind, end) for _, kind, _ in scan(inner)}
-        seen.add(inner)
-        work += [(start, end, deeper) for _, _, deeper in layers(inner, largest)]
-    return base, sorted(every)
+        held[content] = {(kind, content[s:e]) for s, kind, e in scan(content)}
+        for _, _, inner in layers(content, largest):
+            outer.setdefault(inner, set()).add(content)
+            work.append(inner)
+    # What a content holds goes to those around it until none learns more, so cycles end and lose nothing.
+    work = [content for content, found in held.items() if found]
+    while work:
+        content = work.pop()
+        for around in outer.get(content, ()):
+            if not held[content] <= held[around]:
+                held[around] |= held[content]
+                work.append(around)
+    of_run: dict[tuple[int, int], set[tuple[int, str]]] = {}
+    for s, e, inner in top:
+        if held[inner]:
+            of_run.setdefault((s, e), set()).update(held[inner])
+    runs = sorted(of_run)
+    for m in _WRAPPED.finditer(text):
+        if m.span() in of_run:
+            for s, e in runs[bisect_left(runs, (m.start(), 0)) : bisect_left(runs, (m.end(), 0))]:
+                if (s, e) != m.span() and e <= m.end():
+                    of_run[m.span()] = of_run[m.span()] - of_run[s, e]
+    return base, sorted({*base, *((s, kind, e) for (s, e), found in of_run.items() for kind, _ in found)})
 
 
 def joined(spans: list[Span]) -> str:

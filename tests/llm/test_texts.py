@@ -167,3 +167,36 @@ def test_secret_edges(spark):
     assert [(g[0], g[1], g[2]) for g in got] == [(0, 0, 0), (1, 0, 0), (2, 1, 1), (2, 1, 1), (3, 0, 0), (4, 0, 0)]
     assert got[0][3] == got[1][3] == empty
     assert secrets.secrets(d.limit(0)).count() == 0
+
+
+def kinds_at(text, start, end):
+    return {kind for s, kind, e in secrets.find(text)[1] if (s, e) == (start, end)}
+
+
+def test_an_encoded_secret_is_reported_at_each_place():
+    b64 = base64.b64encode(KEY.encode()).decode()
+    outer = base64.b64encode(f"x {b64} y".encode()).decode()
+    text = f"{b64} and {outer} and {b64} {outer}"
+    for run in (b64, outer):
+        for m in re.finditer(re.escape(run), text):
+            assert kinds_at(text, *m.span()) == {0, 2}
+
+
+def test_layers_of_any_content_are_entered():
+    packed = gzip.compress(b"nothing here ") + gzip.compress(KEY.encode())
+    b64 = lambda x: base64.b64encode(x).decode()
+    runs = [b64(f"{c}{KEY}".encode()) for c in "\u00a0\u200b\ufeff\x01"] + [b64(b"\xff\xfe" + KEY.encode()), b64(packed), urllib.parse.quote(packed, safe=""), "d=" + urllib.parse.quote(zlib.compress(KEY.encode()), safe="")]
+    runs += [f"{'p' * n}{sign}{b64(KEY.encode()).rstrip('=')}" for n in range(5) for sign in "/-_"] + [f"path/{b64(packed).rstrip('=')}"]
+    for run in runs:
+        assert kinds_at(f"a {run} z", 2, 2 + len(run)) == {0, 2}, run
+
+
+def test_wrapped_base64_is_read_as_one():
+    rng = np.random.default_rng(0)
+    body = gzip.compress(rng.bytes(200) + KEY.encode())
+    for width, gap in ((64, "\n"), (76, "\r\n"), (61, "\n  ")):
+        b64 = base64.b64encode(body).decode()
+        run = gap.join(b64[i : i + width] for i in range(0, len(b64), width))
+        assert kinds_at(f"a:\n{run}\nend of it", 3, 3 + len(run)) == {0, 2}
+    line = base64.b64encode(KEY.encode()).decode().rstrip("=")
+    assert {(s, e) for s, _, e in secrets.find(f"{line}\nword\n")[1]} == {(0, len(line))}
