@@ -190,6 +190,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         # Without one, the region takes the rest of the blocks that it begins and ends in.
         while first > 0 and found[first - 1][0].lstrip("/") not in BLOCK:
             first -= 1
+        while last < len(found) and found[last][0].lstrip("/") not in BLOCK:
+            last += 1
     blocks, now = [], []
     for kind, text, aside, at in found[first:last]:
         if kind:

@@ -49,11 +49,15 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(max(PAD, -(-len(raw) // PAD) * PAD) - len(raw))
 
 
+def frames(samples: int) -> int:
+    """How many frames it takes until every sample lies in one; the last is filled up with silence."""
+    return 1 + -(-max(0, samples - FRAME) // HOP)
+
+
 def peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins of the spectral peaks, in order."""
     samples = np.frombuffer(payload, np.uint8)
-    if len(samples) < FRAME:
-        samples = np.r_[samples, np.full(FRAME - len(samples), 128, np.uint8)]
+    samples = np.r_[samples, np.full((frames(len(samples)) - 1) * HOP + FRAME - len(samples), 128, np.uint8)]
     views = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     times, bins = [], []
     for at in range(0, len(views), _STEP):
@@ -91,9 +95,8 @@ def sounds(docs: DataFrame, with_media: bool = False, with_pairs: bool = False)
         back = from_wav(stored)
         found, bins = peaks(back)
         t, code = pairs(found, bins)
-        frames = 1 + max(0, len(back) - FRAME) // HOP
         digest = hashlib.blake2b(t.tobytes() + code.tobytes(), digest_size=16).hexdigest()
-        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), f"frames={frames};peaks={len(found)};pairs={len(t)};print={digest}")
+        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), f"frames={frames(len(back))};peaks={len(found)};pairs={len(t)};print={digest}")
         return row + (stored,) * with_media + ([{"t": a, "code": b} for a, b in zip(t.tolist(), code.tolist(), strict=True)],) * with_pairs
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -200,3 +200,20 @@ def test_wrapped_base64_is_read_as_one():
         assert kinds_at(f"a:\n{run}\nend of it", 3, 3 + len(run)) == {0, 2}
     line = base64.b64encode(KEY.encode()).decode().rstrip("=")
     assert {(s, e) for s, _, e in secrets.find(f"{line}\nword\n")[1]} == {(0, len(line))}
+
+
+def test_the_last_samples_lie_in_a_frame(spark):
+    tone = np.full(256 + 64, 128, np.uint8)
+    tone[256:] = 128 + 100 * np.sin(2 * np.pi * 32 * np.arange(64) / media.FRAME)
+    times, bins = media.peaks(tone.tobytes())
+    assert 32 in bins[times == 1]
+    same = "word " * 51 + "."  # 256 bytes
+    a, b = media.sounds(docs(spark, [same + "xyxyxyxy" * 8, same + "qb kj.zw" * 8])).collect()
+    assert a.payload_bytes == b.payload_bytes == 320
+    assert a.feature.startswith("frames=2;") and a.feature != b.feature
+
+
+def test_a_region_takes_the_rest_of_its_last_block():
+    weights = {"": 1.0, "other": -1.0, "a": -8.0, "/a": -8.0}
+    page = "<div><p>start <a>here</a> one two three four five six seven eight <a>nine</a> ten <b>end</b></p><p><a>out</a></p></div>"
+    assert html_main.main_text(page, weights) == "start here one two three four five six seven eight nine ten end"
