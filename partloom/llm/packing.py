@@ -1,8 +1,10 @@
 """Pack documents into training sequences next to the documents they share words with.
 
-Documents are tokenized once. Shards, dealt by a hash so that each holds about `SHARD` ids, build an inverted index with
-BM25 weights; document frequencies and the mean length are those of the whole table. In a shard, the first unused document
-is the seed of a window; the index returns the unused documents nearest to it, which fill the window one after the other.
+Documents are tokenized once. Shards of about `SHARD` ids build an inverted index with BM25 weights; document frequencies
+and the mean length are those of the whole table. Shards are dealt by content: a document goes by one of its terms, drawn
+by weight with the same luck for all documents, so that the more two have in common the likelier they meet. Only a term
+that holds more than a part of a shard is split by a hash. In a shard, the first unused document is the seed of a window;
+the index returns the unused documents nearest to it by all its terms, which fill the window one after the other.
 The one that doesn't fit is cut, and its rest is the next window's seed. Windows are full but for a shard's last, whose
 ids go into sequences of powers of two, so nothing is padded.
 
@@ -28,10 +30,11 @@ WINDOW, END = 4096, 2
 #: Ids in a shard, about; words that a task remembers the ids of.
 SHARD, REMEMBERED = 3_000_000, 500_000
 K1, B = 1.2, 0.75
-#: A seed asks the index for so many of its own terms, those of the highest weight.
-ASKED = 24
-#: Neighbours that a seed gets, and ties; if a window takes them all, it goes on with a new seed.
+#: Neighbours that a seed gets at a time, and ties; if a window takes them all, it asks for more.
 NEAREST = 48
+#: A term's documents are split if they hold more than this part of a shard.
+PART = 8
+_LUCK = -np.log1p(-np.random.default_rng(42).random(1 << 16))
 _MARK = "\x01"
 # Lower-case words of these letters, ASCII digits and signs fall apart by this pattern as by the tokenizer's own.
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
@@ -168,6 +171,14 @@ def tokenized(docs: DataFrame, name: str) -> DataFrame:
 _HELD = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 
 
+def _key(ids: np.ndarray, idf: np.ndarray) -> int:
+    """One of the document's terms. Two documents get the same with a chance that grows with the weight they share."""
+    t, n = _counted(ids)
+    w = idf[t] * (n * (K1 + 1) / (n + K1))
+    w[t == END] = 0  # not a word
+    return int(t[(_LUCK[t] / np.maximum(w, 1e-12)).argmin()])
+
+
 class Index:
     """BM25 weights of the terms of a shard's documents, by term."""
 
@@ -180,15 +191,26 @@ class Index:
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(w.astype(np.float32))
-            self.ask.append(t[np.argsort(-w, kind="stable")[:ASKED]])
+            self.ask.append(t[t != END])
         term = np.concatenate(terms) if terms else np.empty(0, np.uint16)
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-        self.size = len(docs)
+        self.size = self.left = len(docs)
+
+    def forget(self, used: np.ndarray) -> None:
+        """Leave out the documents used, once they are half of those listed."""
+        left = self.size - int(used.sum())
+        if 2 * left > self.left:
+            return
+        self.left, keep = left, ~used[self.owner]
+        self.start = np.r_[0, np.cumsum(keep)][self.start]
+        self.owner, self.weight = self.owner[keep], self.weight[keep]
 
     def scores(self, seed: int) -> np.ndarray:
         runs = [slice(self.start[t], self.start[t + 1]) for t in self.ask[seed].tolist()]
+        if not runs:
+            return np.zeros(self.size)
         return np.bincount(np.concatenate([self.owner[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.size)
 
 
@@ -198,14 +220,15 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
     index = Index(docs, idf, mean)
     used = np.zeros(len(docs), bool)
     queue: list[int] = []
+    seed = -1  # the window's, if it may have more neighbours
     waiting = -1  # the last document's rest, where the next window begins
     done = 0
     at = 0
     while True:
         if waiting < 0:
-            # Neighbours of the window's seed while it isn't full, then a new seed: the first unused document.
-            while queue and used[queue[-1]]:
-                queue.pop()
+            # Neighbours of the window's seed while it isn't full and has any, then a new seed: the first unused document.
+            if not queue and seed >= 0:
+                queue = _neighbours(index, seed, used)
             if queue:
                 waiting = queue.pop()
             else:
@@ -213,8 +236,8 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
                     at += 1
                 if at == len(docs):
                     break
-                waiting = at
-                queue = _neighbours(index, waiting, used)
+                seed = waiting = at
+                queue = _neighbours(index, seed, used)
             used[waiting], done = True, 0
         take = min(len(docs[waiting]) - done, window - offset)
         out.append((waiting, done, take, sequence, offset))
@@ -223,14 +246,16 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
         if full:
             sequence, offset = sequence + 1, 0
             # The document at the cut seeds the next window, unless it fills that one by itself.
-            queue = _neighbours(index, waiting, used) if not ended and len(docs[waiting]) - done < window else []
+            seed = waiting if not ended and len(docs[waiting]) - done < window else -1
+            queue = _neighbours(index, seed, used) if seed >= 0 else []
         if ended:
             waiting = -1
     return _in_powers(out, sequence, offset)
 
 
 def _neighbours(index: Index, seed: int, used: np.ndarray) -> list[int]:
-    """Unused documents that share a term asked for, the nearest last."""
+    """Unused documents that share a term, the nearest last."""
+    index.forget(used)
     score = index.scores(seed)
     score[used] = 0
     score[seed] = 0
@@ -268,7 +293,21 @@ def sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int
     idf = np.log(1 + (n_docs - count + 0.5) / (count + 0.5))
     mean = n_ids / max(1, n_docs)
     shards = max(1, -(-n_ids // shard))
-    dealt = ids.repartition(shards, F.xxhash64("doc_id", F.crc32("ids"))).withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "ids")
+
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(np.frombuffer(x, "<u2"), idf) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], names=["doc_id", "ids", "key"])
+
+    if shards > 1:
+        ids = ids.mapInArrow(keyed, "doc_id long, ids binary, key int")
+        # By terms again, so at most as many rows as the vocabulary.
+        parts = ids.groupBy("key").agg(F.ceil(F.sum(F.length("ids")) * PART / (2 * shard)).alias("parts"))
+        part = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts"))
+        dealt = ids.join(F.broadcast(parts), "key").select("doc_id", "ids", "key", part.alias("part")).repartition(shards, "key", "part").drop("key", "part")
+    else:
+        dealt = ids.repartition(1, F.xxhash64("doc_id", F.crc32("ids")))
+    dealt = dealt.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list = []

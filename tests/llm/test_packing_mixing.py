@@ -77,6 +77,35 @@ def test_neighbours_share_words():
     assert all(len({p[0] % 3 for p in pieces if p[3] == s}) == 1 for s in range(3))
 
 
+def test_a_window_goes_on_with_its_seeds_neighbours():
+    topics = [np.array([100 * k + i for i in range(8)] * 4, np.uint16) for k in (1, 2, 3)]
+    shard = [topics[i % 3][: 20 + i // 3 % 12] for i in range(360)]
+    pieces = packing.pack(shard, np.ones(1 << 16), 25.5, window=3060)
+    assert all(len({p[0] % 3 for p in pieces if p[3] == s}) == 1 for s in range(3))
+
+
+def test_a_seed_asks_for_all_its_terms():
+    idf = np.ones(1 << 16)
+    idf[100:140] = 2
+    seed, other, near = np.arange(100, 190), np.arange(1000, 1090), np.arange(140, 230)
+    pieces = packing.pack([x.astype(np.uint16) for x in (seed, other, near)], idf, 90.0, window=180)
+    assert {p[0] for p in pieces if p[3] == 0} == {0, 2}
+
+
+def test_near_documents_meet_in_a_shard(spark):
+    rng = random.Random(5)
+    words = sorted(w[:-4] for w in TOOL.get_vocab() if w.endswith("</w>") and w[:-4].isalpha() and w.isascii())
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(58)]
+        texts += [" ".join(base), " ".join([*base[:56], "edited"])]
+    got = packing.sequences(docs(spark, texts), shard=1000).collect()
+    check_pieces(got, list(enumerate(texts)))
+    of = {p.doc_id: p.sequence_id >> 32 for p in got}
+    assert len(set(of.values())) > 5
+    assert sum(of[i] == of[i + 1] for i in range(0, 120, 2)) >= 40
+
+
 @pytest.mark.parametrize("sizes", [[5], [10, 10, 10], [1000, 1, 1, 50, 3], [7] * 23, [0, 0], [100, 0, 3]])
 def test_targets_reach_the_fixpoint(spark, sizes):
     w = [Fraction(mixing.WEIGHTS[i % 3]) for i in range(len(sizes))]
