@@ -65,7 +65,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-_STRIDES_SQL = ", ".join(map(str, mixing.STRIDES))
+
+
+def _fifth_sql(x: str) -> str:
+    """The fifth power of x modulo the prime, x being a name or in brackets."""
+    m = f"({x} % {mixing.PRIME})"
+    return f"(({m} * {m} % {mixing.PRIME}) * ({m} * {m} % {mixing.PRIME}) % {mixing.PRIME} * {m} % {mixing.PRIME})"
+
+
+def _network_sql(x: str, of: str) -> str:
+    """One pass of the permutation on x; later columns of the list use earlier ones."""
+    steps = [f"{x} // b as l0", f"{x} % b as r0"]
+    left, right = "l0", "r0"
+    for i, seed in enumerate(mixing.STEPS):
+        key = f"(({right if i % 2 == 0 else left}) + sid * 7919 + turn * 104729 + {seed})"
+        name, size, was = (f"l{i + 1}", "a", left) if i % 2 == 0 else (f"r{i + 1}", "b", right)
+        steps.append(f"({was} + {_fifth_sql(key)}) % {size} as {name}")
+        left, right = (name, right) if i % 2 == 0 else (left, name)
+    return f"select sid, slot, turn, shard, blocks, a, b, {left} * b + {right} as x from (select *, {', '.join(steps)} from {of})"
+
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -84,9 +102,9 @@ SQL: dict[str, str] = {
             from (select distinct host, path from urls) u join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path)
             group by u.host, u.path) b on u.host = b.host and u.path = b.path""",
     "op10_mixing": rf"""
-        with sized as (
+        with recursive sized as (
             select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-                ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 2))::int as bucket, md5(coalesce(text, '') || '|' || coalesce(source, '')) as tie from documents),
+                ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % (1 + (select count(*) from documents) // {mixing.BUCKET}) as bucket, md5(coalesce(text, '') || '|' || coalesce(source, '')) as tie from documents),
         sources as (select source, sum(size)::bigint as source_size from sized group by source),
         ranked as (select *, row_number() over (order by source nulls last) as sid, source_size * {mixing.CEILING} as most from sources),
         weighed as (select *, case (sid - 1) % 3 when 0 then {mixing.WEIGHTS[0]} when 1 then {mixing.WEIGHTS[1]} else {mixing.WEIGHTS[2]} end as weight from ranked),
@@ -99,12 +117,17 @@ SQL: dict[str, str] = {
         placed as (select s.*, p.sid, p.source_size, p.target,
             sum(size) over (partition by p.sid order by bucket, doc_id nulls first, size, tie rows between unbounded preceding and current row)::bigint - size as "offset"
             from sized s join plan p on s.source is not distinct from p.source),
-        slots as (select sid, blocks, unnest(range(slots)) as slot from plan),
-        turns as (select sid, blocks, slot, slot // blocks as turn, list_filter([{_STRIDES_SQL}], lambda x: blocks % x <> 0) as divides from slots),
-        times as (select sid, ((slot % blocks) * divides[(sid + turn) % len(divides) + 1] + sid * 7919 + turn * 104729) % blocks as block, count(*) as times from turns group by all),
+        draws as (select sid, unnest(range(slots)) as i from plan),
+        drawn as (select sid, {_fifth_sql("q")} % {mixing.SHARDS} as shard, count(*) as n from (
+            select sid, {_fifth_sql(f"(i % {mixing.PRIME} + sid * {mixing.DRAW[0]})")} + i // {mixing.PRIME} + {mixing.DRAW[1]} as q from draws) group by all),
+        held as (select *, sum(n) over (partition by sid order by shard)::bigint - n as start from drawn),
+        slots as (select sid, shard, start + unnest(range(n)) as slot from held),
+        turns as (select sid, shard, slot, blocks, slot // blocks as turn, slot % blocks as x, ceil(sqrt(blocks::double))::bigint as a, (blocks + a - 1) // a as b from slots join plan using (sid)),
+        walk as ({_network_sql("x", "turns")} union all {_network_sql("x", "(select * from walk where x >= blocks)")}),
+        times as (select sid, x as block, count(*) as times, min(shard) as shard from walk where x < blocks group by all),
         pieces as (select sid, "offset", size, unnest(range("offset" // {mixing.BLOCK}, ("offset" + size - 1) // {mixing.BLOCK} + 1)) as block from placed where size > 0),
-        words as (select p.sid, p."offset", sum((least(p."offset" + p.size, (p.block + 1) * {mixing.BLOCK}) - greatest(p."offset", p.block * {mixing.BLOCK})) * t.times)::bigint as taken
+        words as (select p.sid, p."offset", sum((least(p."offset" + p.size, (p.block + 1) * {mixing.BLOCK}) - greatest(p."offset", p.block * {mixing.BLOCK})) * t.times)::bigint as taken, min(t.shard) as first_shard
             from pieces p join times t using (sid, block) group by all)
-        select d.doc_id, d.size, d.source_size, d.target, coalesce(w.taken, 0)::bigint as taken
+        select d.doc_id, d.size, d.source_size, d.target, coalesce(w.taken, 0)::bigint as taken, coalesce(w.first_shard, -1)::bigint as first_shard
         from placed d left join words w on d.size > 0 and d.sid = w.sid and d."offset" = w."offset" """,
 }

@@ -158,3 +158,61 @@ def test_mixed_rows_hold_the_words_taken(spark):
         assert set(r.text.split()) <= set(texts[r.doc_id].split()) and r.n_chars == len(r.text) and r.body == "b"
     assert {k: v for k, v in words.items() if v} == {r.doc_id: r.taken for r in mixing.taken(d).collect() if r.taken}
     assert sorted(rows(mixed)) == sorted(rows(mixing.mixed_rows(d)))
+
+
+def slow_block(slot, blocks, sid, turn):
+    """The block that a slot takes, by big integers and as many passes as it needs."""
+    a = next(a for a in range(1, blocks + 2) if a * a >= blocks)
+    b = -(-blocks // a)
+    x = slot
+    while True:
+        left, right = divmod(x, b)
+        for i, seed in enumerate(mixing.STEPS):
+            key = sid * 7919 + turn * 104729 + seed
+            if i % 2 == 0:
+                left = (left + pow(right + key, 5, mixing.PRIME)) % a
+            else:
+                right = (right + pow(left + key, 5, mixing.PRIME)) % b
+        x = left * b + right
+        if x < blocks:
+            return x
+
+
+def test_shards_draw_counts_and_slots_are_permuted(spark):
+    sizes = {1: (1, 3), 2: (2, 2), 3: (7, 19), 4: (1000, 2500), 5: (997, 996)}
+    plan = spark.createDataFrame([(sid, blocks, slots) for sid, (blocks, slots) in sizes.items()], "sid long, blocks long, slots long")
+    counts = defaultdict(int)
+    for r in mixing.shard_counts(plan, 16).collect():
+        counts[r.sid] += r.n
+    assert counts == {sid: slots for sid, (_, slots) in sizes.items()}
+    got = defaultdict(list)
+    shards = defaultdict(set)
+    for r in mixing._taken_blocks(plan, 16).collect():
+        got[r.sid].append((r.slot, r.round, r.block))
+        shards[r.sid, r.shard].add(r.slot)
+    for sid, (blocks, slots) in sizes.items():
+        assert sorted(got[sid]) == [(j, j // blocks, slow_block(j % blocks, blocks, sid, j // blocks)) for j in range(slots)]
+        times = np.bincount([b for _, _, b in got[sid]], minlength=blocks)
+        assert times.min() >= slots // blocks and times.max() <= -(-slots // blocks)
+    assert all(max(s) - min(s) == len(s) - 1 for s in shards.values())
+    n = np.array([len(shards[4, h]) for h in range(16)])
+    assert 100 < n.min() and n.max() < 230 and len(set(n)) > 4  # 156 on average, with a deviation of 12
+    taken = np.sort([b for _, e, b in got[4] if e == 2])  # 500 of 1000 blocks: neither one run nor a comb
+    assert 180 < (np.diff(taken) == 1).sum() < 320
+
+
+def test_mixed_rows_are_stretches_of_the_text(spark):
+    rng = random.Random(6)
+    texts = [" \n" * (i % 3) + "".join(f"w{i}_{j}" + rng.choice([" ", "\n\n", "\t "]) for j in range(rng.randrange(1, 500))) for i in range(40)]
+    d = docs(spark, texts, sources=[f"s{i % 5 // 4}" for i in range(40)])
+    seen = 0
+    for r in mixing.mixed_rows(d).collect():
+        whole = texts[r.doc_id]
+        at = whole.index(r.text)
+        assert r.text == whole or (at + len(r.text) == len(whole) or whole[at + len(r.text)].isspace()) and r.text.strip() == r.text
+        seen += r.text != whole
+    assert seen > 5
+    held = defaultdict(int)
+    for r in mixing.shard_rows(d).collect():
+        held[r.doc_id] += r.words
+    assert held == {r.doc_id: r.taken for r in mixing.taken(d).collect() if r.taken}
