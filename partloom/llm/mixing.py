@@ -145,11 +145,11 @@ def _walk() -> Column:
 def _taken_blocks(plan: DataFrame, shards: int) -> DataFrame:
     """sid, block, round, shard, slot: one row for every slot.
 
-    Spark takes what is exploded for as small as what it came from, so joins with it ask for a merge: it is no broadcast.
+    A table, as the optimizer takes long over a join on the permutation's columns.
     """
     held = cut(shard_counts(plan, shards)).join(plan.select("sid", "blocks"), "sid")
     slots = _listed(held, "start", "n").withColumn("turn", F.expr("slot div blocks"))
-    return _network(slots, F.col("slot") % F.col("blocks")).select("sid", _walk().alias("block"), F.col("turn").alias("round"), "shard", "slot")
+    return cut(_network(slots, F.col("slot") % F.col("blocks")).select("sid", _walk().alias("block"), F.col("turn").alias("round"), "shard", "slot"))
 
 
 def _pieces(placed: DataFrame, block: int, *more: str) -> DataFrame:
