@@ -216,3 +216,25 @@ def test_mixed_rows_are_stretches_of_the_text(spark):
     for r in mixing.shard_rows(d).collect():
         held[r.doc_id] += r.words
     assert held == {r.doc_id: r.taken for r in mixing.taken(d).collect() if r.taken}
+
+
+def test_scores_against_plain_bm25():
+    rng = np.random.default_rng(2)
+    shard = [np.r_[rng.zipf(1.3, rng.integers(0, 120)).clip(1, 900) + 5, packing.END].astype(np.uint16) for _ in range(300)]
+    idf = rng.random(1 << 16) + 0.1
+    mean = sum(map(len, shard)) / len(shard)
+    index = packing.Index(shard, idf, mean)
+    used = np.zeros(300, bool)
+
+    def slow(seed, doc):
+        words = set(shard[seed].tolist()) & set(shard[doc].tolist()) - {packing.END}
+        tf = {w: int((shard[doc] == w).sum()) for w in words}
+        return sum(idf[w] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(shard[doc]) / mean)) for w, n in tf.items())
+
+    for seed in (0, 7, 150, 299):
+        got = index.scores(seed)
+        assert np.allclose([got[d] for d in range(300) if not used[d]], [slow(seed, d) for d in range(300) if not used[d]], rtol=1e-5)
+        used[rng.choice(300, 120, replace=False)] = True
+        used[299] = False
+        index.forget(used)
+    assert packing._keys([np.array([packing.END], np.uint16), shard[1]], idf).shape == (2,)
