@@ -29,7 +29,7 @@ from partloom.llm.common import WORD, cut, parallelism
 WEIGHTS = (5, 2, 1)
 #: Words in a block, slots that one task lists at a time, output shards, documents in a bucket (about) that cuts a
 #: source's stream for the running sums.
-BLOCK, CHUNK, SHARDS, BUCKET = 64, 4096, 64, 4096
+BLOCK, CHUNK, SHARDS, BUCKET = 64, 4096, 64, 1024
 #: A prime below 2**31, so that products of remainders fit 64 bits. Fifth powers permute its remainders.
 PRIME = (1 << 31) - 1
 #: Seeds of the draws and of the four steps of the network.
