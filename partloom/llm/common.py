@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 #: A word: a longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given). Only where
+    neither is set and all runs in one process, as in tests, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-partloom-"))
     return _own_dir[0]
@@ -27,9 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/partloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that `cut` has written in this process, and say how many there were. Results that aren't written
+    yet need theirs, so call it once all are."""
+    for path in (done := _written.copy()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+    return len(done)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

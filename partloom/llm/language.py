@@ -11,22 +11,22 @@ pass through, but lang_pred and score replace columns of those names; an empty t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 DIMENSIONS = 1024
 LETTERS = 4093  # letters share vectors beyond so many
 #: About so many texts at most are learned from, chosen by a hash of doc_id from all that may be.
 MOST_LEARNED = 20_000
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")  # marks belong to the letters before them
+_LETTER_IN = regex.compile(r"\p{L}")
 _rng = np.random.default_rng(20240229)
 _LETTER = (_rng.integers(0, 2, (LETTERS + 1, DIMENSIONS), dtype=np.int8) * 2 - 1).astype(np.int8)
 _PLACES = (np.roll(_LETTER, 2, axis=1), np.roll(_LETTER, 1, axis=1), _LETTER)
@@ -45,7 +45,7 @@ def _trigram(code: int) -> np.ndarray:
 def _codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The text's trigrams and how often each occurs. Words are bounded by a blank, letter 0; no letters, no trigrams."""
     words = _NO_LETTER.sub(" ", text or "").strip().lower()
-    if not words:
+    if not _LETTER_IN.search(words):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     points = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     x = np.where(points == 32, 0, 1 + points % LETTERS)
@@ -129,7 +129,6 @@ def identify(docs: DataFrame, prototypes: Prototypes) -> DataFrame:
 
 def recognised(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of docs whose language is recognised with more than the least score, with the columns of docs."""
-    guessed = identify(docs, learn(docs))
-    return guessed.where((F.col("lang_pred") != "und") & (F.col("score") > least)).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
+    named = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    guessed = identify(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]), learn(docs))
+    return guessed.where((F.col("lang_pred") != "und") & (F.col("score") > least)).select(*[F.col(n).alias(c) for c, n in named.items()])

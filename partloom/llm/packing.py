@@ -146,18 +146,21 @@ def encode_batch(texts: list[str], name: str) -> list[bytes]:
     return _loaded[name].encode(texts)
 
 
-def _counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document in turn its distinct ids in order: the document's number, the id, how often it occurs."""
-    found = []
-    for low in range(0, len(docs), 256):
-        part = docs[low : low + 256]
-        x = np.sort((np.repeat(np.arange(low, low + len(part)), [len(d) for d in part]) << 16) | np.concatenate(part))
-        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        found.append((x[at], np.diff(at, append=len(x))))
-    x, n = (np.concatenate([f[i] for f in found]) if found else _NONE for i in (0, 1))
+def _counted(docs: list[np.ndarray], low: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document in turn its distinct ids in order: the document's number from low on, the id, how often it occurs."""
+    if not docs:
+        return _NONE, _NONE, _NONE
+    x = np.sort((np.repeat(np.arange(low, low + len(docs)), [len(d) for d in docs]) << 16) | np.concatenate(docs))
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    n = np.diff(at, append=len(x))
+    x = x[at]
     return x >> 16, x & 0xFFFF, n
 
 
+def _parts(docs: list, size: int = 256) -> Iterator[tuple[int, list]]:
+    return ((low, docs[low : low + size]) for low in range(0, len(docs), size))
+
+
 def tokenized(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, ids (with the end mark), their number n, and in one row of each task the number of its documents that hold each id."""
 
@@ -166,7 +169,8 @@ def tokenized(docs: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             end = np.array([END], "<u2").tobytes()
             ids = [x + end for x in encode_batch(batch.column(1).to_pylist(), name)]
-            held += np.bincount(_counted([np.frombuffer(x, "<u2") for x in ids])[1], minlength=len(held))
+            for _, part in _parts(ids):
+                held += np.bincount(_counted([np.frombuffer(x, "<u2") for x in part])[1], minlength=len(held))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.nulls(len(ids), _HELD)], names=["doc_id", "ids", "n", "held"])
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([[{"id": a, "n": b} for a, b in zip(some.tolist(), held[some].tolist(), strict=True)]], _HELD)], names=["doc_id", "ids", "n", "held"])
@@ -195,11 +199,14 @@ class Index:
     list of documents and weights for the others."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        owner, term, n = _counted(docs)
-        length = np.array([len(d) for d in docs], np.int64)[owner]
-        weight = (idf[term] * (n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)))).astype(np.float32)
-        word = term != END
-        owner, term, weight = owner[word], term[word], weight[word]
+        found = []
+        lengths = np.array([len(d) for d in docs], np.int64)
+        for low, part in _parts(docs):
+            owner, term, n = _counted(part, low)
+            weight = idf[term] * (n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[owner] / mean)))
+            word = term != END
+            found.append((owner[word].astype(np.int32), term[word].astype(np.uint16), weight[word].astype(np.float32)))
+        owner, term, weight = (np.concatenate([f[i] for f in found]) if found else _NONE for i in range(3))
         self.ask = np.split(term, np.searchsorted(owner, np.arange(1, len(docs))))
         self.n = len(docs)
         held = np.bincount(term, minlength=1 << 16)
@@ -233,7 +240,7 @@ class Index:
         for r in rows[rows >= 0].tolist():
             some += self.rows[r]
         out[self.alive] = some
-        rare = ask[rows < 0]
+        rare = ask[rows < 0].astype(np.int64)
         size = self.start[rare + 1] - self.start[rare]
         if size.any():
             ends = np.cumsum(size)
@@ -325,7 +332,8 @@ def sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_keys(docs, idf), pa.int32())], names=["doc_id", "ids", "key"])
+            keys = np.concatenate([_NONE, *(_keys(part, idf) for _, part in _parts(docs))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int32())], names=["doc_id", "ids", "key"])
 
     if shards > 1:
         ids = ids.mapInArrow(keyed, "doc_id long, ids binary, key int")

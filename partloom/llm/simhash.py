@@ -191,4 +191,7 @@ def _hex(fp: Column) -> Column:
 def first_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the least of its near-duplicate group."""
     heads = near_groups(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("head_id"))
-    return docs.join(heads, docs["doc_id"] == F.col("head_id"), "left_semi")
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    kept = given.join(heads, F.col(named["doc_id"]) == F.col("head_id"), "left_semi")
+    return kept.select(*[F.col(n).alias(c) for c, n in named.items()])

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import xxhash
-from partloom.llm import exact_dedup, simhash
+from partloom.llm import exact_dedup, near_text, simhash
 from partloom.llm.components import components
 from partloom.llm.queries import op1_simhash
 
@@ -20,6 +20,20 @@ def slow_fingerprint(text):
 
 
 def slow_components(ids, fps):
+    return linked(ids, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+
+
+def slow_groups(texts):
+    """texts: (doc_id, text). Groups of texts whose sets of five-word shingles are similar by 0.8 or more."""
+    sets = []
+    for _, t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    return linked([d for d, _ in texts], lambda i, j: alike(sets[i], sets[j]))
+
+
+def linked(ids, near):
     up = dict(enumerate(range(len(ids))))
 
     def root(x):
@@ -29,7 +43,7 @@ def slow_components(ids, fps):
 
     for i in range(len(ids)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if near(i, j):
                 up[root(i)] = root(j)
     least = {}
     for i, d in enumerate(ids):
@@ -125,3 +139,26 @@ def test_distinct_rows_keep_all_columns(spark):
     kept = exact_dedup.distinct_rows(d)
     assert kept.columns == d.columns
     assert sorted((r.doc_id, r.text, r.source, r.body) for r in kept.collect()) == [(3, None, "x", "b"), (9, "a", "z", "b")]
+
+
+def test_near_texts_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    texts = []
+    for k in range(120):
+        base = [rng.choice(words) for _ in range(rng.randrange(40, 300))] + (passage if k % 3 == 0 else [])
+        texts.append(" ".join(base))
+        for _ in range(k % 4):
+            edited = base.copy()
+            for at in rng.sample(range(len(edited)), rng.randrange(1, max(2, len(edited) // 40))):
+                edited[at] = rng.choice(words)
+            texts.append(" ".join(edited))
+    texts += [None, "", "a b", "A  b", "a b c"] + [" ".join([*passage, "x", f"y{i}"]) for i in range(150)]
+    given = list(zip(rng.sample(range(10_000), len(texts)), texts, strict=True))
+    d = docs(spark, texts, ids=[i for i, _ in given])
+    want = slow_groups(given)
+    kept = near_text.first_of_each_group(d)
+    assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == d.columns
+    assert len(set(want.values())) < len(want) - 150
+    assert near_text.first_of_each_group(d.limit(0)).count() == 0

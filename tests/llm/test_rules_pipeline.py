@@ -3,10 +3,13 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
-from partloom.llm import mixing, queries, simhash, url_rules
+from partloom.llm import common, mixing, queries, url_rules
 
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import docs as given_docs
 from tests.llm.helpers import rows
-from tests.llm.test_dedup import slow_components, slow_fingerprint
+from tests.llm.test_dedup import slow_groups
 from tests.llm.test_packing_mixing import check_pieces
 
 
@@ -73,8 +76,7 @@ def test_pipeline_stages(spark, sf):
     assert sorted(r.doc_id for r in exact) == sorted(last.values())
     after = spark.createDataFrame(exact, docs.schema)
     near = corpus_pipeline.STAGES[2][1](spark, after, sf).collect()
-    groups = slow_components([r.doc_id for r in exact], [slow_fingerprint(r.text) for r in exact])
-    assert {r.doc_id for r in near} == set(groups.values())
+    assert {r.doc_id for r in near} == set(slow_groups([(r.doc_id, r.text) for r in exact]).values())
     after = spark.createDataFrame(near, docs.schema)
     mixed = corpus_pipeline.STAGES[3][1](spark, after, sf)
     assert mixed.columns == columns
@@ -85,5 +87,27 @@ def test_pipeline_stages(spark, sf):
     assert words == {d: t for d, t in taken.items() if t}
     pieces = corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect()
     check_pieces(pieces, [(r.doc_id, r.text) for r in mixed.collect()])
-    assert simhash.RADIUS == 3
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, pieces))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, ties and repeats, and columns named as the operators' own."""
+    texts = [None, "", " \n", "\u00bd \u2460", "the quick brown fox and so on", "the quick brown fox and so on", "word " * 30_000, "the quick brown fox and so on"]
+    clashing = given_docs(spark, texts, ids=[1, 2, 3, 4, 5, 5, 6, None], sources=["a", None, "a", "b", "b", "b", None, "b"], langs=["en", "en", None, "en", "en", "en", "en", "en"])
+    for c in ("head_id", "lang_pred", "luck", "rid", "head", "tie", "words", "runs", "id", "c0", "key", "part"):
+        clashing = clashing.withColumn(c, F.lit(c))
+    want = [[5, 5, 6, None], [5, 6], [5, 6], None]
+    now = clashing
+    for (name, stage), ids in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        assert stage(spark, now.limit(0), "").count() == 0, name
+        now = stage(spark, now, "")
+        assert now.columns == clashing.columns and now.where("head_id <> 'head_id' or score <> 'x'").count() == 0, name
+        if ids:
+            assert sorted((r.doc_id for r in now.collect()), key=str) == sorted(ids, key=str), name
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, "").where("doc_tokens = 1").count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing.limit(0), "").count() == 0
+
+
+def test_tables_of_the_work_can_be_deleted(spark):
+    path = common.cut(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and common.clear(spark) > 0 and not os.path.exists(path)
