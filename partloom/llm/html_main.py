@@ -6,7 +6,9 @@ kind is inside an article than outside. One pass over the running sums finds the
 If that region lies in an article or main element, it is taken to that element's ends.
 
 Words inside elements that never hold main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments of readers) score nothing and are left out of the region's text.
+styles, comments of readers) score nothing and are left out of the region's text. Such an element shows by its name, or it
+is a container whose every class (or, without one, its id or role) names such a thing; one that has further classes is
+left out if most of its words are links. Time grows in proportion to a page's length, however it is nested.
 
 Defined results: a null html is empty; a page without words has an empty text; tags cut off at the end of the page are
 dropped; pages of any length are read whole; repeated rows each get a row; equal scores go to the earliest, shortest
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 #: About so many labelled pages at most are learned from, chosen by a hash of the whole table's rows.
 MOST_LEARNED = 5_000
 # Element names of the HTML standard.
-RAW = frozenset("script style template noscript iframe svg math textarea select object canvas audio video head title".split())
+RAW = frozenset("script style template noscript iframe svg textarea select head title".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -41,82 +43,132 @@ _ROLE = re.compile(
     r"newsletter|notices?|alert|popup|promos?|promotion|related|replies|share|sharing|side-?bar|skip|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+# A quote opens only right after an equals sign.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)", re.DOTALL)
+_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
+_CONTAINERS = frozenset("div section ul ol dl span ins table center details p".split())
+_ITEMS = frozenset("li dd dt td th tr option".split())
+_LISTS = ("ul", "ol", "dl", "table", "select")
 Token = tuple[str, str, bool, int]  # kind ("" for text, else the tag's name with / if it ends), text, aside, article's number
 
 
-def _set_aside(name: str, attributes: str) -> bool:
+def _role(name: str, attributes: str) -> str:
+    """ "aside" if the element holds no main text, "unsure" if only some of its classes say so, else empty."""
     if name in ASIDE:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for key, value in _NAMED.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key in ("class", "id", "role") and _ROLE.search(value)):
-            return True
-    return False
+        return "aside"
+    if not attributes or name not in _CONTAINERS:
+        return ""
+    named = {k.lower(): v.strip("\"'").split() for k, v in reversed(_NAMED.findall(attributes))}
+    words = named.get("class") or [*named.get("id", ()), *named.get("role", ())]
+    said = [bool(_ROLE.search(w)) for w in words]
+    return "aside" if said and all(said) else "unsure" if any(said) else ""
+
+
+class _Open:
+    """The open elements, with the places of each name among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, bool, int, int, int]] = []  # name, role, article, first token, words and words in links before
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of p and of what ends a p
+
+    def push(self, entry: tuple[str, str, bool, int, int, int]) -> None:
+        self.at.setdefault(entry[0], []).append(len(self.stack))
+        if entry[0] in _CLOSES_P:
+            self.blocks.append(len(self.stack))
+        self.stack.append(entry)
+
+    def pop(self) -> tuple[str, str, bool, int, int, int]:
+        entry = self.stack.pop()
+        self.at[entry[0]].pop()
+        if entry[0] in _CLOSES_P:
+            self.blocks.pop()
+        return entry
+
+    def last(self, name: str) -> int:
+        return self.at[name][-1] if self.at.get(name) else -1
 
 
 def tokens(page: str | None) -> list[Token]:
     """The page's tags and texts in order. aside: within an element that holds no main text; the last field numbers the
     outermost article or main element around the token, 0 outside of any."""
-    page, out, at = page or "", [], 0
-    open_tags: list[tuple[str, bool, bool]] = []  # name, aside, article
-    aside = article = number = 0
+    page, at = page or "", 0
+    out: list[tuple[str, str, int]] = []  # kind, text, article's number
+    opened = _Open()
+    edges: Counter = Counter()  # at a token's place, elements set aside that begin less those that end before it
+    aside = article = number = words = linked = in_link = 0
+
+    def add_text(text: str) -> None:
+        nonlocal words, linked
+        n = len(text.split())
+        words += n
+        linked += n * (in_link > 0)
+        out.append(("", text, number if article else 0))
 
     def close_to(depth: int) -> None:
-        nonlocal aside, article
-        for _, was_aside, was_article in open_tags[depth:]:
-            aside -= was_aside
+        nonlocal aside, article, in_link
+        while len(opened.stack) > depth:
+            name, role, was_article, first, words_before, linked_before = opened.pop()
+            aside -= role == "aside"
             article -= was_article
-        del open_tags[depth:]
+            in_link -= name == "a"
+            if role == "aside" or (role == "unsure" and 2 * (linked - linked_before) > words - words_before):
+                edges[first] += 1
+                edges[len(out)] -= 1
 
     skip_to = -1
     for m in _TOKEN.finditer(page):
         if m.start() < skip_to:
             continue
         if m.start() > at:
-            out.append(("", page[at : m.start()], aside > 0, number if article else 0))
+            add_text(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), None)
-            out.append(("/" + name, "", aside > 0, number if article else 0))
-            if depth is not None:
+            depth = opened.last(name)
+            out.append(("/" + name, "", number if article else 0))
+            if depth >= 0:
                 close_to(depth)
             continue
         if name in _CLOSES_P:
             # A paragraph ends where a block begins; what was open in it ends too.
-            depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == "p" or open_tags[i][0] in _CLOSES_P), None)
-            if depth is not None and open_tags[depth][0] == "p":
-                close_to(depth)
-        elif name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name or open_tags[i][0] in ("ul", "ol", "dl", "table", "select")), None)
-            if depth is not None and open_tags[depth][0] == name:
+            if opened.blocks and opened.stack[opened.blocks[-1]][0] == "p":
+                close_to(opened.blocks[-1])
+        elif name in _ITEMS:
+            depth = opened.last(name)
+            if depth > max(map(opened.last, _LISTS)):
                 close_to(depth)
         is_article = name in ("article", "main") and not aside
         number += is_article and not article
-        out.append((name, "", aside > 0 or _set_aside(name, m[3]), number if article or is_article else 0))
+        role = _role(name, m[3])
+        first = len(out)
+        out.append((name, "", number if article or is_article else 0))
         if name in VOID or m[3].endswith("/"):
             continue
         if name in ("script", "style", "textarea", "title", "iframe", "noscript", "template"):  # no markup counts inside
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = skip_to = end.end() if end else len(page)
-            out.append(("/" + name, "", True, 0))
+            out.append(("/" + name, "", 0))
+            edges[first] += 1
+            edges[len(out)] -= 1
             continue
-        gone = _set_aside(name, m[3])
-        open_tags.append((name, gone, is_article))
-        aside += gone
+        opened.push((name, role, is_article, first, words, linked))
+        aside += role == "aside"
         article += is_article
+        in_link += name == "a"
     if at < len(page):
         rest = page[at:]
         cut = rest.rfind("<")
-        out.append(("", rest if cut < 0 or not re.match(r"<[/a-zA-Z!?]", rest[cut:]) else rest[:cut], aside > 0, number if article else 0))
-    return out
+        add_text(rest if cut < 0 or not re.match(r"<[/a-zA-Z!?]", rest[cut:]) else rest[:cut])
+    close_to(0)
+    depth, done = 0, []
+    for i, (kind, text, of) in enumerate(out):
+        depth += edges.get(i, 0)
+        done.append((kind, text, depth > 0, of))
+    return done
 
 
 def count_kinds(pages: Iterable[str | None]) -> Counter:

@@ -217,3 +217,43 @@ def test_a_region_takes_the_rest_of_its_last_block():
     weights = {"": 1.0, "other": -1.0, "a": -8.0, "/a": -8.0}
     page = "<div><p>start <a>here</a> one two three four five six seven eight <a>nine</a> ten <b>end</b></p><p><a>out</a></p></div>"
     assert html_main.main_text(page, weights) == "start here one two three four five six seven eight nine ten end"
+
+
+WEIGHTS = {"": 1.0, "other": -1.0}
+
+
+@pytest.mark.parametrize(
+    "inside",
+    ["<p title=it's>first words</p><p>and 'second' ones</p>", "<div class='post share'>first words</div><p>more</p>", "<blockquote class='social'>first words</blockquote>", "<p hidden>first words</p><math>x</math><canvas>c</canvas><object>o</object>", "<p title='a > b' id=\"x>y\">first words</p>"],
+)
+def test_main_text_is_not_dropped(inside):
+    want = [" ".join(html.unescape(re.sub("<(?:\"[^\"]*\"|(?<==)'[^']*'|[^>])*?>", "", b)).split()) for b in re.split(r"</(?:p|div|blockquote)>", inside)]
+    assert html_main.main_text(f"<nav><a>x</a></nav><article>{inside}</article><footer>f</footer>", WEIGHTS) == "\n".join(b for b in want if b)
+
+
+def test_parts_that_hold_no_main_text():
+    for gone in ("<div class='ad'>x y</div>", "<div class='col sidebar'><a>x y</a> z</div>", "<section id=comments>x y</section>", "<ul class='related-posts'><li>x</ul>", "<div class='share-buttons ads'>x</div>", "<form>x</form>"):
+        assert html_main.main_text(f"<article><p>kept text</p>{gone}<p>to the end</p></article>", WEIGHTS) == "kept text\nto the end"
+
+
+def test_long_and_nested_pages_take_linear_time():
+    import time
+
+    for part in ("<b>x", "<i>x</b>", "<div class='a nav'>x", "<p>x<li>y", "<a href=\"x>", "<!-- x", "</p>", "<td><table>x"):
+        n = 1_000_000 // len(part)
+        began = time.process_time()
+        html_main.main_text("<article>" + part * n + "</i></b>" * 1000 + " end</article>", WEIGHTS)
+        assert time.process_time() - began < 30, part
+    deep = "<div>" * 50_000 + "words in it" + "</div>" * 50_000
+    assert html_main.main_text(deep, {"": 1.0, "other": -1e-9}) == "words in it"
+
+
+def test_region_against_all_regions():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        found = [("", "w " * int(rng.integers(1, 4)), bool(rng.random() < 0.1), 0) if rng.random() < 0.5 else (str(rng.choice(["p", "/p", "a"])), "", False, 0) for _ in range(int(rng.integers(0, 40)))]
+        weights = {"": 1.0, "other": -1.5, "p": -0.5, "/p": -0.25, "a": -3.0}
+        score = [weights[k] if k else 0.0 if aside else len(t.split()) for k, t, aside, _ in found]
+        first, last = html_main.region(found, weights)
+        best = max((sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)), default=0.0)
+        assert sum(score[first:last]) == max(best, 0.0)
