@@ -8,7 +8,8 @@ what it holds, with all layers inside it, is reported at each place of the text
 reported as a whole where its lines alone don't hold the same.
 
 Defined results: a null text is empty and has no spans; repeated rows each get a row; texts of any length are read whole;
-an empty table gives an empty result. A compressed stream that unpacks to more than `largest` bytes isn't entered.
+an empty table gives an empty result. What unpacks to more than `largest` bytes is read in pieces of that size, which
+overlap by what the longest secret across their edge may take.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _WRAPPED = re.compile(rf"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{_SHORTEST},}}+(
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
 _STANDARD = str.maketrans("-_", "+/")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+#: Bytes that the pieces of a large stream share: a secret, or a layer inside, up to that long is met whole.
+OVERLAP = 1 << 20
 _EDGE = re.compile(r"[\s\"'<>`]")
 Span = tuple[int, int, int]  # start, kind's number, end
 
@@ -84,37 +87,73 @@ def _unescape(run: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _unpack(raw: memoryview, largest: int) -> tuple[bytes, int] | None:
-    """What the compressed streams at the start of raw unpack to, one after the other, and the bytes they take; None if
-    the first is damaged or all are too large."""
-    out, size, rest = [], 0, raw
+def _read(raw: memoryview, piece: int) -> Iterator[bytes | int]:
+    """What the compressed streams at the start of raw unpack to, one after the other, in parts of `piece` bytes at most,
+    and at the end the number of bytes they take. A damaged stream ends where the damage is met."""
+    rest = raw
     while m := _PACKED.match(rest):
+        by_zlib = m[0][:1] in b"\x1f\x78"
         tool = bz2.BZ2Decompressor() if m[0][:1] == b"B" else lzma.LZMADecompressor() if m[0][:1] == b"\xfd" else zlib.decompressobj(47)
+        given: bytes | memoryview = rest
         try:
-            out.append(tool.decompress(rest, largest + 1 - size))
+            while True:
+                part = tool.decompress(given, piece)
+                if part:
+                    yield part
+                given = tool.unconsumed_tail if by_zlib else b""
+                if tool.eof or not part:
+                    break
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
             break
-        size += len(out[-1])
-        if size > largest:
-            return None
+        if not tool.eof:  # cut off
+            rest = rest[len(rest) :]
+            break
         rest = tool.unused_data.lstrip(b"\0")
-    return (b"".join(out), len(raw) - len(rest)) if out else None
+    yield len(raw) - len(rest)
+
+
+def _unpack(raw: memoryview, largest: int, ends: list[int]) -> Iterator[bytes]:
+    """The unpacked streams as one, or if that is larger than `largest`, in pieces of that size that overlap by `OVERLAP`.
+    ends gets the number of bytes of raw that they take, at least 1."""
+    now = bytearray()
+    for part in _read(raw, 1 << 20):
+        if isinstance(part, int):
+            ends.append(max(1, part))
+            continue
+        now += part
+        if len(now) > largest:
+            yield bytes(now)
+            del now[: max(1, len(now) - min(OVERLAP, largest // 2))]
+    if now:
+        yield bytes(now)
 
 
 def _contents(raw: bytes, largest: int) -> Iterator[str]:
     """The bytes as text, and what the compressed streams in them unpack to, stream in stream."""
-    seen, work = set(), [raw]
-    while work:
-        raw = work.pop()
-        if raw in seen:
-            continue
-        seen.add(raw)
-        yield raw.decode("utf-8", "replace")
+
+    def inside(raw: bytes) -> Iterator[bytes]:
         end = 0
         for m in _PACKED.finditer(raw):
-            if m.start() >= end and (got := _unpack(memoryview(raw)[m.start() :], largest)):
-                work.append(got[0])
-                end = m.start() + got[1]
+            if m.start() >= end:
+                ends: list[int] = []
+                yield from _unpack(memoryview(raw)[m.start() :], largest, ends)
+                if ends[-1] > 1:
+                    end = m.start() + ends[-1]
+
+    yield raw.decode("utf-8", "replace")
+    seen = {_digest(raw)}
+    work = [inside(raw)]
+    while work:  # one stream's pieces at a time, however many there are
+        if (piece := next(work[-1], None)) is None:
+            work.pop()
+        elif (d := _digest(piece)) not in seen:
+            seen.add(d)
+            yield piece.decode("utf-8", "replace")
+            work.append(inside(piece))
+
+
+def _digest(x: bytes | str) -> bytes:
+    return hashlib.blake2b(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _from_base64(run: str, largest: int) -> Iterator[str]:
@@ -150,20 +189,29 @@ def find(text: str | None, largest: int = 1 << 26) -> tuple[list[Span], list[Spa
     """The spans in the text itself, and all spans with those of every layer inside it, in order, each once."""
     text = text or ""
     base = scan(text)
-    top = list(layers(text, largest))
-    held: dict[str, set[tuple[int, str]]] = {}  # kinds and secrets of each content
-    outer: dict[str, set[str]] = {}
-    work = [inner for _, _, inner in top]
-    while work:
-        content = work.pop()
-        if content in held:
-            continue
-        held[content] = {(kind, content[s:e]) for s, kind, e in scan(content)}
-        for _, _, inner in layers(content, largest):
-            outer.setdefault(inner, set()).add(content)
-            work.append(inner)
+    held: dict[bytes, set[tuple[int, str]]] = {}  # kinds and secrets of each content, by its digest
+    outer: dict[bytes, set[bytes]] = {}
+
+    def enter(content: str, d: bytes) -> Iterator[tuple[int, int, str]]:
+        held[d] = {(kind, content[s:e]) for s, kind, e in scan(content)}
+        return layers(content, largest)
+
+    top = []
+    for s, e, inner in layers(text, largest):
+        d = _digest(inner)
+        top.append((s, e, d))
+        work = [] if d in held else [(d, enter(inner, d))]
+        while work:  # the contents on the way down are the only ones held
+            around, rest = work[-1]
+            if (found := next(rest, None)) is None:
+                work.pop()
+                continue
+            d = _digest(found[2])
+            outer.setdefault(d, set()).add(around)
+            if d not in held:
+                work.append((d, enter(found[2], d)))
     # What a content holds goes to those around it until none learns more, so cycles end and lose nothing.
-    work = [content for content, found in held.items() if found]
+    work = [d for d, found in held.items() if found]
     while work:
         content = work.pop()
         for around in outer.get(content, ()):
