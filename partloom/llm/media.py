@@ -89,23 +89,35 @@ def sounds(docs: DataFrame, with_media: bool = False, with_pairs: bool = False)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema += ", media binary" * with_media + ", pairs array<struct<t:int,code:int>>" * with_pairs
 
-    def one(text: str | None) -> tuple:
+    names = [x.split()[0] for x in schema.split(", ")[:7]] + ["feature"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def one(text: str | None) -> tuple[list, bytes, np.ndarray, np.ndarray]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         stored = to_wav(padded(raw))
         back = from_wav(stored)
         found, bins = peaks(back)
         t, code = pairs(found, bins)
         digest = hashlib.blake2b(t.tobytes() + code.tobytes(), digest_size=16).hexdigest()
-        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), f"frames={frames(len(back))};peaks={len(found)};pairs={len(t)};print={digest}")
-        return row + (stored,) * with_media + ([{"t": a, "code": b} for a, b in zip(t.tolist(), code.tolist(), strict=True)],) * with_pairs
-
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    types += [pa.binary()] * with_media + [pa.list_(pa.struct([("t", pa.int32()), ("code", pa.int32())]))] * with_pairs
+        return [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), f"frames={frames(len(back))};peaks={len(found)};pairs={len(t)};print={digest}"], stored, t, code
+
+    def some(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        rows = [one(t) for t in texts]
+        columns, heads = [ids, *[pa.array([r[0][i] for r in rows], k) for i, k in enumerate(types)]], names.copy()
+        if with_media:
+            columns.append(pa.array([r[1] for r in rows], pa.binary()))
+            heads.append("media")
+        if with_pairs:
+            ends = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
+            both = pa.StructArray.from_arrays([pa.array(np.concatenate([r[i] for r in rows])) for i in (2, 3)], names=["t", "code"])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), both))
+            heads.append("pairs")
+        return pa.RecordBatch.from_arrays(columns, names=heads)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            rows = [one(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]], names=names)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield some(part.column(0), part.column(1).to_pylist())
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

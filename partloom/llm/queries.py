@@ -31,7 +31,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.sounds(table(spark, sf_dir, "documents"))
+    return media.sounds(table(spark, sf_dir, "documents"), with_pairs=True)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

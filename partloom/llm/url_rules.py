@@ -4,10 +4,11 @@ A rule is (host, path, verdict). It fits its host and every subdomain if the url
 rules that fit, the one with the longest host and path wins (ties: the smaller rule string, then the smaller verdict).
 
 Reversing a host's labels ("com.example.www.") turns "this host and all its subdomains" into one interval of keys, and
-such intervals nest. Rule starts, rule ends and urls are sorted together; going through them in order, the number of
-open intervals is a running sum and the rule open at each level is the last start of that level, so a stack of active
-nested rules is one window over the sorted rows. The rows of a top-level label are dealt over `spread` parts, each with
-all rule ends and starts of that label, so that one host with most urls is no hot key.
+such intervals nest. Rule starts, rule ends and the urls' distinct hosts are sorted together; going through them in order,
+the number of open intervals is a running sum and the rule open at each level is the last start of that level, so a stack
+of active nested rules is one window over the sorted rows. The hosts of a top-level label are dealt over slices of about
+`HOSTS` each, by their measured number, and each slice has all rule ends and starts of that label. Urls meet the stack of
+their host in a join of two tables, which adaptive execution splits where one host has most urls.
 
 Defined results: a null url, or one without "://", has an empty host and path and gets the default verdict, as does any
 url that no rule fits; rules without a host are ignored; equal rules count once; repeated rows each get a row. The paths
@@ -16,11 +17,17 @@ of one rule host travel together in one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from partloom.llm.common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hosts in a slice, about.
+HOSTS = 100_000
 _LAST = "\U0010ffff"  # sorts after every continuation of a key
 
 
@@ -41,47 +48,49 @@ def reversed_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", spread: int = 256) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages (page_id, url). rules: host, path, verdict."""
+def stacks(hosts: DataFrame, rules: DataFrame, spread: int = 1) -> DataFrame:
+    """url_host, stack: for every row of hosts (url_host) the rule hosts that hold it, outermost first, with their paths.
+
+    rules: host, path, verdict. spread: slices of a top-level label at least.
+    """
     part_of = lambda key: F.substring_index(key, ".", 1)
-    hosts = (
+    by_host = (
         rules.where(F.length("host") > 0)
-        .select(F.col("host"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.col("verdict"))
+        .select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .groupBy("host")
         .agg(F.array_sort(F.collect_set(F.struct("path", "verdict"))).alias("paths"))
         .withColumn("key", reversed_key(F.col("host")))
+        .withColumn("part", part_of(F.col("key")))
     )
     levels = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0  # a host name has at most 127 labels
+    given = hosts.withColumn("at", reversed_key(F.col("url_host"))).withColumn("part", part_of(F.col("at")))
+    loads = given.groupBy("part").agg(F.greatest(F.lit(spread), F.ceil(F.count(F.lit(1)) / HOSTS)).cast("int").alias("slices"))
     marks = F.array(
         F.struct(F.col("key").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")),
         F.struct(F.concat("key", F.lit(_LAST)).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step")),
     )
-    events = hosts.select(
-        part_of(F.col("key")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("slice"), "host", "paths", marks.alias("marks"),
-    ).select("part", "slice", "host", "paths", F.inline("marks")).withColumns({"page_id": F.lit(None).cast("long"), "url_host": F.lit(None).cast("string"), "url_path": F.lit(None).cast("string")})
-    urls = pages.select("page_id", host_of(F.col("url")).alias("url_host"), path_of(F.col("url")).alias("url_path"))
-    points = urls.select(
-        part_of(reversed_key(F.col("url_host"))).alias("part"),
-        F.pmod(F.xxhash64("page_id", "url_path"), F.lit(spread)).cast("int").alias("slice"),
-        F.lit(None).cast("string").alias("host"), F.lit(None).cast(events.schema["paths"].dataType).alias("paths"),
-        reversed_key(F.col("url_host")).alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("step"), F.col("page_id").cast("long").alias("page_id"), "url_host", "url_path",
-    )
+    events = by_host.join(loads, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.struct("host", "paths").alias("rule"), marks.alias("marks"))
+    events = events.select("part", "slice", F.inline("marks"), "rule", F.lit(None).cast("string").alias("url_host"))
+    points = given.join(loads, "part").select(
+        "part", F.pmod(F.xxhash64("url_host"), F.col("slices")).cast("int").alias("slice"), "at", F.lit(1).alias("kind"), F.lit(0).alias("step"), F.lit(None).cast(events.schema["rule"].dataType).alias("rule"), "url_host",
+    )
     sweep = W.partitionBy("part", "slice").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     both = events.unionByName(points).withColumn("depth", F.sum("step").over(sweep))
-    opened = lambda level: F.last(F.when((F.col("kind") == 0) & (F.col("depth") == level), F.struct("host", "paths")), ignorenulls=True).over(sweep)
-    both = both.withColumns({f"open{i}": opened(i) for i in range(1, levels + 1)})
+    opened = lambda level: F.last(F.when((F.col("kind") == 0) & (F.col("depth") == level), F.col("rule")), ignorenulls=True).over(sweep)
+    both = both.withColumns({f"open{i}": opened(i) for i in range(1, levels + 1)}).where("kind = 1")
+    none = F.lit(None).cast(events.schema["rule"].dataType)
+    held = F.array_compact(F.array(none, *[F.when(F.col("depth") >= i, F.col(f"open{i}")) for i in range(1, levels + 1)]))
+    return both.select("url_host", held.alias("stack"))
 
-    def fitting(level: int) -> Column:
-        open_host = F.col(f"open{level}.host")
 
-        def as_rule(p: Column) -> Column:
-            rule = F.concat(open_host, p["path"])
-            return F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), p["verdict"].alias("verdict"))
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", spread: int = 1) -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of pages (page_id, url). rules: host, path, verdict."""
+    urls = pages.select("page_id", host_of(F.col("url")).alias("url_host"), path_of(F.col("url")).alias("url_path"))
+    of_host = cut(stacks(urls.select("url_host").distinct(), rules, spread))
 
-        here = F.filter(F.col(f"open{level}.paths"), lambda p: F.col("url_path").startswith(p["path"]))
-        return F.when(F.col("depth") >= level, F.transform(here, as_rule))
+    def as_rule(host: Column) -> Callable[[Column], Column]:
+        return lambda p: F.struct((-F.length(F.concat(host, p["path"]))).alias("size"), F.concat(host, p["path"]).alias("rule"), p["verdict"].alias("verdict"))
 
-    none = F.lit(None).cast("array<struct<size:int,rule:string,verdict:string>>")
-    fits = F.flatten(F.filter(F.array(none, *map(fitting, range(1, levels + 1))), lambda x: x.isNotNull()))
-    best = both.where(F.col("kind") == 1).withColumn("best", F.array_min(fits))
+    fits = F.flatten(F.transform("stack", lambda r: F.transform(F.filter(r["paths"], lambda p: F.col("url_path").startswith(p["path"])), as_rule(r["host"]))))
+    best = urls.join(of_host, "url_host").withColumn("best", F.array_min(fits))
     return best.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

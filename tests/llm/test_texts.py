@@ -308,3 +308,21 @@ def test_added_spans_against_a_plain_decoder():
             parts += [rng.choice(["see", "é", "x=1"]), run, *([run] if rng.random() < 0.3 else [])]
         text = " ".join(parts)
         assert set(slow_find(text)) <= set(secrets.find(text)[1])
+
+
+def test_peaks_and_pairs_against_plain_sums():
+    rng = np.random.default_rng(9)
+    payload = rng.integers(0, 256, 64 * 11, dtype=np.uint8)
+    samples = [*(int(x) - 128 for x in payload), *[0] * 500]
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / 255) for i in range(256)]
+    want = []
+    for f in range(media.frames(len(payload))):
+        frame = [samples[f * 128 + i] * window[i] for i in range(256)]
+        loud = [abs(sum(x * np.exp(-2j * np.pi * k * i / 256) for i, x in enumerate(frame))) for k in range(129)]
+        best = [max(range(a, b), key=lambda k: loud[k]) for a, b in media.BANDS]
+        want += [(f, k) for k in best if loud[k] > sum(loud[k] for k in best) / len(best)]
+    times, bins = media.peaks(payload.tobytes())
+    assert list(zip(times.tolist(), bins.tolist(), strict=True)) == want
+    t, code = media.pairs(times, bins)
+    near = sorted((a, b << 13 | d - 1 << 6 | c - a) for i, (a, b) in enumerate(want) for c, d in want[i + 1 : i + 4] if c - a <= 63)
+    assert list(zip(t.tolist(), code.tolist(), strict=True)) == near
