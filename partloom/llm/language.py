@@ -38,7 +38,7 @@ def _trigram(code: int) -> np.ndarray:
         if len(_known) > 20_000:
             _known.clear()
         a, b, c = code >> 24, code >> 12 & 4095, code & 4095
-        v = _known[code] = (_PLACES[0][a] * _PLACES[1][b] * _PLACES[2][c]).astype(np.float32)
+        v = _known[code] = _PLACES[0][a] * _PLACES[1][b] * _PLACES[2][c]
     return v
 
 
@@ -64,7 +64,7 @@ def encode(texts: list[str | None]) -> np.ndarray:
             for row, (codes, n) in zip(counts, found, strict=True):
                 here = slice(*np.searchsorted(codes, [some[0], some[-1] + 1]))
                 row[np.searchsorted(some, codes[here])] = n[here]
-            out[at : at + len(found)] += counts @ np.stack([_trigram(c) for c in some.tolist()])
+            out[at : at + len(found)] += counts @ np.stack([_trigram(c) for c in some.tolist()]).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
