@@ -6,6 +6,7 @@ LEAD_WARN_DAYS, LEAD_CRITICAL_DAYS = 84, 168
 STOCK_BUFFER_PCT = 10
 MIN_SOURCES = 2
 REVIEW_CONFIDENCE = 90
+FUZZY_SIMILARITY = 88
 MAX_ALTERNATES = 5
 WEIGHTS = {"lifecycle": 1.0, "availability": 1.0, "sourcing": 0.8, "lead_time": 0.7, "compliance": 0.6, "data_quality": 0.5, "cost": 0.4}
 
@@ -77,3 +78,98 @@ CATEGORY_GROUPS = {
     "regulator": "power", "switching": "power", "transistor": "discrete", "mosfet": "discrete", "diode": "discrete", "microcontroller": "mcu", "microprocessor": "mcu", "op amp": "analog", "adc": "analog",
     "dac": "analog", "switch": "analog", "transceiver": "comms", "bridge": "comms", "interface": "comms", "logic": "logic", "buffer": "logic", "register": "logic",
 }
+
+# Engineering values: unit words by kind, prefixes (a capital M apart), and what values are written with
+UNIT_KINDS = {
+    "F": "capacitance", "FARAD": "capacitance", "FARADS": "capacitance", "OHM": "resistance", "OHMS": "resistance", "Ω": "resistance", "R": "resistance", "E": "resistance",
+    "H": "inductance", "HENRY": "inductance", "HENRIES": "inductance", "HZ": "frequency", "HERTZ": "frequency", "V": "voltage", "VOLT": "voltage", "VOLTS": "voltage", "VDC": "voltage",
+    "A": "current", "AMP": "current", "AMPS": "current", "AMPERE": "current", "W": "power", "WATT": "power", "WATTS": "power",
+}
+SI_PREFIXES = {
+    "f": 1e-15, "p": 1e-12, "n": 1e-9, "u": 1e-6, "µ": 1e-6, "μ": 1e-6, "m": 1e-3, "k": 1e3, "K": 1e3, "G": 1e9, "g": 1e9, "T": 1e12, "t": 1e12,
+    "R": 1.0, "r": 1.0, "E": 1.0, "e": 1.0, "P": 1e-12, "N": 1e-9, "U": 1e-6, "F": 1e-15, "MEG": 1e6, "meg": 1e6, "Meg": 1e6,
+}
+ENGINEERING = ((1e12, "T"), (1e9, "G"), (1e6, "M"), (1e3, "k"), (1.0, ""), (1e-3, "m"), (1e-6, "µ"), (1e-9, "n"), (1e-12, "p"), (1e-15, "f"))
+KIND_UNITS = {"resistance": "Ω", "capacitance": "F", "inductance": "H", "frequency": "Hz", "voltage": "V", "current": "A", "power": "W"}
+THT_MARKS = ("DIP-", "TO-92", "TO-220", "TO-247", "TO-3", "RADIAL", "AXIAL", "THT", "THROUGH")
+SMD_MARKS = ("SOIC", "TSSOP", "MSOP", "QFN", "QFP", "BGA", "CSP", "SOT", "SOD", "DO-214", "TO-252", "TO-263", "SON", "DFN")
+
+# Currency symbols and codes, looked for in this order
+CURRENCY_SYMBOLS = {
+    "$": "USD", "US$": "USD", "USD": "USD", "€": "EUR", "EUR": "EUR", "£": "GBP", "GBP": "GBP", "¥": "JPY", "JPY": "JPY", "JP¥": "JPY", "₹": "INR", "INR": "INR", "RS": "INR", "RS.": "INR",
+    "CNY": "CNY", "RMB": "CNY", "￥": "CNY", "CAD": "CAD", "C$": "CAD", "AUD": "AUD", "A$": "AUD", "CHF": "CHF", "SEK": "SEK", "SGD": "SGD", "S$": "SGD", "KRW": "KRW", "₩": "KRW",
+    "HKD": "HKD", "TWD": "TWD", "MXN": "MXN", "BRL": "BRL", "PLN": "PLN", "NOK": "NOK", "DKK": "DKK", "ILS": "ILS", "TRY": "TRY", "ZAR": "ZAR", "NZD": "NZD", "THB": "THB", "MYR": "MYR",
+    "PHP": "PHP", "VND": "VND", "IDR": "IDR", "CZK": "CZK", "HUF": "HUF", "RON": "RON",
+}
+
+# Words that many companies share, and spellings of the commonest makers and distributors; further ones are a parameter
+COMPANY_NOISE = (
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "LLC", "PLC", "GMBH", "AG", "SA", "SAS", "NV", "BV", "AB", "OY", "KK", "PTE", "PVT", "PRIVATE", "GROUP",
+    "HOLDINGS", "THE", "TECHNOLOGY", "TECHNOLOGIES", "SEMICONDUCTOR", "SEMICONDUCTORS", "ELECTRONIC", "ELECTRONICS", "COMPONENTS", "INDUSTRIES", "INTERNATIONAL", "MICROELECTRONICS", "PRODUCTS",
+    "DEVICES", "SOLUTIONS", "AMERICA", "USA", "EUROPE", "JAPAN", "KOREA", "TAIWAN", "CHINA", "AND",
+)
+MAKER_ALIASES = {
+    "Texas Instruments": ("TI", "Texas Instrument", "Texas Inst", "Burr-Brown", "National Semiconductor", "NatSemi", "TI Inc"),
+    "STMicroelectronics": ("ST", "ST Micro", "ST Microelectronics", "SGS-Thomson", "STM"),
+    "Analog Devices": ("ADI", "Analog Devices Inc", "Linear Technology", "Linear Tech", "LTC", "Maxim Integrated", "Maxim", "Hittite"),
+    "Microchip Technology": ("Microchip", "Atmel", "Micrel", "SST", "Microsemi"),
+    "NXP Semiconductors": ("NXP", "Freescale", "Freescale Semiconductor", "Philips Semiconductors"),
+    "Infineon Technologies": ("Infineon", "International Rectifier", "IR", "Cypress", "Cypress Semiconductor", "Ramtron"),
+    "ON Semiconductor": ("ON Semi", "Onsemi", "Fairchild", "Fairchild Semiconductor", "AMI Semiconductor"),
+    "Renesas Electronics": ("Renesas", "Intersil", "IDT", "Integrated Device Technology", "Dialog Semiconductor", "Dialog", "NEC Electronics"),
+    "Murata Electronics": ("Murata", "Murata Manufacturing", "Murata Mfg", "Toko"),
+    "TDK Corporation": ("TDK", "TDK-EPC", "EPCOS", "TDK Epcos", "InvenSense"),
+    "Samsung Electro-Mechanics": ("Samsung", "SEMCO", "Samsung Electro Mechanics"),
+    "Yageo": ("Yageo Corporation", "Phycomp", "KEMET", "Kemet", "NIC Components"),
+    "Vishay": ("Vishay Intertechnology", "Vishay Dale", "Vishay Sprague", "Vishay Beyschlag", "Dale", "Sprague", "Siliconix", "Vishay Siliconix"),
+    "Panasonic": ("Panasonic Electronic Components", "Matsushita", "Panasonic Industrial"),
+    "Wurth Elektronik": ("Wurth", "Würth", "Würth Elektronik", "WE", "Wurth Electronics"),
+    "TE Connectivity": ("TE", "Tyco Electronics", "Tyco", "AMP", "Raychem", "Deutsch"),
+    "Molex": ("Molex Connector", "Molex LLC"),
+    "Rohm Semiconductor": ("Rohm", "Lapis", "Lapis Semiconductor"),
+    "Diodes Incorporated": ("Diodes Inc", "Diodes", "Zetex", "Pericom"),
+    "Skyworks Solutions": ("Skyworks", "Silicon Labs", "Silicon Laboratories", "SiLabs"),
+    "Broadcom": ("Avago", "Avago Technologies", "LSI"),
+    "Nordic Semiconductor": ("Nordic", "Nordic Semi"),
+    "AMD Xilinx": ("Xilinx", "AMD"),
+    "Intel": ("Altera", "Intel PSG"),
+}
+DISTRIBUTOR_ALIASES = {
+    "DigiKey": ("Digi-Key", "Digi Key", "DigiKey Electronics", "Digi-Key Electronics", "DK"),
+    "Mouser Electronics": ("Mouser", "Mouser Electronics Inc"),
+    "Arrow Electronics": ("Arrow", "Arrow Electronics Inc", "Arrow.com", "Verical"),
+    "Farnell": ("Farnell element14", "Farnell / element14", "element14", "Premier Farnell", "Newark", "Newark element14", "element14 APAC"),
+    "RS Components": ("RS", "RS-Online", "RS Online", "Allied Electronics", "Allied Electronics & Automation"),
+    "LCSC Electronics": ("LCSC", "LCSC.com", "Szlcsc"),
+    "Avnet": ("Avnet Americas", "Avnet Europe", "Avnet Asia", "Avnet Abacus", "EBV Elektronik"),
+    "TTI": ("TTI Inc", "TTI Inc.", "TTI Europe"),
+    "Future Electronics": ("Future", "FAI"),
+}
+
+# The dossier's hints, the first prefix that fits counts
+PREFIX_MAKERS = (
+    ("STM32", "STMicroelectronics"), ("STM8", "STMicroelectronics"), ("ST", "STMicroelectronics"), ("ATTINY", "Microchip"), ("ATMEGA", "Microchip"), ("AT90", "Microchip"), ("AT28", "Microchip"),
+    ("AT25", "Microchip"), ("AT24", "Microchip"), ("ATSAM", "Microchip"), ("ATSAMD", "Microchip"), ("PIC16", "Microchip"), ("PIC18", "Microchip"), ("PIC24", "Microchip"), ("ESP32", "Espressif"),
+    ("ESP8266", "Espressif"), ("NRF52", "Nordic Semiconductor"), ("NRF51", "Nordic Semiconductor"), ("MSP430", "Texas Instruments"), ("CC13", "Texas Instruments"), ("CC26", "Texas Instruments"),
+    ("TPS", "Texas Instruments"), ("LM", "Texas Instruments"), ("OPA", "Texas Instruments"), ("TLC", "Texas Instruments"), ("ADS", "Texas Instruments"), ("DAC", "Texas Instruments"),
+    ("ADC", "Texas Instruments"), ("SN74", "Texas Instruments"), ("CD74", "Texas Instruments"), ("LPC", "NXP"), ("LM", "NXP"), ("74HC", "Nexperia"), ("74LVC", "Nexperia"), ("BC", "Nexperia"),
+    ("NE555", "Texas Instruments"), ("SG3525", "STMicroelectronics"), ("USB", "Microchip"),
+)
+MAKER_SHORT_NAMES = {
+    "TI": "Texas Instruments", "TEXAS": "Texas Instruments", "TEXAS INSTRUMENTS": "Texas Instruments", "STM": "STMicroelectronics", "STMICRO": "STMicroelectronics",
+    "ST MICROELECTRONICS": "STMicroelectronics", "ATMEL": "Microchip", "MICROCHIP TECHNOLOGY": "Microchip", "NXP SEMICONDUCTORS": "NXP", "NXPSEMICONDUCTORSN.V.": "NXP",
+    "INFINEON TECHNOLOGIES": "Infineon", "FAIRCHILD": "ON Semiconductor", "ON SEMI": "ON Semiconductor",
+}
+SUFFIX_PACKAGES = {
+    "T6": "LQFP144", "VGT6": "LQFP100", "VET6": "LQFP100", "VIT6": "LQFP100", "RGT6": "LQFP64", "RET6": "LQFP64", "RCT6": "LQFP64", "C8T6": "LQFP48", "CBT6": "LQFP48", "C6T6": "LQFP48",
+    "CBU7": "UFBGA48", "JTRS6": "WLCSP", "JYT6": "WLCSP",
+}
+PACKAGE_WORD = r"(?i)(SOIC[- ]?\d+|LQFP[- ]?\d+|TSSOP[- ]?\d+|QFN[- ]?\d+|DIP[- ]?\d+|SOT23[- ]?\d*|SOP[- ]?\d+)"
+
+# Lifecycle: the state after each, the states that may follow, and events that are notices only
+LIFECYCLE_NEXT = {"ACTIVE": "NRND", "NRND": "EOL_ANNOUNCED", "EOL_ANNOUNCED": "LAST_TIME_BUY", "LAST_TIME_BUY": "OBSOLETE"}
+LIFECYCLE_GRAPH = {
+    "ACTIVE": ("NRND", "EOL_ANNOUNCED", "UNKNOWN"), "NRND": ("EOL_ANNOUNCED", "ACTIVE", "UNKNOWN"), "EOL_ANNOUNCED": ("LAST_TIME_BUY", "OBSOLETE", "NRND", "ACTIVE", "UNKNOWN"),
+    "LAST_TIME_BUY": ("OBSOLETE", "EOL_ANNOUNCED", "UNKNOWN"), "OBSOLETE": ("ACTIVE", "UNKNOWN"), "UNKNOWN": ("ACTIVE", "NRND", "EOL_ANNOUNCED", "LAST_TIME_BUY", "OBSOLETE", "UNKNOWN"),
+}
+NOTICE_EVENTS = ("PCN", "PDN")

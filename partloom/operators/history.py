@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from partloom import constants as C
+from partloom.functions.values import lookup
+
 
 def trends(snapshots: DataFrame) -> DataFrame:
     """First and last price of each part and distributor, with the change in tenths of a percent and its direction."""
@@ -64,3 +67,38 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     late = F.col("ts") >= F.lag("ts").over(w) + F.expr(f"interval {gap_minutes} minutes")
     got = events.withColumn("new", F.when(F.coalesce(late, F.lit(True)), 1).otherwise(0)).withColumn("session", F.sum("new").over(w))
     return got.groupBy("user_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("events"))
+
+
+# What the given event types stand for.
+EVENT_KINDS = {"click": "PCN", "view": "PDN", "signup": "SUCCESSOR", "error": "EOL_ANNOUNCED", "purchase": "LAST_TIME_BUY"}
+
+
+def event_kind(event_type: Column) -> Column:
+    return F.coalesce(lookup(EVENT_KINDS, event_type), event_type)
+
+
+def may_follow(state: Column) -> Column:
+    """The states that may come after one; any may after an unknown one."""
+    known = F.create_map(*[x for s, after in C.LIFECYCLE_GRAPH.items() for x in (F.lit(s), F.array(*map(F.lit, after)))])
+    return F.coalesce(F.try_element_at(known, state), F.try_element_at(known, F.lit("UNKNOWN")))
+
+
+def advance(state: Column, kind: Column) -> Column:
+    """The state after one event: a step forward, but for notices of changes, which leave it."""
+    return F.when(kind.isin(*C.NOTICE_EVENTS), state).otherwise(F.coalesce(lookup(C.LIFECYCLE_NEXT, state), state))
+
+
+def advanced(events: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, state, steps, notices: the state that all events (keys, kind) lead to from ACTIVE.
+
+    Every event that isn't a notice goes one step forward whatever it says, so the fold is a count, without an order.
+    """
+    notice = F.col("kind").isin(*C.NOTICE_EVENTS)
+    got = events.groupBy(*keys).agg(F.count_if(~notice).alias("steps"), F.count_if(notice).alias("notices"))
+    state = F.element_at(F.array(*[F.lit(s) for s in STEPS]), F.least(F.col("steps"), F.lit(len(STEPS) - 1)).cast("int") + 1)
+    return got.select(*keys, state.alias("state"), "steps", "notices")
+
+
+def new_notices(known: DataFrame, told: DataFrame) -> DataFrame:
+    """The distinct rows of told (part_id, event) that known doesn't have."""
+    return told.distinct().join(known, ["part_id", "event"], "left_anti")

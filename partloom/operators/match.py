@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom import constants as C
+from partloom.functions import similar
 from partloom.functions import units as U
 
 
@@ -35,3 +36,26 @@ def summary(matches: DataFrame, review: int = C.REVIEW_CONFIDENCE) -> DataFrame:
         F.count(F.lit(1)).alias("lines"), F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"), F.count_if(hit & (F.col("confidence") < review)).alias("needs_review"),
         F.sum(F.when(hit, F.col("confidence"))).cast("long").alias("confidence_sum"),
     )
+
+
+def _without_one(key: str) -> Column:
+    """The text itself and every text that lacks one of its characters."""
+    k = F.col(key)
+    cuts = F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))
+    return F.array_distinct(F.concat(F.array(k), cuts))
+
+
+def fuzzy(lines: DataFrame, parts: DataFrame, least: float = C.FUZZY_SIMILARITY) -> DataFrame:
+    """bom_id, source_row, part_id, similarity (hundredths): for lines (bom_id, source_row, mpn_key) the part with the most
+    similar number, of those that share all but one character on each side; equal ones go to the smaller id.
+
+    Distinct keys are compared, and only those that meet in a shortened form, so neither lines nor parts are paired up.
+    Keys below four characters tell too little and are left out.
+    """
+    short = lambda df, key: df.select(key).distinct().where(F.length(key) >= 4).select(key, F.explode(_without_one(key)).alias("form"))
+    given = lines.where("mpn_key <> ''")
+    first = parts.where("mpn_key <> ''").groupBy(F.col("mpn_key").alias("p_key")).agg(F.min("part_id").alias("part_id"))
+    pairs = short(given, "mpn_key").join(short(first, "p_key"), "form").select("mpn_key", "p_key").distinct()
+    scored = pairs.withColumn("similarity", F.round(similar.ratio("mpn_key", "p_key") * 100).cast("int")).where(F.col("similarity") >= least * 100)
+    best = scored.join(first, "p_key").groupBy("mpn_key").agg(F.min_by(F.struct("part_id", "similarity"), F.struct(-F.col("similarity"), "part_id")).alias("b"))
+    return given.join(best, "mpn_key").select("bom_id", "source_row", "b.part_id", "b.similarity")

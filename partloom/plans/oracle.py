@@ -321,3 +321,94 @@ SQL |= {
     "quote_rows": _scored(f"select l.bom_id, l.source_row, l.mpn, l.manufacturer, s.required as quantity from scored s join v_bom_line l using (bom_id, source_row) where not l.dnp and {mpn_key('l.mpn')} <> ''"),
     "compliance_exceptions": _scored("select bom_id, source_row, part_id, rohs, reach, eccn from scored where coalesce(not (rohs = 'Compliant' and reach in ('Compliant', 'Unknown') and eccn = 'EAR99'), true)"),
 }
+
+
+def _known(x: str, m: dict) -> str:
+    return "(" + _case(x, m) + ")"
+
+
+def _aliases(m: dict) -> dict[str, str]:
+    keyed: dict[str, str] = {}
+    for name, spellings in m.items():
+        for s in (name, *spellings):
+            keyed["".join(c for c in s.upper() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = name
+    return keyed
+
+
+_SLUG = r"regexp_replace(upper({0}), '[^A-Z0-9]+', '', 'g')"
+_UNITS = "|".join(sorted(C.UNIT_KINDS, key=len, reverse=True))
+
+
+def _values(x: str, source: str) -> dict[str, str]:
+    """CTEs that end in `parsed`: the rows of source with base and kind of the text x."""
+    scale = f"case when prefix = '' then 1.0::double when prefix = 'M' then case when kind in ('capacitance', 'inductance') then 1e-6::double else 1e6::double end else coalesce({_case('prefix', C.SI_PREFIXES)}, {_case('lower(prefix)', C.SI_PREFIXES)})::double end"
+    return {
+        "texts": rf"select *, regexp_replace(regexp_replace({clean(x)}, '(?i)\b(nom|nominal|typ|typical|max|min)\b', '', 'g'), '\s', '', 'g') as t from {source}",
+        "shapes": r"select *, regexp_matches(t, '(?i)^\d+[REKMGTpnuf]\d+$') as rkm, regexp_matches(t, '^\d+/\d+[A-Za-z]{1,6}$') as part, regexp_matches(t, '^\d+([.,]\d+)?[A-Za-z]{0,8}$') as plain from texts",
+        "split": rf"""select *, case when rkm then regexp_extract(t, '(?i)^\d+([A-Z])', 1) when part then regexp_extract(t, '[A-Za-z]+$') else regexp_extract(t, '[A-Za-z]*$') end as tail,
+            case when rkm then replace(regexp_replace(t, '[A-Za-z]', '.'), ',', '.')::double when part and regexp_extract(t, '/(\d+)', 1)::int <> 0 then regexp_extract(t, '^\d+')::double / regexp_extract(t, '/(\d+)', 1)::double
+            when plain then replace(regexp_extract(t, '^\d+(?:[.,]\d+)?'), ',', '.')::double end as number from shapes""",
+        "units": rf"select *, case when rkm then '' else regexp_extract(upper(tail), '({_UNITS})$', 1) end as unit, case when rkm or regexp_matches(upper(tail), '({_UNITS})$') then '' else regexp_extract(upper(tail), '({_UNITS})S$', 1) end as many from split",
+        "kinds": f"select *, case when rkm then case when upper(tail) in ('R', 'E', 'K', 'M', 'G', 'T') then 'resistance' when tail in ('p', 'n', 'u', 'f') then 'capacitance' end else {_case('unit || many', C.UNIT_KINDS)} end as kind, left(tail, length(tail) - length(unit) - case when many <> '' then length(many) + 1 else 0 end) as prefix from units",
+        "scaled": f"select *, number * ({scale}) as base from kinds",
+        "parsed": "select * replace (case when base is not null then kind end as kind) from scaled",
+    }
+
+
+_MAKER_WORDS = f"list_filter({tokens('maker_text')}, lambda w: w not in {_in(C.COMPANY_NOISE)})"
+_SELLER_WORDS = f"list_filter({tokens('seller_text')}, lambda w: w not in {_in(C.COMPANY_NOISE)})"
+_MONEY = r"regexp_replace(regexp_extract(price_text, '-?\d[\d,.\s'']*'), '[\s'']', '', 'g')"
+_VOTES = rf"""with n as (select part_id % 40 as sheet, {_MONEY} as x from v_spelled),
+    k as (select *, contains(x, ',') as c, contains(x, '.') as p, len(x) - len(replace(x, ',', '')) as nc, len(x) - len(replace(x, '.', '')) as np, len(regexp_extract(x, '[^,]*$')) as ct, len(regexp_extract(x, '[^.]*$')) as pt, regexp_matches(x, ',[^.]*$') as comma_last from n)
+    select sheet, count(*) filter (case when c and p then comma_last else nc = 1 and ct <> 3 end) as comma_votes, count(*) filter (case when c and p then not comma_last else nc <> 1 and np = 1 and pt <> 3 end) as point_votes,
+    comma_votes > 0 and comma_votes >= point_votes as decimal_comma from k group by sheet"""
+_EVENT_KIND = "case event_type when 'click' then 'PCN' when 'view' then 'PDN' when 'signup' then 'SUCCESSOR' when 'error' then 'EOL_ANNOUNCED' when 'purchase' then 'LAST_TIME_BUY' else event_type end"
+_ADVANCED = f"""advanced as (select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) filter (event_type not in ('click', 'view')) as steps, count(*) filter (event_type in ('click', 'view')) as notices,
+    case least(count(*) filter (event_type not in ('click', 'view')), 4) when 0 then 'ACTIVE' when 1 then 'NRND' when 2 then 'EOL_ANNOUNCED' when 3 then 'LAST_TIME_BUY' else 'OBSOLETE' end as state from events group by all)"""
+_TOLD = r"(select part_id, unnest(list_transform(list_filter(string_split_regex(replace(replace(description, '/', ' '), ',', ' '), '\s+'), lambda w: regexp_matches(w, '^\d')), lambda w: w)) as w, generate_subscripts(list_filter(string_split_regex(replace(replace(description, '/', ' '), ',', ' '), '\s+'), lambda w: regexp_matches(w, '^\d')), 1) as at from v_spelled)"
+
+
+def _cuts(key: str, source: str) -> str:
+    return f"select distinct k, left(k, i - 1) || substr(k, i + 1) as form from (select k, unnest(range(1, length(k) + 1)) as i from (select distinct {key} as k from {source}) where length(k) >= 4) union select distinct {key}, {key} from {source} where length({key}) >= 4"
+
+
+SQL |= {
+    "value_parsing": _with(_values("value_text", "v_spelled"), "select part_id, value_text, base, kind from parsed"),
+    "value_agreement": _with(
+        {f"d_{k}": v.replace("from texts", "from d_texts").replace("from shapes", "from d_shapes").replace("from split", "from d_split").replace("from units", "from d_units").replace("from kinds", "from d_kinds").replace("from scaled", "from d_scaled") for k, v in _values("w", _TOLD).items()}
+        | _values("value_text", "v_spelled"),
+        """select part_id, told, case when base is null or told is null then null when kind is distinct from told_kind and kind is not null then false when base = 0 or told = 0 then base = told else abs(base - told) <= 0.02::double * greatest(base, told) end as agrees
+        from parsed left join (select part_id, arg_min(base, at) as told, arg_min(kind, at) as told_kind from d_parsed where kind in ('resistance', 'capacitance', 'inductance', 'frequency') group by part_id) using (part_id)""",
+    ),
+    "maker_names": with_views(f"""select part_id, case when {_SLUG.format('maker_text')} = '' then '' else coalesce({_known(_SLUG.format('maker_text'), _aliases(C.MAKER_ALIASES))}, {_known(f"array_to_string(case when len({_MAKER_WORDS}) > 0 then {_MAKER_WORDS} else {tokens('maker_text')} end, '')", _aliases(C.MAKER_ALIASES))},
+        array_to_string(list_transform(case when len({_MAKER_WORDS}) > 0 then {_MAKER_WORDS} else {tokens('maker_text')} end, lambda w: case when regexp_matches(w, '^[A-Z]{{1,3}}$') then w else w[1] || lower(w[2:]) end), ' ')) end as maker,
+        case when {_SLUG.format('seller_text')} = '' then '' else coalesce({_known(_SLUG.format('seller_text'), _aliases(C.DISTRIBUTOR_ALIASES))}, {_known(f"array_to_string({_SELLER_WORDS}, '')", _aliases(C.DISTRIBUTOR_ALIASES))}, trim(seller_text)) end as seller from v_spelled"""),
+    "price_texts": with_views(rf"""select part_id, (case when x = '' then null when contains(x, ',') and contains(x, '.') then case when regexp_matches(x, ',[^.]*$') then replace(replace(x, '.', ''), ',', '.') else replace(x, ',', '') end
+        when len(x) - len(replace(x, ',', '')) > 1 or regexp_matches(x, ',\d\d\d$') then replace(x, ',', '') else replace(x, ',', '.') end::decimal(18,6) * 1000000)::bigint as micro, currency, currency_code
+        from (select part_id, {_MONEY} as x, {'coalesce(' + ', '.join(f"case when contains(upper(price_text), {_q(k)}) then {_q(C.CURRENCY_SYMBOLS[k])} end" for k in sorted(C.CURRENCY_SYMBOLS, key=len, reverse=True)) + ')'} as currency,
+        case when c = '' then 'USD' else coalesce({_case('c', C.CURRENCY_SYMBOLS)}, case when regexp_matches(c, '^[A-Z]{{3}}$') then c end, {', '.join(f"case when contains(c, {_q(k)}) then {_q(x)} end" for k, x in C.CURRENCY_SYMBOLS.items())}, 'USD') end as currency_code
+        from (select *, replace(upper(trim(currency_text)), ' ', '') as c from v_spelled))"""),
+    "comma_convention": with_views(_VOTES).replace(" with n as", ", n as") if with_views(_VOTES) != _VOTES else _VOTES,
+    "part_number_hints": _with(
+        {"tidy": r"select *, regexp_replace(regexp_replace(upper(trim(mpn_text)), '^[ .\t-]+|[ .\t-]+$', '', 'g'), '\s+', ' ', 'g') as mpn from v_spelled",
+         "guessed": "select *, coalesce(" + ", ".join(f"case when starts_with(mpn, {_q(p)}) then {_q(m)} end" for p, m in C.PREFIX_MAKERS) + ", '') as maker from tidy"},
+        f"""select part_id, mpn, maker, case when trim(maker_text) = '' then maker else coalesce({_known('upper(trim(maker_text))', C.MAKER_SHORT_NAMES)}, trim(maker_text)) end as maker_hint,
+        coalesce({", ".join(f"case when ends_with(mpn, {_q(k)}) and mpn <> {_q(k)} then {_q(C.SUFFIX_PACKAGES[k])} end" for k in sorted(C.SUFFIX_PACKAGES, key=len, reverse=True))}, upper(regexp_extract(mpn_text, '{C.PACKAGE_WORD}', 1))) as package from guessed""",
+    ),
+    "mount_types": with_views("select package_text, case package_text when '0603' then 'SMD' when '1608 Metric' then 'SMD' when 'DIP8' then 'THT' when 'SOIC8' then 'SMD' when 'TO-220' then 'THT' when 'QFN32' then 'SMD' when 'axial' then 'THT' else '' end as mount, count(*) as parts from v_spelled group by all"),
+    "lifecycle_by_day": f"with {_ADVANCED} select user_id, day, state, steps, notices from advanced",
+    "lifecycle_choices": f"with {_ADVANCED} select state, count(*) as n, (case state when 'ACTIVE' then 3 when 'NRND' then 3 when 'EOL_ANNOUNCED' then 5 when 'LAST_TIME_BUY' then 3 else 2 end)::bigint as choices from advanced group by state",
+    "new_notices": f"select distinct user_id as part_id, {_EVENT_KIND} as event from events e where ts >= timestamp '2024-01-03' and not exists (select 1 from events o where o.user_id = e.user_id and o.event_type = e.event_type and o.ts < timestamp '2024-01-03')",
+    "fuzzy_match": _with(
+        {
+            "given": f"select bom_id, source_row, left(k, at - 1) || substr(k, at + 1) as k from (select bom_id, source_row, {mpn_key('mpn')} as k, (source_row % greatest(length({mpn_key('mpn')}), 1) + 1)::int as at from v_bom_line)",
+            "catalogue": f"select {mpn_key('mpn')} as k, min(part_id) as part_id from v_part group by all",
+            "given_cuts": _cuts("k", "given"), "part_cuts": _cuts("k", "catalogue"),
+            "pairs": "select distinct g.k as a, p.k as b from given_cuts g join part_cuts p using (form)",
+            # Both lack at most one character of what they share, so their blocks hold all others of the shorter, or all but one.
+            "scored": "select a, part_id, round(case when a = b then 10000.0 else 20000.0 * (case when length(a) = length(b) then length(a) - 1 else least(length(a), length(b)) end) / (length(a) + length(b)) end)::int as similarity from pairs join catalogue on k = b",
+            "best": "select a, arg_min(part_id, (-similarity, part_id)) as part_id, max(similarity) as similarity from scored where similarity >= 8800 group by a",
+        },
+        "select bom_id, source_row, part_id, similarity from given join best on a = k",
+    ),
+}

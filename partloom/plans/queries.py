@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from partloom import constants as C
 from partloom.functions import money as M
+from partloom.functions import names as N
 from partloom.functions import text as T
 from partloom.functions import units as U
+from partloom.functions import values as X
 from partloom.functions import vocab as V
 from partloom.operators import alternates, catalogue, cost, evidence, history, lines, match, replacements, risk
 from partloom.plans import analysis
@@ -355,3 +357,76 @@ def quote_rows(v: Frames) -> DataFrame:
 @query
 def compliance_exceptions(v: Frames) -> DataFrame:
     return files.compliance_exceptions(analysis.scored_lines(v))
+
+
+@query
+def value_parsing(v: Frames) -> DataFrame:
+    got = v["v_spelled"].select("part_id", "value_text", X.parse_value(F.col("value_text")).alias("value"))
+    return got.select("part_id", "value_text", F.col("value.base").alias("base"), F.col("value.kind").alias("kind"))
+
+
+@query
+def value_agreement(v: Frames) -> DataFrame:
+    """Whether the value column and the description's value agree, the latter in its shown form."""
+    got = v["v_spelled"].select("part_id", X.parse_value(F.col("value_text")).alias("value"), X.value_from_text(F.col("description")).alias("told"))
+    return got.select("part_id", F.col("told.base").alias("told"), X.same_value(F.col("value"), F.col("told"), 0.02).alias("agrees"))
+
+
+@query
+def maker_names(v: Frames) -> DataFrame:
+    return v["v_spelled"].select("part_id", N.normalize_manufacturer(F.col("maker_text")).alias("maker"), N.normalize_distributor(F.col("seller_text")).alias("seller"))
+
+
+@query
+def price_texts(v: Frames) -> DataFrame:
+    got = v["v_spelled"].select("part_id", X.parse_money(F.col("price_text")).alias("m"), X.normalize_currency(F.col("currency_text")).alias("currency_code"))
+    return got.select("part_id", (F.col("m.amount") * 1_000_000).cast("long").alias("micro"), F.col("m.currency").alias("currency"), "currency_code")
+
+
+@query
+def comma_convention(v: Frames) -> DataFrame:
+    """For each group of price cells, as for each column of a sheet, whether they use decimal commas."""
+    comma, point = X.comma_votes(F.col("price_text"))
+    got = v["v_spelled"].groupBy((F.col("part_id") % 40).alias("sheet")).agg(comma.alias("comma_votes"), point.alias("point_votes"))
+    return got.withColumn("decimal_comma", (F.col("comma_votes") > 0) & (F.col("comma_votes") >= F.col("point_votes")))
+
+
+@query
+def part_number_hints(v: Frames) -> DataFrame:
+    tidy = N.tidy_mpn(F.col("mpn_text"))
+    return v["v_spelled"].select("part_id", tidy.alias("mpn"), N.guess_manufacturer(tidy).alias("maker"), N.maker_hint(F.col("maker_text"), tidy).alias("maker_hint"), N.guess_package(tidy, F.col("mpn_text")).alias("package"))
+
+
+@query
+def mount_types(v: Frames) -> DataFrame:
+    return v["v_spelled"].groupBy(X.mount_type(F.col("package_text")).alias("mount"), "package_text").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query
+def lifecycle_by_day(v: Frames) -> DataFrame:
+    """The state after a day's events of a user taken as a part, from active on, and the notices among them."""
+    kinds = v["events"].select("user_id", F.to_date("ts").cast("string").alias("day"), history.event_kind(F.col("event_type")).alias("kind"))
+    return history.advanced(kinds, ["user_id", "day"])
+
+
+@query
+def lifecycle_choices(v: Frames) -> DataFrame:
+    """How many states may follow the one that each user's events lead to."""
+    kinds = v["events"].select("user_id", F.to_date("ts").cast("string").alias("day"), history.event_kind(F.col("event_type")).alias("kind"))
+    return history.advanced(kinds, ["user_id", "day"]).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.first(F.size(history.may_follow(F.col("state")))).cast("long").alias("choices"))
+
+
+@query
+def new_notices(v: Frames) -> DataFrame:
+    """Notices of the last days that are not on file from earlier days: (part, event) pairs, each once."""
+    told = v["events"].select(F.col("user_id").alias("part_id"), history.event_kind(F.col("event_type")).alias("event"), (F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz")).alias("late"))
+    return history.new_notices(told.where("not late").select("part_id", "event"), told.where("late").select("part_id", "event"))
+
+
+@query
+def fuzzy_match(v: Frames) -> DataFrame:
+    """Lines whose part number lost a character, matched to the catalogue's most similar number."""
+    key = T.normalize_mpn(F.col("mpn"))
+    at = (F.col("source_row") % F.greatest(F.length(key), F.lit(1)) + 1).cast("int")
+    typed = v["v_bom_line"].select("bom_id", "source_row", F.concat(F.substring(key, F.lit(1), at - 1), F.substring(key, at + 1, F.lit(100))).alias("mpn_key"))
+    return match.fuzzy(typed, analysis.catalogue_of(v["v_part"]))

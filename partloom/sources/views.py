@@ -61,6 +61,21 @@ select part_id, pv.provider, mpn, manufacturer, case when (part_id+pv.provider)%
  case when (part_id+pv.provider)%5=0 then 'Unknown' else rohs end as rohs, case when (part_id*3+pv.provider)%11=0 then 'Non-compliant' else reach end as reach,
  cast((part_id*31+pv.provider*17)%60 as int) as offer_count
 from v_part cross join (values (0),(1),(2)) as pv(provider)""",
+    "v_spelled": """
+select p_partkey as part_id,
+ concat(case p_partkey%14 when 0 then concat(cast(p_size as string),'k',cast(p_partkey%10 as string)) when 1 then concat(cast(p_size as string),'n',cast(p_partkey%7 as string),' ') when 2 then concat('1/',cast(p_size as string),'W') when 3 then concat(cast(p_size as string),' nF max')
+  when 4 then concat(cast(p_size as string),'UF') when 5 then concat(cast(p_size as string),',',cast(p_partkey%9 as string),'uH') when 6 then concat(cast(p_size as string),'.5 MHz') when 7 then concat(cast(p_size as string),'MF') when 8 then concat(cast(p_size as string),' ohms')
+  when 9 then concat(cast(p_size as string),'xq') when 10 then concat(cast(p_size as string),'M') when 11 then concat(cast(p_size as string),'m',cast(p_partkey%3 as string)) when 12 then 'n/a' else concat('typ ',cast(p_size as string),'VDC') end,'') as value_text,
+ concat(case p_partkey%5 when 0 then 'RES SMD ' when 1 then 'CAP CER ' when 2 then 'choke, ' when 3 then 'header/' else '' end,cast(p_size*(1+p_partkey%3) as string),case p_partkey%4 when 0 then 'k' when 1 then 'nF' when 2 then 'UF' else ' ohms' end,case when p_partkey%6=0 then ' 1%' else ' 16V' end) as description,
+ case p_partkey%11 when 0 then 'TI' when 1 then 'Texas Instruments, Inc.' when 2 then 'ST Micro' when 3 then 'Freescale' when 4 then concat(p_brand,' Electronics GmbH') when 5 then 'Acme Corp.' when 6 then '' when 7 then 'the Company' when 8 then 'onsemi' when 9 then concat('foo ',cast(p_size as string),' LLC') else p_brand end as maker_text,
+ case p_partkey%7 when 0 then 'Digi-Key' when 1 then 'element14' when 2 then 'Mouser Electronics, Inc.' when 3 then 'RS Online' when 4 then concat('Shop ',cast(p_size as string)) when 5 then '' else 'Arrow.com' end as seller_text,
+ case p_partkey%9 when 0 then concat('$',cast(p_size as string),',',cast(100+p_partkey%900 as string),'.5') when 1 then concat(cast(p_size as string),'.',cast(100+p_partkey%900 as string),',25 EUR') when 2 then concat('INR ',cast(p_size as string),'.125') when 3 then concat(cast(p_size as string),' 234,5 SEK')
+  when 4 then concat(cast(p_size as string),',',cast(100+p_partkey%900 as string)) when 5 then concat('0,0',cast(p_size as string)) when 6 then concat(cast(p_size as string),',000,123') when 7 then 'on request' else concat('US$ ',cast(p_size as string)) end as price_text,
+ case p_partkey%6 when 0 then 'usd' when 1 then ' eur ' when 2 then 'about RS. 5' when 3 then '' when 4 then 'xyz' else '12 CHF net' end as currency_text,
+ concat(case p_partkey%10 when 0 then ' stm32f' when 1 then 'ATMEGA' when 2 then '-lm' when 3 then 'lpc' when 4 then 'nrf52' when 5 then 'TPS' when 6 then 'zz' when 7 then '74hc' when 8 then 'SN74' else 'usb' end,cast(p_size as string),
+  case p_partkey%8 when 0 then 'VGT6' when 1 then 'C8T6 ' when 2 then ' SOIC-8' when 3 then '  dip14' when 4 then 'T6.' when 5 then ' -' when 6 then 'CBU7' else '' end) as mpn_text,
+ case p_partkey%9 when 0 then '0603' when 1 then '1608 Metric' when 2 then 'DIP8' when 3 then 'SOIC8' when 4 then 'TO-220' when 5 then 'QFN32' when 6 then 'axial' when 7 then 'box' else '' end as package_text
+from part""",
 }
 _USES = {v: [x for x in dict.fromkeys(re.findall(r"\b(?:from|join)\s+(\w+)", sql)) if x in TABLES or x in VIEWS] for v, sql in VIEWS.items()}
 
