@@ -83,6 +83,12 @@ def mount_type(package: Column) -> Column:
     return F.when(name == "", "").when(name.isin(*C.METRIC_CHIPS.values()), "SMD").when(has(C.THT_MARKS), "THT").when(has(C.SMD_MARKS), "SMD").otherwise("")
 
 
+def _currency_in(text: Column, symbols: list[str]) -> Column:
+    """The currency of the first of the symbols that the text contains."""
+    found = let(text, lambda t: F.filter(F.array(*map(F.lit, symbols)), lambda s: t.contains(s)))
+    return lookup(C.CURRENCY_SYMBOLS, F.try_element_at(found, F.lit(1)))
+
+
 def normalize_currency(x: Column, default: str = "USD") -> Column:
     """A symbol or code as a three-letter code: known ones, any three letters, else the first known one in the text."""
     text = F.replace(F.upper(clean(x)), F.lit(" "), F.lit(""))

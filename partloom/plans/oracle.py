@@ -335,7 +335,6 @@ def _aliases(m: dict) -> dict[str, str]:
     return keyed
 
 
-_SLUG = r"regexp_replace(upper({0}), '[^A-Z0-9]+', '', 'g')"
 _UNITS = "|".join(sorted(C.UNIT_KINDS, key=len, reverse=True))
 
 
@@ -355,8 +354,6 @@ def _values(x: str, source: str) -> dict[str, str]:
     }
 
 
-_MAKER_WORDS = f"list_filter({tokens('maker_text')}, lambda w: w not in {_in(C.COMPANY_NOISE)})"
-_SELLER_WORDS = f"list_filter({tokens('seller_text')}, lambda w: w not in {_in(C.COMPANY_NOISE)})"
 _MONEY = r"regexp_replace(regexp_extract(price_text, '-?\d[\d,.\s'']*'), '[\s'']', '', 'g')"
 _VOTES = rf"""with n as (select part_id % 40 as sheet, {_MONEY} as x from v_spelled),
     k as (select *, contains(x, ',') as c, contains(x, '.') as p, len(x) - len(replace(x, ',', '')) as nc, len(x) - len(replace(x, '.', '')) as np, len(regexp_extract(x, '[^,]*$')) as ct, len(regexp_extract(x, '[^.]*$')) as pt, regexp_matches(x, ',[^.]*$') as comma_last from n)
@@ -365,7 +362,7 @@ _VOTES = rf"""with n as (select part_id % 40 as sheet, {_MONEY} as x from v_spel
 _EVENT_KIND = "case event_type when 'click' then 'PCN' when 'view' then 'PDN' when 'signup' then 'SUCCESSOR' when 'error' then 'EOL_ANNOUNCED' when 'purchase' then 'LAST_TIME_BUY' else event_type end"
 _ADVANCED = f"""advanced as (select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) filter (event_type not in ('click', 'view')) as steps, count(*) filter (event_type in ('click', 'view')) as notices,
     case least(count(*) filter (event_type not in ('click', 'view')), 4) when 0 then 'ACTIVE' when 1 then 'NRND' when 2 then 'EOL_ANNOUNCED' when 3 then 'LAST_TIME_BUY' else 'OBSOLETE' end as state from events group by all)"""
-_TOLD = r"(select part_id, unnest(list_transform(list_filter(string_split_regex(replace(replace(description, '/', ' '), ',', ' '), '\s+'), lambda w: regexp_matches(w, '^\d')), lambda w: w)) as w, generate_subscripts(list_filter(string_split_regex(replace(replace(description, '/', ' '), ',', ' '), '\s+'), lambda w: regexp_matches(w, '^\d')), 1) as at from v_spelled)"
+_TOLD = r"(select part_id, unnest(list_transform(list_filter(string_split_regex(replace(replace(description, '/', ' '), ',', ' '), '\s+'), lambda w: regexp_matches(w, '^\d')), lambda w: w)) as w, generate_subscripts(list_filter(string_split_regex(replace(replace(description, '/', ' '), ',', ' '), '\s+'), lambda w: regexp_matches(w, '^\d')), 1) as pos from v_spelled)"
 
 
 def _cuts(key: str, source: str) -> str:
@@ -378,13 +375,21 @@ SQL |= {
         {f"d_{k}": v.replace("from texts", "from d_texts").replace("from shapes", "from d_shapes").replace("from split", "from d_split").replace("from units", "from d_units").replace("from kinds", "from d_kinds").replace("from scaled", "from d_scaled") for k, v in _values("w", _TOLD).items()}
         | _values("value_text", "v_spelled"),
         """select part_id, told, case when base is null or told is null then null when kind is distinct from told_kind and kind is not null then false when base = 0 or told = 0 then base = told else abs(base - told) <= 0.02::double * greatest(base, told) end as agrees
-        from parsed left join (select part_id, arg_min(base, at) as told, arg_min(kind, at) as told_kind from d_parsed where kind in ('resistance', 'capacitance', 'inductance', 'frequency') group by part_id) using (part_id)""",
+        from parsed left join (select part_id, arg_min(base, pos) as told, arg_min(kind, pos) as told_kind from d_parsed where kind in ('resistance', 'capacitance', 'inductance', 'frequency') group by part_id) using (part_id)""",
+    ),
+    "maker_names": _with(
+        {
+            "makers(k, name)": "values " + ", ".join(f"({_q(k)}, {_q(n)})" for k, n in _aliases(C.MAKER_ALIASES).items()),
+            "sellers(k, name)": "values " + ", ".join(f"({_q(k)}, {_q(n)})" for k, n in _aliases(C.DISTRIBUTOR_ALIASES).items()),
+            "words": "select part_id, maker_text, seller_text, list_filter(string_split_regex(upper(maker_text), '[^A-Z0-9]+'), lambda w: w <> '') as mw, list_filter(string_split_regex(upper(seller_text), '[^A-Z0-9]+'), lambda w: w <> '') as sw from v_spelled",
+            "telling": f"select *, list_filter(mw, lambda w: w not in {_in(C.COMPANY_NOISE)}) as mt, list_filter(sw, lambda w: w not in {_in(C.COMPANY_NOISE)}) as st from words",
+            "keys": "select part_id, seller_text, array_to_string(mw, '') as m1, case when len(mt) > 0 then mt else mw end as shown, array_to_string(shown, '') as m2, array_to_string(sw, '') as s1, array_to_string(case when len(st) > 0 then st else sw end, '') as s2 from telling",
+        },
+        """select part_id, case when m1 = '' then '' else coalesce(a.name, b.name, array_to_string(list_transform(shown, lambda w: case when regexp_matches(w, '^[A-Z]{1,3}$') then w else w[1] || lower(w[2:]) end), ' ')) end as maker,
+        case when s1 = '' then '' else coalesce(c.name, d.name, trim(seller_text)) end as seller from keys left join makers a on a.k = m1 left join makers b on b.k = m2 left join sellers c on c.k = s1 left join sellers d on d.k = s2""",
     ),
-    "maker_names": with_views(f"""select part_id, case when {_SLUG.format('maker_text')} = '' then '' else coalesce({_known(_SLUG.format('maker_text'), _aliases(C.MAKER_ALIASES))}, {_known(f"array_to_string(case when len({_MAKER_WORDS}) > 0 then {_MAKER_WORDS} else {tokens('maker_text')} end, '')", _aliases(C.MAKER_ALIASES))},
-        array_to_string(list_transform(case when len({_MAKER_WORDS}) > 0 then {_MAKER_WORDS} else {tokens('maker_text')} end, lambda w: case when regexp_matches(w, '^[A-Z]{{1,3}}$') then w else w[1] || lower(w[2:]) end), ' ')) end as maker,
-        case when {_SLUG.format('seller_text')} = '' then '' else coalesce({_known(_SLUG.format('seller_text'), _aliases(C.DISTRIBUTOR_ALIASES))}, {_known(f"array_to_string({_SELLER_WORDS}, '')", _aliases(C.DISTRIBUTOR_ALIASES))}, trim(seller_text)) end as seller from v_spelled"""),
     "price_texts": with_views(rf"""select part_id, (case when x = '' then null when contains(x, ',') and contains(x, '.') then case when regexp_matches(x, ',[^.]*$') then replace(replace(x, '.', ''), ',', '.') else replace(x, ',', '') end
-        when len(x) - len(replace(x, ',', '')) > 1 or regexp_matches(x, ',\d\d\d$') then replace(x, ',', '') else replace(x, ',', '.') end::decimal(18,6) * 1000000)::bigint as micro, currency, currency_code
+        when len(x) - len(replace(x, ',', '')) > 1 or regexp_matches(x, ',\d\d\d$') then replace(x, ',', '') else replace(x, ',', '.') end::decimal(18,6)::decimal(38,6) * 1000000)::bigint as micro, currency, currency_code
         from (select part_id, {_MONEY} as x, {'coalesce(' + ', '.join(f"case when contains(upper(price_text), {_q(k)}) then {_q(C.CURRENCY_SYMBOLS[k])} end" for k in sorted(C.CURRENCY_SYMBOLS, key=len, reverse=True)) + ')'} as currency,
         case when c = '' then 'USD' else coalesce({_case('c', C.CURRENCY_SYMBOLS)}, case when regexp_matches(c, '^[A-Z]{{3}}$') then c end, {', '.join(f"case when contains(c, {_q(k)}) then {_q(x)} end" for k, x in C.CURRENCY_SYMBOLS.items())}, 'USD') end as currency_code
         from (select *, replace(upper(trim(currency_text)), ' ', '') as c from v_spelled))"""),
@@ -401,7 +406,7 @@ SQL |= {
     "new_notices": f"select distinct user_id as part_id, {_EVENT_KIND} as event from events e where ts >= timestamp '2024-01-03' and not exists (select 1 from events o where o.user_id = e.user_id and o.event_type = e.event_type and o.ts < timestamp '2024-01-03')",
     "fuzzy_match": _with(
         {
-            "given": f"select bom_id, source_row, left(k, at - 1) || substr(k, at + 1) as k from (select bom_id, source_row, {mpn_key('mpn')} as k, (source_row % greatest(length({mpn_key('mpn')}), 1) + 1)::int as at from v_bom_line)",
+            "given": f"select bom_id, source_row, left(k, pos - 1) || substr(k, pos + 1) as k from (select bom_id, source_row, {mpn_key('mpn')} as k, (source_row % greatest(length({mpn_key('mpn')}), 1) + 1)::int as pos from v_bom_line)",
             "catalogue": f"select {mpn_key('mpn')} as k, min(part_id) as part_id from v_part group by all",
             "given_cuts": _cuts("k", "given"), "part_cuts": _cuts("k", "catalogue"),
             "pairs": "select distinct g.k as a, p.k as b from given_cuts g join part_cuts p using (form)",
