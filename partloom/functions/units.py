@@ -62,7 +62,11 @@ def normalize_package(x: Column) -> Column:
 
 def packages_equivalent(a: Column, b: Column) -> Column:
     """True, false, or null where the two say too little to compare."""
-    a, b = normalize_package(a), normalize_package(b)
+    return same_package(normalize_package(a), normalize_package(b))
+
+
+def same_package(a: Column, b: Column) -> Column:
+    """packages_equivalent of names that are normalised already."""
     generic = ("THT", "SMD", "SMT", "SMDSMT", "THROUGHHOLE", "SURFACEMOUNT", "MODULE", "SMDMODULE", "BULK", "RADIAL", "AXIAL", "PANEL", "CHASSIS", "BOARD", "MECHANICAL", "HARDWARE", "N/A", "NA", "OTHER", "CUSTOM", "STANDARD", "NONSTANDARD", "SMDPACKAGE", "PCB")  # fixed values
     vague = lambda x: (x == "") | F.regexp_replace(x, "[^A-Z0-9]", "").isin(*generic)
     return F.when(vague(a) | vague(b), None).when(a == b, True).when((F.length(a) < 3) | (F.length(b) < 3), None).otherwise(False)

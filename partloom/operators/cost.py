@@ -46,14 +46,20 @@ def best_option(priced: DataFrame) -> DataFrame:
     fields = ["supp_id", "distributor", "order_qty", "unit_micro", "extended_micro", "covers", "overbuy", "lead_days"]
     low, high = (F.coalesce(f(F.when(F.col("covers"), F.col("unit_micro"))), f("unit_micro")) for f in (F.min, F.max))
     got = priced.groupBy(*key).agg(F.min_by(F.struct(*fields), rank).alias("b"), low.alias("low"), high.alias("high"), F.count(F.lit(1)).alias("options"))
-    return got.select(*key, *[f"b.{f}" for f in fields], "options", ((F.col("high") - F.col("low")) * F.greatest("required", F.lit(1))).alias("savings_micro"))
+    return got.select(*key, *[f"b.{f}" for f in fields], "options", "low", "high", ((F.col("high") - F.col("low")) * F.greatest("required", F.lit(1))).alias("savings_micro"))
 
 
-def line_costs(lines: DataFrame, offers: DataFrame, ladders: DataFrame, build: int = C.BUILD_QUANTITY) -> DataFrame:
-    """Every populated line with its best option; null where no offer prices it."""
+def line_costs(lines: DataFrame, offers: DataFrame, ladders: DataFrame, build: int = C.BUILD_QUANTITY, medians: DataFrame | None = None) -> DataFrame:
+    """Every populated line with its best option; without one, at the part's median price (medians: part_id,
+    median_1k_micro), which is an estimate; null where there is none either."""
     wanted = demands(lines, build)
     best = best_option(options(wanted, usable_offers(offers), ladders))
-    return wanted.join(best, ["part_id", "required"], "left")
+    got = wanted.join(best, ["part_id", "required"], "left").withColumn("estimated", F.lit(False))
+    if medians is None:
+        return got
+    known = got.join(medians.select("part_id", "median_1k_micro"), "part_id", "left").withColumn("estimated", F.col("unit_micro").isNull() & (F.col("median_1k_micro") > 0))
+    told = F.when(F.col("estimated"), F.col("median_1k_micro"))
+    return known.withColumns({"unit_micro": F.coalesce("unit_micro", told), "extended_micro": F.coalesce("extended_micro", told * F.col("required"))}).drop("median_1k_micro")
 
 
 def roll_up(costs: DataFrame, build: int = C.BUILD_QUANTITY) -> DataFrame:

@@ -70,7 +70,7 @@ def _quantity_of_refs() -> Column:
     return F.size("refs")
 
 
-Rule = Callable[[], tuple[Column, str]]
+Rule = Callable[[], tuple[Column, Column]]
 RULES: dict[str, Rule] = {}
 
 
@@ -86,90 +86,101 @@ def line_rule(code: str) -> Callable[[Rule], Rule]:
 
 @line_rule("mpn_numeric")
 def _numeric() -> tuple[Column, str]:
-    return F.col("mpn").rlike(r"^\d+$") & (F.length("mpn") < 5), "warning"
+    return F.col("mpn").rlike(r"^\d+$") & (F.length("mpn") < 5), F.lit("warning")
 
 
 @line_rule("mpn_scientific")
 def _scientific() -> tuple[Column, str]:
-    return F.col("mpn").rlike(r"(?i)^\d(\.\d+)?E[+\-]?\d+$"), "error"
+    return F.col("mpn").rlike(r"(?i)^\d(\.\d+)?E[+\-]?\d+$"), F.lit("error")
 
 
 @line_rule("mpn_too_short")
 def _too_short() -> tuple[Column, str]:
-    return (F.length(T.clean(F.col("mpn"))) < 3) & (T.clean(F.col("mpn")) != ""), "warning"
+    return (F.length(T.clean(F.col("mpn"))) < 3) & (T.clean(F.col("mpn")) != ""), F.lit("warning")
 
 
 @line_rule("mpn_too_long")
 def _too_long() -> tuple[Column, str]:
-    return F.length(T.clean(F.col("mpn"))) > 60, "warning"
+    return F.length(T.clean(F.col("mpn"))) > 60, F.lit("warning")
 
 
 @line_rule("mpn_whitespace")
 def _whitespace() -> tuple[Column, str]:
-    return F.col("mpn").contains("  ") | (F.col("mpn") != F.trim("mpn")), "info"
+    return F.col("mpn").contains("  ") | (F.col("mpn") != F.trim("mpn")), F.lit("info")
 
 
 @line_rule("qty_negative")
 def _negative() -> tuple[Column, str]:
-    return ~F.col("dnp") & (F.col("quantity") < 0), "error"
+    return ~F.col("dnp") & (F.col("quantity") < 0), F.lit("error")
 
 
 @line_rule("qty_zero")
 def _zero() -> tuple[Column, str]:
-    return ~F.col("dnp") & (F.col("quantity") == 0), "warning"
+    return ~F.col("dnp") & (F.col("quantity") == 0), F.lit("warning")
 
 
 @line_rule("qty_fractional")
 def _fractional() -> tuple[Column, str]:
-    return ~F.col("dnp") & (F.col("quantity") > 0) & (F.col("quantity") != F.floor("quantity")), "warning"
+    return ~F.col("dnp") & (F.col("quantity") > 0) & (F.col("quantity") != F.floor("quantity")), F.lit("warning")
 
 
 @line_rule("qty_implausible")
 def _implausible() -> tuple[Column, str]:
-    return ~F.col("dnp") & (F.col("quantity") > 100000), "warning"
+    return ~F.col("dnp") & (F.col("quantity") > 100000), F.lit("warning")
 
 
 @line_rule("manufacturer_missing")
 def _no_maker() -> tuple[Column, str]:
-    return (F.col("manufacturer") == "") & (F.col("mpn") != ""), "info"
+    return (F.col("manufacturer") == "") & (F.col("mpn") != ""), F.lit("info")
 
 
 @line_rule("refdes_malformed")
 def _malformed() -> tuple[Column, str]:
-    return F.exists("refs", lambda r: ~r.rlike(r"^[A-Z]{1,4}\d{1,6}[A-Z]?$")), "info"
+    return F.exists("refs", lambda r: ~r.rlike(r"^[A-Z]{1,4}\d{1,6}[A-Z]?$")), F.lit("info")
 
 
 @line_rule("refdes_mixed_prefix")
 def _mixed() -> tuple[Column, str]:
-    return F.size(F.array_distinct(F.filter(F.transform("refs", T.refdes_prefix), lambda p: p != ""))) > 1, "warning"
+    return F.size(F.array_distinct(F.filter(F.transform("refs", T.refdes_prefix), lambda p: p != ""))) > 1, F.lit("warning")
 
 
 @line_rule("refdes_quantity_multiple")
 def _multiple() -> tuple[Column, str]:
     n = _quantity_of_refs()
-    return ~F.col("dnp") & (n > 0) & (F.col("quantity") != n) & (F.col("quantity") > 0) & (F.col("quantity") % n == 0), "info"
+    return ~F.col("dnp") & (n > 0) & (F.col("quantity") != n) & (F.col("quantity") > 0) & (F.col("quantity") % n == 0), F.lit("info")
 
 
 @line_rule("refdes_quantity_mismatch")
 def _mismatch() -> tuple[Column, str]:
     n = _quantity_of_refs()
-    return ~F.col("dnp") & (n > 0) & (F.col("quantity") != n) & ((F.col("quantity") <= 0) | (F.col("quantity") % n != 0)), "warning"
+    return ~F.col("dnp") & (n > 0) & (F.col("quantity") != n) & ((F.col("quantity") <= 0) | (F.col("quantity") % n != 0)), F.lit("warning")
 
 
 @line_rule("package_unparsed")
 def _package() -> tuple[Column, str]:
-    return (F.col("package") != "") & ~F.col("package").rlike(r"\d"), "info"
+    return (F.col("package") != "") & ~F.col("package").rlike(r"\d"), F.lit("info")
 
 
 @line_rule("dnp_with_price")
 def _priced() -> tuple[Column, str]:
-    return F.col("dnp") & (F.col("input_unit_micro") > 0), "info"
+    return F.col("dnp") & (F.col("input_unit_micro") > 0), F.lit("info")
+
+
+def _found(disabled: tuple[str, ...]) -> Column:
+    found = [F.when(cond, F.struct(F.lit(code).alias("code"), severity.alias("severity"))) for code, f in RULES.items() if code not in disabled for cond, severity in [f()]]
+    return F.array_compact(F.array(*found))
 
 
 def line_issues(lines: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     """bom_id, source_row, code, severity: a row for each rule that a line breaks. One pass, no shuffle."""
-    found = [F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, f in RULES.items() if code not in disabled for cond, severity in [f()]]
-    return lines.select(*LINE, F.explode(F.array_compact(F.array(*found))).alias("issue")).select(*LINE, "issue.code", "issue.severity")
+    return lines.select(*LINE, F.explode(_found(disabled)).alias("issue")).select(*LINE, "issue.code", "issue.severity")
+
+
+def with_issue_counts(lines: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """The lines with the number of errors and warnings in each."""
+    got = lines.withColumn("found", _found(disabled))
+    n = lambda severity: F.size(F.filter("found", lambda i: i["severity"] == severity))
+    return got.withColumns({"errors": n("error"), "warnings": n("warning")}).drop("found")
 
 
 def bom_issues(lines: DataFrame) -> DataFrame:

@@ -8,26 +8,44 @@ from pyspark.sql import functions as F
 from partloom import constants as C
 from partloom.functions import similar
 from partloom.functions import units as U
+from partloom.functions.names import manufacturer_key
 
 
-def classify(lines: DataFrame, parts: DataFrame) -> DataFrame:
+def keyed_parts(parts: DataFrame, offers: DataFrame | None = None) -> DataFrame:
+    """Parts as lines meet them: keys, maker, footprint, and whether anyone offers them (taken for granted without offers)."""
+    offered = parts.withColumn("offered", F.lit(True)) if offers is None else parts.join(offers.select("part_id").distinct().withColumn("offered", F.lit(True)), "part_id", "left")
+    return offered.select(
+        "part_id", F.col("mpn_key").alias("p_key"), F.col("root_key").alias("p_root"), manufacturer_key(F.col("manufacturer")).alias("p_maker"), U.normalize_package(F.col("package")).alias("p_package"), F.coalesce("offered", F.lit(False)).alias("offered")
+    )
+
+
+def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """bom_id, source_row, part_id, kind, confidence for every line; lines: keyed lines, parts: with mpn_key and root_key.
+    carry: columns of the lines that come along.
 
-    Exact keys first, then roots; the tiers are equi-joins, and of several parts the one of the better tier, then of the
-    smaller id counts. Makers that agree add 4, conflict 28; a missing one 2; packages that differ take 13.
+    Each line asks for its key and for its root in one join, and of the parts that it meets the one of the better tier,
+    then of the smaller id counts. Makers that agree add 4 where they weren't asked for, a conflict takes 28, a missing one
+    2; footprints that agree add 6 and take 13 if they differ; a part that nobody offers loses 4.
     """
-    line = lines.select("bom_id", "source_row", "mpn_key", "root_key", F.lower("manufacturer").alias("maker"), "package")
-    part = parts.select("part_id", F.col("mpn_key").alias("p_key"), F.col("root_key").alias("p_root"), F.lower("manufacturer").alias("p_maker"), F.col("package").alias("p_package"))
-    exact = line.where("mpn_key != ''").join(part, F.col("mpn_key") == F.col("p_key")).withColumn("tier", F.when((F.col("maker") == F.col("p_maker")) & (F.col("maker") != ""), 0).otherwise(1))
-    rest = line.where("length(root_key) >= 5").join(exact.select("bom_id", "source_row").distinct(), ["bom_id", "source_row"], "left_anti")
-    root = rest.join(part, F.col("root_key") == F.col("p_root")).withColumn("tier", F.lit(2))
+    line = lines.select("bom_id", "source_row", manufacturer_key(F.col("manufacturer")).alias("maker"), U.normalize_package(F.col("package")).alias("package_key"), F.struct(*carry) if carry else F.lit(0), "mpn_key", "root_key")
+    line = line.toDF("bom_id", "source_row", "maker", "package_key", "carried", "mpn_key", "root_key")
+    asks = F.array(F.struct(F.lit(0).alias("by"), F.nullif("mpn_key", F.lit("")).alias("key")), F.struct(F.lit(2).alias("by"), F.when(F.length("root_key") >= 5, F.col("root_key")).alias("key")))
+    line = line.select("bom_id", "source_row", "maker", "package_key", "carried", F.inline(asks))
+    has = F.array(F.struct(F.lit(0).alias("by"), F.col("p_key").alias("key")), F.struct(F.lit(2).alias("by"), F.col("p_root").alias("key")))
+    part = keyed_parts(parts, offers).select("part_id", "p_maker", "p_package", "offered", F.inline(has))
+    met = line.join(part, ["by", "key"], "left")
+    agree = (F.col("maker") == F.col("p_maker")) & (F.col("maker") != "")
+    tier = F.when((F.col("by") == 0) & ~agree, 1).otherwise(F.col("by"))
     base = F.when(F.col("tier") == 0, 100).when(F.col("tier") == 1, 92).otherwise(82)
-    maker = F.when((F.col("maker") == "") & (F.col("p_maker") == ""), 0).when(F.col("p_maker") == "", -2).when(F.col("maker") == "", 1).when(F.col("maker") == F.col("p_maker"), 4).otherwise(-28)
-    package = F.when(U.packages_equivalent(F.col("package"), F.col("p_package")), 6).when(~U.packages_equivalent(F.col("package"), F.col("p_package")), -13).otherwise(0)
-    scored = exact.unionByName(root).withColumn("confidence", F.least(F.greatest(base + maker + package, F.lit(0)), F.lit(100)))
-    best = scored.groupBy("bom_id", "source_row").agg(F.min_by(F.struct("part_id", "tier", "confidence"), F.struct("tier", "part_id")).alias("b"))
+    maker = F.when(agree, F.when(F.col("tier") == 0, 0).otherwise(4)).when((F.col("maker") != "") & (F.col("p_maker") != ""), -28).when(F.col("maker") != "", -2).when(F.col("p_maker") != "", 1).otherwise(0)
+    same = U.same_package(F.col("package_key"), F.col("p_package"))
+    package = F.when(same, 6).when(~same, -13).otherwise(0)
+    sure = F.least(F.greatest(base + maker + package + F.when(F.col("offered"), 0).otherwise(-4), F.lit(0)), F.lit(100))
+    scored = met.withColumn("tier", tier).withColumn("confidence", sure)
+    known = F.col("part_id").isNotNull()
+    best = scored.groupBy("bom_id", "source_row").agg(F.min_by(F.when(known, F.struct("part_id", "tier", "confidence")), F.when(known, F.struct("tier", "part_id"))).alias("b"), F.first("carried").alias("carried"))
     kind = F.when(F.col("b.tier") == 0, "exact_with_maker").when(F.col("b.tier") == 1, "exact").when(F.col("b.tier") == 2, "root").otherwise("none")
-    return lines.select("bom_id", "source_row").join(best, ["bom_id", "source_row"], "left").select("bom_id", "source_row", F.col("b.part_id").alias("part_id"), kind.alias("kind"), F.coalesce("b.confidence", F.lit(0)).alias("confidence"))
+    return best.select("bom_id", "source_row", F.col("b.part_id").alias("part_id"), kind.alias("kind"), F.coalesce("b.confidence", F.lit(0)).alias("confidence"), *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
 def summary(matches: DataFrame, review: int = C.REVIEW_CONFIDENCE) -> DataFrame:

@@ -25,8 +25,10 @@ def factor_columns(require_rohs: bool = True, require_reach: bool = False) -> di
     cover = lambda n, d=1: F.col("stock") * 100 * d >= need10 * n
     deep = F.when(cover(10), 0).when(cover(3), 8).when(cover(3, 2), 20).when(cover(1), 38).when(cover(1, 2), 62).otherwise(85).cast("double")
     deep = F.when(F.col("stock") <= 0, 100.0).when(F.col("stocking") >= 3, deep * 0.8).when(F.col("stocking") == 1, F.least(deep + 8, F.lit(100.0))).otherwise(deep)
-    wide = F.when(F.col("listed") == 0, 100.0).when(F.col("stocking") == 0, 82.0).when(F.col("stocking") == 1, 58.0).when(F.col("stocking") < C.MIN_SOURCES, 40.0).when(F.col("stocking") == C.MIN_SOURCES, 18.0).otherwise(F.greatest(F.lit(0.0), 14 - 2.5 * (F.col("stocking") - C.MIN_SOURCES)))
-    wide = F.when((F.col("stocking") > 0) & (F.col("authorized_stocking") == 0), F.least(wide + 8, F.lit(100.0))).otherwise(wide)
+    # Only authorised distributors count as sources; stock at others alone is worse than none.
+    n = F.col("authorized_stocking")
+    wide = F.when((n == 0) & (F.col("authorized_listed") == 0), 100.0).when(n == 0, 82.0).when(n == 1, 58.0).when(n < C.MIN_SOURCES, 40.0).when(n == C.MIN_SOURCES, 18.0).otherwise(F.greatest(F.lit(0.0), 14 - 2.5 * (n - C.MIN_SOURCES)))
+    wide = F.when((n == 0) & (F.col("stocking") > 0), F.least(wide + 8, F.lit(100.0))).otherwise(wide)
     d, warn, worst = F.col("lead_days"), C.LEAD_WARN_DAYS, C.LEAD_CRITICAL_DAYS
     lead = F.when(d.isNull(), 50.0).when(d <= 0, 0.0).when(d >= worst, 100.0).when(d >= warn, 55 + 45 * (d - warn) / (worst - warn)).otherwise(55 * d / warn)
     rohs = F.when(F.col("rohs") == "Non-compliant", 85 if require_rohs else 30).when(F.col("rohs") == "Exempt", 20).when(F.col("rohs") == "Unknown", 35 if require_rohs else 0).otherwise(0)
@@ -34,7 +36,9 @@ def factor_columns(require_rohs: bool = True, require_reach: bool = False) -> di
     law = F.least(rohs + reach + F.when(F.col("eccn") != "EAR99", 35).otherwise(0), F.lit(100))
     data = F.when(F.col("kind") == "none", 100.0).otherwise(F.least(F.lit(85.0), 1.6 * F.greatest(C.REVIEW_CONFIDENCE - F.col("confidence"), F.lit(0))))
     data = F.least(data + 22 * F.col("errors") + 7 * F.col("warnings"), F.lit(100.0))
-    price = F.when(F.col("unit_micro").isNull(), 60.0).otherwise(F.when(F.col("overbuy") > 2 * F.col("required"), 30.0).when(F.col("overbuy") * 2 > F.col("required"), 15.0).otherwise(0.0) + F.when(~F.col("covers"), 40.0).otherwise(0.0))
+    gap = F.col("high") - F.col("low")
+    spread = F.when(gap > 2 * F.col("low"), 55.0).when(gap * 10 > 8 * F.col("low"), 30.0).when(gap * 10 > 3 * F.col("low"), 12.0).otherwise(0.0)
+    price = F.when(F.col("unit_micro").isNull(), 60.0).otherwise(F.coalesce(spread, F.lit(0.0)) + F.when(F.col("overbuy") > 2 * F.col("required"), 30.0).when(F.col("overbuy") * 2 > F.col("required"), 15.0).otherwise(0.0) + F.when(~F.col("covers"), 40.0).otherwise(0.0))
     return {
         "lifecycle": F.when(known, F.when(state >= 65, state + 4).otherwise(state).cast("double")).otherwise(55.0), "availability": F.when(known, deep).otherwise(55.0), "sourcing": F.when(known, wide).otherwise(55.0),
         "lead_time": F.when(known, lead).otherwise(45.0), "compliance": F.when(known, law.cast("double")).otherwise(40.0), "data_quality": data, "cost": price,
@@ -50,9 +54,10 @@ def score_lines(lines: DataFrame) -> DataFrame:
         score = F.col(f"f_{k}") * w if score is None else score + F.col(f"f_{k}") * w
     score = score / total
     grave = F.greatest(*[F.col(f"f_{k}") for k in FACTORS])
-    heavy = lambda least, names: F.greatest(*[F.col(f"f_{k}") for k in names]) >= least
-    score = F.when((grave >= 95) & heavy(95, ("lifecycle", "availability", "sourcing", "compliance")), F.greatest(score, F.lit(72.0))).when((grave >= 85) & heavy(85, ("lifecycle", "availability")), F.greatest(score, F.lit(55.0))).otherwise(score)
-    floor = F.when(F.col("lifecycle") == "NRND", 30.0).when(F.col("lifecycle") == "EOL", 52.0).when(F.col("lifecycle") == "Obsolete", 72.0).when((F.col("lifecycle") == "Unknown") & (F.col("kind") != "none"), 25.0).when(F.col("lifecycle").isNull(), 45.0).otherwise(0.0)
+    worst = F.element_at(F.array(*map(F.lit, FACTORS)), F.array_position(F.array(*[F.col(f"f_{k}") for k in FACTORS]), grave).cast("int"))  # the first of equal ones
+    decisive = (grave >= 95) & worst.isin("lifecycle", "availability", "sourcing", "compliance")
+    score = F.when(decisive, F.greatest(score, F.lit(72.0))).when((grave >= 85) & worst.isin("lifecycle", "availability"), F.greatest(score, F.lit(55.0))).otherwise(score)
+    floor = F.when(F.col("lifecycle") == "NRND", 30.0).when(F.col("lifecycle") == "EOL", 52.0).when(F.col("lifecycle") == "Obsolete", 72.0).when((F.col("lifecycle") == "Unknown") & (F.col("kind") != "none"), 25.0).when(F.col("lifecycle").isNull() & F.col("has_part"), 45.0).otherwise(0.0)
     score = F.when(F.col("dnp"), 0.0).otherwise(F.greatest(score, floor))
     return out.withColumn("raw_score", score).withColumns({"score": tenth(F.col("raw_score")), "level": risk_level(F.col("raw_score"))}).drop("raw_score")
 
@@ -65,7 +70,7 @@ def long_factors(scored: DataFrame) -> DataFrame:
 def flags() -> Column:
     """Badges of a line, in order."""
     return F.array_compact(F.array(
-        F.when(F.col("dnp"), "DNP"), F.when(F.col("lifecycle").isin("NRND", "EOL", "Obsolete"), F.col("lifecycle")), F.when(F.col("lifecycle") == "Unknown", "Lifecycle unknown"), F.when(F.col("stock") <= 0, "No stock"),
+        F.when(F.col("dnp"), "DNP"), F.when(F.col("lifecycle").isin("NRND", "EOL", "Obsolete"), F.col("lifecycle")), F.when((F.col("authorized_listed") == 0) & (F.col("stock") > 0), "Broker only"), F.when(F.col("lifecycle") == "Unknown", "Lifecycle unknown"), F.when(F.col("stock") <= 0, "No stock"),
         F.when((F.col("stock") > 0) & (F.col("stocking") == 1), "Single source"), F.when(F.col("lead_days") >= C.LEAD_WARN_DAYS, "Long lead"), F.when(F.col("rohs") == "Non-compliant", "Not RoHS"), F.when(F.col("rohs") == "Exempt", "RoHS exempt"),
         F.when(F.col("reach") == "Non-compliant", "REACH SVHC"), F.when(F.col("eccn") != "EAR99", "Export controlled"), F.when(F.col("kind") == "none", "No data"), F.when((F.col("kind") != "none") & (F.col("confidence") < C.REVIEW_CONFIDENCE), "Review match"),
         F.when(F.col("errors") > 0, "Data error"), F.when(F.col("overbuy") * 2 > F.col("required"), "MOQ overbuy"),

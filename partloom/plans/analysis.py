@@ -20,14 +20,13 @@ def catalogue_of(parts: DataFrame) -> DataFrame:
 
 def scored_lines(frames: Mapping[str, DataFrame], build: int = C.BUILD_QUANTITY) -> DataFrame:
     """Every line of every BOM with its part, supply, cost, factors and score. frames: v_bom_line, v_part, v_offer, v_price_break."""
-    given = lines.keyed(frames["v_bom_line"].drop("part_id"))
-    matched = match.classify(given, catalogue_of(frames["v_part"]))
-    issues = lines.line_issues(given).groupBy("bom_id", "source_row").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    both = given.join(matched, ["bom_id", "source_row"]).join(issues, ["bom_id", "source_row"], "left").fillna(0, ["errors", "warnings"])
+    given = lines.with_issue_counts(lines.keyed(frames["v_bom_line"].drop("part_id")))
+    carried = ("mpn", "manufacturer", "mpn_key", "dnp", "quantity", "effective_quantity", "errors", "warnings")
+    both = match.classify(given, catalogue_of(frames["v_part"]), frames["v_offer"], carried).withColumn("has_part", F.col("mpn_key") != "")
     both = both.withColumn("required", F.ceil(F.col("effective_quantity").cast("decimal(18,6)") * build).cast("long"))
-    part = frames["v_part"].select("part_id", "lifecycle", "rohs", "reach", "eccn").join(catalogue.supply(frames["v_offer"]), "part_id", "left").fillna(0, ["stock", "listed", "stocking", "authorized_stocking"])
+    part = frames["v_part"].select("part_id", "lifecycle", "rohs", "reach", "eccn").join(catalogue.supply(frames["v_offer"]), "part_id", "left").fillna(0, ["stock", "listed", "stocking", "authorized_listed", "authorized_stocking"])
     priced = cost.options(both.where("required > 0 and part_id is not null"), cost.usable_offers(frames["v_offer"]), catalogue.ladders(frames["v_price_break"]))
-    best = cost.best_option(priced).select("part_id", "required", "unit_micro", "extended_micro", "covers", "overbuy", "savings_micro")
+    best = cost.best_option(priced).select("part_id", "required", "unit_micro", "extended_micro", "covers", "overbuy", "savings_micro", "low", "high")
     return risk.score_lines(both.join(part, "part_id", "left").join(best, ["part_id", "required"], "left"))
 
 

@@ -79,7 +79,8 @@ def _options(wanted: str) -> str:
 
 _BEST = """select part_id, required, arg_min(supp_id, k) as supp_id, arg_min(order_qty, k) as order_qty, arg_min(unit_micro, k) as unit_micro, arg_min(extended_micro, k) as extended_micro,
     arg_min(covers, k) as covers, arg_min(overbuy, k) as overbuy, count(*) as options,
-    (coalesce(max(case when covers then unit_micro end), max(unit_micro)) - coalesce(min(case when covers then unit_micro end), min(unit_micro))) * greatest(required, 1) as savings_micro
+    (coalesce(max(case when covers then unit_micro end), max(unit_micro)) - coalesce(min(case when covers then unit_micro end), min(unit_micro))) * greatest(required, 1) as savings_micro,
+    coalesce(max(case when covers then unit_micro end), max(unit_micro)) as high, coalesce(min(case when covers then unit_micro end), min(unit_micro)) as low
     from (select *, (not covers, extended_micro, lead_days, supp_id) as k from options) group by part_id, required"""
 _WANTED = "select bom_id, source_row, part_id, input_unit_micro, (quantity * 100)::bigint as required from v_bom_line where not dnp and quantity > 0"
 
@@ -114,52 +115,55 @@ _PARTS = f"select *, {mpn_key('mpn')} as mpn_key, {mpn_key(root('mpn'))} as root
 
 
 def _matched(lines: str, parts: str) -> dict[str, str]:
+    """The parts that share the line's number, else its root; of the better tier the smallest id."""
     generic = "('THT', 'SMD', 'SMT')"
     same = f"case when l.package_key = '' or p.package_key = '' or l.package_key in {generic} or p.package_key in {generic} then 0 when l.package_key = p.package_key then 6 when least(length(l.package_key), length(p.package_key)) < 3 then 0 else -13 end"
-    maker = "case when l.maker = '' and p.maker = '' then 0 when p.maker = '' then -2 when l.maker = '' then 1 when l.maker = p.maker then 4 else -28 end"
+    maker = lambda agreed: f"case when l.maker = '' and p.maker = '' then 0 when p.maker = '' then -2 when l.maker = '' then 1 when l.maker = p.maker then {agreed} else -28 end"
+    key = "regexp_replace(upper(manufacturer), '[^A-Z0-9]+', '', 'g')"
     return {
-        "keyed_lines": f"select *, {mpn_key('mpn')} as mpn_key, {mpn_key(root('mpn'))} as root_key, lower(manufacturer) as maker, {package('package')} as package_key from ({lines})",
-        "keyed_parts": f"select part_id, mpn_key, root_key, lower(manufacturer) as maker, package_key from ({_PARTS}) where {parts}",
-        "exact": f"select l.bom_id, l.source_row, p.part_id, case when l.maker = p.maker and l.maker <> '' then 0 else 1 end as tier, {maker} + {same} as extra from keyed_lines l join keyed_parts p on l.mpn_key = p.mpn_key where l.mpn_key <> ''",
-        "roots": f"select l.bom_id, l.source_row, p.part_id, 2 as tier, {maker} + {same} as extra from keyed_lines l join keyed_parts p on l.root_key = p.root_key where length(l.root_key) >= 5 and not exists (select 1 from exact e where e.bom_id = l.bom_id and e.source_row = l.source_row)",
-        "ranked": "select *, row_number() over (partition by bom_id, source_row order by tier, part_id) as r from (select * from exact union all select * from roots)",
-        "matched": "select l.bom_id, l.source_row, r.part_id, case r.tier when 0 then 'exact_with_maker' when 1 then 'exact' when 2 then 'root' else 'none' end as kind, coalesce(least(greatest(case r.tier when 0 then 100 when 1 then 92 else 82 end + r.extra, 0), 100), 0)::int as confidence from keyed_lines l left join ranked r on r.bom_id = l.bom_id and r.source_row = l.source_row and r.r = 1",
+        "keyed_lines": f"select *, {mpn_key('mpn')} as mpn_key, {mpn_key(root('mpn'))} as root_key, {key} as maker, {package('package')} as package_key from ({lines})",
+        "keyed_parts": f"select part_id, {mpn_key('mpn')} as mpn_key, {mpn_key(root('mpn'))} as root_key, {key} as maker, {package('package')} as package_key, part_id in (select part_id from v_offer) as offered from ({parts})",
+        "met": f"""select bom_id, source_row, part_id, tier, sure from (
+            select l.bom_id, l.source_row, p.part_id, case when l.maker = p.maker and l.maker <> '' then 0 else 1 end as tier, case when l.maker = p.maker and l.maker <> '' then 100 else 92 end + {maker('0')} + {same} + case when p.offered then 0 else -4 end as sure from keyed_lines l join keyed_parts p on l.mpn_key = p.mpn_key where l.mpn_key <> ''
+            union all select l.bom_id, l.source_row, p.part_id, 2 as tier, 82 + {maker('4')} + {same} + case when p.offered then 0 else -4 end as sure from keyed_lines l join keyed_parts p on l.root_key = p.root_key where length(l.root_key) >= 5)""",
+        "ranked": "select *, row_number() over (partition by bom_id, source_row order by tier, part_id) as r from met",
+        "matched": "select l.bom_id, l.source_row, r.part_id, case r.tier when 0 then 'exact_with_maker' when 1 then 'exact' when 2 then 'root' else 'none' end as kind, coalesce(least(greatest(r.sure, 0), 100), 0)::int as confidence from keyed_lines l left join ranked r on r.bom_id = l.bom_id and r.source_row = l.source_row and r.r = 1",
     }
 
 
 _SUPPLY = """select part_id, sum(stock)::bigint as stock, count(distinct supp_id) as listed, count(distinct case when stock > 0 then supp_id end) as stocking,
-    count(distinct case when stock > 0 and authorized then supp_id end) as authorized_stocking, min(case when stock > 0 then 0 else factory_lead_days end) as lead_days from v_offer group by part_id"""
+    count(distinct case when authorized then supp_id end) as authorized_listed, count(distinct case when stock > 0 and authorized then supp_id end) as authorized_stocking, min(case when stock > 0 then 0 else factory_lead_days end) as lead_days from v_offer group by part_id"""
 
 
 def _scored(final: str) -> str:
     w = C.WEIGHTS
     total = " + ".join(f"f_{k} * {v!r}" for k, v in w.items())
-    ctes = _matched("select * from v_bom_line", "true")
+    ctes = _matched("select * from v_bom_line", "select * from v_part")
     ctes |= {
         "issues": f"select bom_id, source_row, count(*) filter (i.severity = 'error') as errors, count(*) filter (i.severity = 'warning') as warnings from ({_ISSUES}) where i is not null group by all",
         "supply": _SUPPLY,
         "flat": """select l.bom_id, l.source_row, l.dnp, l.quantity, m.part_id, m.kind, m.confidence, coalesce(i.errors, 0) as errors, coalesce(i.warnings, 0) as warnings,
             case when l.dnp then 0 else (l.quantity * 100)::bigint end as required, p.lifecycle, p.rohs, p.reach, p.eccn, coalesce(s.stock, 0) as stock, coalesce(s.listed, 0) as listed, coalesce(s.stocking, 0) as stocking,
-            coalesce(s.authorized_stocking, 0) as authorized_stocking, s.lead_days
+            coalesce(s.authorized_listed, 0) as authorized_listed, coalesce(s.authorized_stocking, 0) as authorized_stocking, s.lead_days
             from v_bom_line l join matched m using (bom_id, source_row) left join issues i using (bom_id, source_row) left join v_part p on p.part_id = m.part_id left join supply s on s.part_id = m.part_id""",
         "options": _options("select distinct part_id, required from flat where required > 0 and part_id is not null"),
         "best": _BEST,
-        "lines": "select f.*, b.unit_micro, b.covers, b.overbuy from flat f left join best b using (part_id, required)",
+        "lines": "select f.*, b.unit_micro, b.covers, b.overbuy, b.low, b.high from flat f left join best b using (part_id, required)",
         "deep": """select *, case when stock * 100 >= required * 110 * 10 then 0 when stock * 100 >= required * 110 * 3 then 8 when stock * 200 >= required * 110 * 3 then 20 when stock * 100 >= required * 110 then 38
             when stock * 200 >= required * 110 then 62 else 85 end::double as base,
-            case when listed = 0 then 100.0::double when stocking = 0 then 82 when stocking = 1 then 58 when stocking = 2 then 18 else greatest(0.0::double, 14 - 2.5::double * (stocking - 2)) end as wide,
+            case when authorized_listed = 0 then 100.0::double when authorized_stocking = 0 then 82 when authorized_stocking = 1 then 58 when authorized_stocking = 2 then 18 else greatest(0.0::double, 14 - 2.5::double * (authorized_stocking - 2)) end as wide,
             (case rohs when 'Non-compliant' then 85 when 'Exempt' then 20 when 'Unknown' then 35 else 0 end + case reach when 'Non-compliant' then 22 else 0 end + case when eccn <> 'EAR99' then 35 else 0 end) as law from lines""",
         "factors": """select *, case when lifecycle is null then 55.0::double else case lifecycle when 'Active' then 0 when 'New' then 8 when 'Unknown' then 35 when 'NRND' then 69 when 'EOL' then 92 else 100 end::double end as f_lifecycle,
             case when lifecycle is null then 55.0::double when stock <= 0 then 100 when stocking >= 3 then base * 0.8::double when stocking = 1 then least(base + 8, 100) else base end as f_availability,
-            case when lifecycle is null then 55.0::double when stocking > 0 and authorized_stocking = 0 then least(wide + 8, 100) else wide end as f_sourcing,
+            case when lifecycle is null then 55.0::double when authorized_stocking = 0 and stocking > 0 then least(wide + 8, 100) else wide end as f_sourcing,
             case when lifecycle is null then 45.0::double when lead_days is null then 50 when lead_days <= 0 then 0 when lead_days >= 168 then 100 when lead_days >= 84 then 55 + 45 * (lead_days - 84)::double / 84 else (55 * lead_days)::double / 84 end as f_lead_time,
             case when lifecycle is null then 40.0::double else least(law, 100)::double end as f_compliance,
             least(case when kind = 'none' then 100.0::double else least(85.0::double, 1.6::double * greatest(90 - confidence, 0)) end + 22 * errors + 7 * warnings, 100.0::double) as f_data_quality,
-            least(case when unit_micro is null then 60.0::double else case when overbuy > 2 * required then 30 when overbuy * 2 > required then 15 else 0 end + case when not covers then 40 else 0 end end, 100.0::double) as f_cost from deep""",
+            least(case when unit_micro is null then 60.0::double else case when high - low > 2 * low then 55 when (high - low) * 10 > 8 * low then 30 when (high - low) * 10 > 3 * low then 12 else 0 end + case when overbuy > 2 * required then 30 when overbuy * 2 > required then 15 else 0 end + case when not covers then 40 else 0 end end, 100.0::double) as f_cost from deep""",
         "raw": f"select *, ({total.replace(' * 1.0', ' * 1.0::double').replace(' * 0.', ' * 0.')}) / {sum(w.values())!r}::double as mean, greatest({', '.join(f'f_{k}' for k in w)}) as grave from factors".replace("* 0.8", "* 0.8::double").replace("* 0.7", "* 0.7::double").replace("* 0.6", "* 0.6::double").replace("* 0.5", "* 0.5::double").replace("* 0.4", "* 0.4::double"),
-        "raised": """select *, case when grave >= 95 and greatest(f_lifecycle, f_availability, f_sourcing, f_compliance) >= 95 then greatest(mean, 72) when grave >= 85 and greatest(f_lifecycle, f_availability) >= 85 then greatest(mean, 55) else mean end as high,
+        "raised": """select *, case when grave >= 95 and (f_lifecycle = grave or f_availability = grave or f_sourcing = grave or (f_compliance = grave and f_lead_time < grave)) then greatest(mean, 72) when grave >= 85 and (f_lifecycle = grave or f_availability = grave) then greatest(mean, 55) else mean end as upper_score,
             case when lifecycle = 'NRND' then 30 when lifecycle = 'EOL' then 52 when lifecycle = 'Obsolete' then 72 when lifecycle = 'Unknown' and kind <> 'none' then 25 when lifecycle is null then 45 else 0 end as least_score from raw""",
-        "final_scores": "select *, case when dnp then 0.0::double else greatest(high, least_score::double) end as x from raised",
+        "final_scores": "select *, case when dnp then 0.0::double else greatest(upper_score, least_score::double) end as x from raised",
         "scored": "select *, floor(x * 10 + 0.5::double) / 10 as score, case when x >= 75 then 'critical' when x >= 50 then 'high' when x >= 25 then 'medium' else 'low' end as level from final_scores",
     }
     return _with(ctes, final)
@@ -169,7 +173,7 @@ _F = ", ".join(f"f_{k} as {k}" for k in C.WEIGHTS)
 _MEANS = ", ".join(f"floor((100 - sum(floor(f_{k} * 1000 + 0.5::double) / 1000 * w) / sum(w)) * 10 + 0.5::double) / 10 as {k}" for k in C.WEIGHTS if k != "cost")
 _HEALTH = " + ".join(f"{k} * {v!r}::double" for k, v in C.WEIGHTS.items() if k != "cost")
 _HEALTH_WEIGHT = sum(v for k, v in C.WEIGHTS.items() if k != "cost")
-_FLAGS = """array_to_string(list_filter([case when dnp then 'DNP' end, case when lifecycle in ('NRND', 'EOL', 'Obsolete') then lifecycle end, case when lifecycle = 'Unknown' then 'Lifecycle unknown' end, case when stock <= 0 then 'No stock' end,
+_FLAGS = """array_to_string(list_filter([case when dnp then 'DNP' end, case when lifecycle in ('NRND', 'EOL', 'Obsolete') then lifecycle end, case when authorized_listed = 0 and stock > 0 then 'Broker only' end, case when lifecycle = 'Unknown' then 'Lifecycle unknown' end, case when stock <= 0 then 'No stock' end,
     case when stock > 0 and stocking = 1 then 'Single source' end, case when lead_days >= 84 then 'Long lead' end, case when rohs = 'Non-compliant' then 'Not RoHS' end, case when rohs = 'Exempt' then 'RoHS exempt' end, case when reach = 'Non-compliant' then 'REACH SVHC' end,
     case when eccn <> 'EAR99' then 'Export controlled' end, case when kind = 'none' then 'No data' end, case when kind <> 'none' and confidence < 90 then 'Review match' end, case when errors > 0 then 'Data error' end, case when overbuy * 2 > required then 'MOQ overbuy' end], lambda f: f is not null), '|')"""
 _DRIVER = "case " + " ".join(f"when f_{k} = grave then '{k}'" for k in C.WEIGHTS) + " end"
@@ -214,8 +218,8 @@ SQL: dict[str, str] = {
     "price_at_quantity": with_views("select part_id, supp_id, max(break_qty)::bigint as break_qty, arg_max(unit_micro, break_qty) as unit_micro from v_price_break where break_qty <= greatest((part_id * 37 + supp_id) % 3000, 1) group by part_id, supp_id"),
     "order_quantities": with_views("select part_id, supp_id, ((greatest(part_id % 500 + 1, moq) + spq - 1) // spq * spq)::bigint as order_qty, ceil((moq / 8)::decimal(18,6) * 100)::bigint as required from v_offer"),
     "fx_convert": with_views(f"select part_id, supp_id, break_qty, {_usd('unit_micro')} as usd_micro from v_price_break join v_offer o using (part_id, supp_id)"),
-    "line_match": _with(_matched(_ROWS["source_row % 3"], "part_id % 50 <> 0"), "select * from matched"),
-    "match_summary": _with(_matched("select * from v_bom_line", "true"), "select bom_id, count(*) as lines, count(*) filter (kind <> 'none') as matched, count(*) filter (kind = 'none') as unmatched, count(*) filter (kind <> 'none' and confidence < 90) as needs_review, sum(confidence) filter (kind <> 'none')::bigint as confidence_sum from matched group by bom_id"),
+    "line_match": _with(_matched(_ROWS["source_row % 3"], "select * replace (case when part_id % 50 = 0 then mpn || 'Z9' else mpn end as mpn) from v_part"), "select * from matched"),
+    "match_summary": _with(_matched("select * from v_bom_line", "select * from v_part"), "select bom_id, count(*) as lines, count(*) filter (kind <> 'none') as matched, count(*) filter (kind = 'none') as unmatched, count(*) filter (kind <> 'none' and confidence < 90) as needs_review, sum(confidence) filter (kind <> 'none')::bigint as confidence_sum from matched group by bom_id"),
     "line_cost": _costed("select bom_id, source_row, required, supp_id, order_qty, unit_micro, extended_micro, covers, overbuy, options, savings_micro from costs"),
     "bom_cost_rollup": _costed("""select *, ((costed * 2000 + costed + uncosted) // ((costed + uncosted) * 2))::bigint as coverage_permille, ((total_cents * 2 + 100) // 200)::bigint as per_unit_cents from (
         select bom_id, sum((extended_micro + 5000) // 10000)::bigint as total_cents, sum((savings_micro + 5000) // 10000)::bigint as savings_cents, count(extended_micro) as costed, count(*) filter (extended_micro is null) as uncosted, count(*) filter (not covers) as short_lines from costs group by bom_id)"""),
@@ -242,14 +246,14 @@ SQL: dict[str, str] = {
     "alternates_topk": _with(
         {
             "prepared": f"select p.*, coalesce(s.stock, 0) as stock, coalesce(s.stocking, 0) as stocking from ({_PARTS}) p left join ({_SUPPLY}) s using (part_id)",
-            "pairs": """select a.part_id, b.part_id as candidate_id, case b.lifecycle when 'Obsolete' then 30 when 'EOL' then 52 else 100 end as most, 69
-                + case when b.lifecycle = 'Active' then 16 + case when a.lifecycle in ('NRND', 'EOL', 'Obsolete') then 6 else 0 end when b.lifecycle = 'New' then 12 + case when a.lifecycle in ('NRND', 'EOL', 'Obsolete') then 6 else 0 end when b.lifecycle = 'Unknown' then -4 else -30 end
-                + case when b.stock <= 0 then -24 when b.stock >= 20000 then 14 when b.stock >= 10000 then 8 else 4 end + case when b.stocking >= 2 then 6 else 0 end + case when a.manufacturer = b.manufacturer then 4 else 0 end
-                + case b.rohs when 'Non-compliant' then -30 when 'Compliant' then 3 else 0 end + case when b.reach = 'Non-compliant' then -18 else 0 end
+            "pairs": """select a.part_id, b.part_id as candidate_id, 40 + 6 + 5 + 14
+                + case b.lifecycle when 'Active' then case when a.lifecycle in ('NRND', 'EOL', 'Obsolete') then 22 else 16 end when 'New' then 12 when 'Unknown' then -4 else -30 end
+                + case when b.stock <= 0 then -24 when b.stocking >= 2 then 10 else 4 end + case when a.package_key in ('', 'THT') then 0 else 18 end + case when a.manufacturer = b.manufacturer then 4 else 0 end
+                + case b.rohs when 'Non-compliant' then -30 when 'Compliant' then 3 else 0 end + case when b.eccn <> 'EAR99' then -8 else 0 end
                 + case when d <= -20 * m then 10 when d <= 5 * m then 5 when d <= 40 * m then -5 when d <= 100 * m then -14 when d <= 300 * m then -22 else -32 end as total
-                from prepared a join prepared b on a.category = b.category and a.package_key = b.package_key and a.part_id % 20 = b.part_id % 20 and a.part_id <> b.part_id,
+                from prepared a join prepared b on a.category = b.category and a.package_key = b.package_key and a.value_text = b.value_text and a.part_id <> b.part_id,
                 lateral (select (b.median_1k_micro - a.median_1k_micro) * 100 as d, a.median_1k_micro as m)""",
-            "ranked": "select *, least(greatest(total, 0), most)::int as score, row_number() over (partition by part_id order by least(greatest(total, 0), most) desc, candidate_id)::int as place from pairs",
+            "ranked": "select *, least(greatest(total, 0), 100)::int as score, row_number() over (partition by part_id order by least(greatest(total, 0), 100) desc, candidate_id)::int as place from pairs",
         },
         "select part_id, place, candidate_id, score from ranked where place <= 5",
     ),

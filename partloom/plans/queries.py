@@ -150,18 +150,18 @@ def fx_convert(v: Frames) -> DataFrame:
 
 @query
 def line_match(v: Frames) -> DataFrame:
-    parts = analysis.catalogue_of(v["v_part"].where("part_id % 50 != 0"))
+    parts = analysis.catalogue_of(v["v_part"].withColumn("mpn", F.when(F.col("part_id") % 50 == 0, F.concat(F.col("mpn"), F.lit("Z9"))).otherwise(F.col("mpn"))))  # numbers that no line has
     given = lines.keyed(v["v_bom_line"].drop("part_id").withColumn("mpn", F.when(F.col("source_row") % 3 == 0, T.mpn_root(F.col("mpn"))).otherwise(F.col("mpn"))))
-    return match.classify(given, parts)
+    return match.classify(given, parts, v["v_offer"])
 
 
 @query
 def match_summary(v: Frames) -> DataFrame:
-    return match.summary(match.classify(lines.keyed(v["v_bom_line"].drop("part_id")), analysis.catalogue_of(v["v_part"])))
+    return match.summary(match.classify(lines.keyed(v["v_bom_line"].drop("part_id")), analysis.catalogue_of(v["v_part"]), v["v_offer"]))
 
 
 def _costs(v: Frames) -> DataFrame:
-    return cost.line_costs(v["v_bom_line"], v["v_offer"], catalogue.ladders(v["v_price_break"]))
+    return cost.line_costs(v["v_bom_line"], v["v_offer"], catalogue.ladders(v["v_price_break"]), medians=v["v_part"])
 
 
 @query
