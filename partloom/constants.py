@@ -174,3 +174,25 @@ LIFECYCLE_GRAPH = {
     "LAST_TIME_BUY": ("OBSOLETE", "EOL_ANNOUNCED", "UNKNOWN"), "OBSOLETE": ("ACTIVE", "UNKNOWN"), "UNKNOWN": ("ACTIVE", "NRND", "EOL_ANNOUNCED", "LAST_TIME_BUY", "OBSOLETE", "UNKNOWN"),
 }
 NOTICE_EVENTS = ("PCN", "PDN")
+
+# Component words in descriptions and the designator prefixes that go with them, tried in this order
+TYPE_PREFIXES = (
+    ("resistor|res|thermistor|potentiometer|trimmer", ("R", "RN", "RV", "RT", "VR", "P", "RP")),
+    ("capacitor|cap|mlcc|tantalum|electrolytic", ("C", "CP", "CE", "CT")),
+    ("inductor|choke|ferrite|bead|coil", ("L", "FB", "FL")),
+    ("diode|zener|schottky|tvs|rectifier", ("D", "CR", "ZD", "TVS", "Z")),
+    ("led|light emitting", ("D", "LED", "DS", "L")),
+    ("transistor|mosfet|bjt|igbt|fet", ("Q", "T", "TR", "M")),
+    ("connector|header|receptacle|socket|terminal|jack|plug", ("J", "P", "CN", "CON", "X", "TB", "S")),
+    ("crystal|oscillator|resonator|xtal", ("X", "Y", "XT", "OSC", "Q")),
+    ("switch|button|tactile|encoder", ("SW", "S", "BTN", "PB")),
+    ("fuse|ptc|polyfuse", ("F", "FU")),
+    ("relay|contactor", ("K", "RL", "RY")),
+    ("transformer", ("T", "TR")),
+    ("test ?point|testpoint", ("TP", "T")),
+    ("antenna", ("E", "ANT", "AE")),
+    ("battery|holder|coin cell", ("BT", "BAT", "B")),
+    ("mounting hole|standoff|screw|nut|washer|spacer|bracket", ("MH", "H", "HW", "MP")),
+    ("module|shield|board|pcb|assembly", ("U", "M", "A", "MOD", "PCB")),
+)
+BULK_PREFIXES = ("", "SOL", "ADH", "PST")

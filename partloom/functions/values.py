@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _scale(prefix: Column, kind: Column) -> Column:
     """What a prefix multiplies by. A capital M is mega, but for farads and henries micro."""
     mega = F.when(kind.isin("capacitance", "inductance"), 1e-6).otherwise(1e6)
@@ -32,19 +39,30 @@ def parse_value(x: Column) -> Column:
 
     kind is null where the text names no unit.
     """
-    text = F.regexp_replace(F.regexp_replace(F.replace(clean(x), F.lit("Ω"), F.lit("Ω")), r"(?i)\b(nom|nominal|typ|typical|max|min)\b", ""), r"\s", "")
-    top, bottom = (F.regexp_extract(text, _PART, i).try_cast("double") for i in (1, 2))
-    whole, letter, rest = (F.regexp_extract(text, _RKM, i) for i in (1, 2, 3))
-    short_kind = F.when(F.upper(letter).isin("R", "E", "K", "M", "G", "T"), "resistance").when(letter.isin("p", "n", "u", "µ", "μ", "f"), "capacitance")
-    short = F.struct((F.concat(whole, F.lit("."), rest).try_cast("double") * _scale(letter, short_kind)).alias("base"), short_kind.alias("kind"))
-    tail = F.when(text.rlike(_PART), F.regexp_extract(text, _PART, 3)).otherwise(F.regexp_extract(text, _PLAIN, 2))
-    number = F.when(text.rlike(_PART), F.when(bottom != 0, top / bottom)).otherwise(F.replace(F.regexp_extract(text, _PLAIN, 1), F.lit(","), F.lit(".")).try_cast("double"))
-    unit = F.regexp_extract(F.upper(tail), f"({_UNIT})$", 1)
-    plural = F.when(unit == "", F.regexp_extract(F.upper(tail), f"({_UNIT})S$", 1)).otherwise("")
-    kind = lookup(C.UNIT_KINDS, F.concat(unit, plural))
-    prefix = F.substring(tail, F.lit(1), F.greatest(F.length(tail) - F.length(unit) - F.when(plural != "", F.length(plural) + 1).otherwise(0), F.lit(0)))
-    base = number * _scale(prefix, kind)
-    return F.when(text.rlike(_RKM), short).when(base.isNotNull(), F.struct(base.alias("base"), kind.alias("kind")))
+    tidy = F.regexp_replace(F.regexp_replace(F.replace(clean(x), F.lit("Ω"), F.lit("Ω")), r"(?i)\b(nom|nominal|typ|typical|max|min)\b", ""), r"\s", "")
+
+    def by_shape(text: Column) -> Column:
+        whole, letter, rest = (F.regexp_extract(text, _RKM, i) for i in (1, 2, 3))
+        kind = F.when(F.upper(letter).isin("R", "E", "K", "M", "G", "T"), "resistance").when(letter.isin("p", "n", "u", "µ", "μ", "f"), "capacitance")
+        short = F.struct((F.concat(whole, F.lit("."), rest).try_cast("double") * _scale(letter, kind)).alias("base"), kind.alias("kind"))
+        top, bottom = (F.regexp_extract(text, _PART, i).try_cast("double") for i in (1, 2))
+        plain = F.replace(F.regexp_extract(text, _PLAIN, 1), F.lit(","), F.lit(".")).try_cast("double")
+        part = F.struct(F.when(bottom != 0, top / bottom).alias("n"), F.regexp_extract(text, _PART, 3).alias("tail"))
+        split = F.when(text.rlike(_PART), part).otherwise(F.struct(plain.alias("n"), F.regexp_extract(text, _PLAIN, 2).alias("tail")))
+        return F.when(text.rlike(_RKM), short).otherwise(let(split, lambda s: with_unit(s["n"], s["tail"])))
+
+    def with_unit(number: Column, tail: Column) -> Column:
+        unit = F.regexp_extract(F.upper(tail), f"({_UNIT})$", 1)
+        plural = F.when(unit == "", F.regexp_extract(F.upper(tail), f"({_UNIT})S$", 1)).otherwise("")
+        units = F.struct(F.concat(unit, plural).alias("unit"), (F.length(unit) + F.when(plural != "", F.length(plural) + 1).otherwise(0)).alias("size"))
+
+        def scaled(u: Column) -> Column:
+            prefix = F.substring(tail, F.lit(1), F.greatest(F.length(tail) - u["size"], F.lit(0)))
+            return let(lookup(C.UNIT_KINDS, u["unit"]), lambda kind: F.struct((number * _scale(prefix, kind)).alias("base"), kind.alias("kind")))
+
+        return let(units, scaled)
+
+    return let(let(tidy, by_shape), lambda v: F.when(v["base"].isNotNull(), v))
 
 
 def same_value(a: Column, b: Column, tolerance: float = 0.01) -> Column:
@@ -91,9 +109,11 @@ def _currency_in(text: Column, symbols: list[str]) -> Column:
 
 def normalize_currency(x: Column, default: str = "USD") -> Column:
     """A symbol or code as a three-letter code: known ones, any three letters, else the first known one in the text."""
-    text = F.replace(F.upper(clean(x)), F.lit(" "), F.lit(""))
-    within = F.coalesce(*[F.when(text.contains(s), code) for s, code in C.CURRENCY_SYMBOLS.items()])
-    return F.when(text == "", default).otherwise(F.coalesce(lookup(C.CURRENCY_SYMBOLS, text), F.when(text.rlike(r"^\p{L}{3}$"), text), within, F.lit(default)))
+
+    def code(text: Column) -> Column:
+        return F.when(text == "", default).otherwise(F.coalesce(lookup(C.CURRENCY_SYMBOLS, text), F.when(text.rlike(r"^\p{L}{3}$"), text), _currency_in(text, list(C.CURRENCY_SYMBOLS)), F.lit(default)))
+
+    return let(F.replace(F.upper(clean(x)), F.lit(" "), F.lit("")), code)
 
 
 def _number(x: Column) -> Column:
@@ -104,22 +124,21 @@ def _number(x: Column) -> Column:
 def parse_money(x: Column, decimal_comma: Column | None = None) -> Column:
     """amount (decimal) and currency (null if none is named). Of two kinds of separators the last is the decimal one; a
     lone comma before three digits separates thousands unless the column's convention (`decimal_comma`) says otherwise."""
-    text, number = F.upper(clean(x)), _number(x)
-    symbols = sorted(C.CURRENCY_SYMBOLS, key=len, reverse=True)
-    currency = F.coalesce(*[F.when(text.contains(s), C.CURRENCY_SYMBOLS[s]) for s in symbols])
-    commas, points = (F.regexp_count(number, F.lit(p)) for p in (",", r"\."))
-    tail = F.length(F.substring_index(number, ",", -1))
-    as_point, dropped = F.replace(number, F.lit(","), F.lit(".")), F.replace(number, F.lit(","), F.lit(""))
-    last_is_comma = F.regexp_count(F.substring_index(number, ",", -1), F.lit(r"\.")) == 0
     hint = F.lit(False) if decimal_comma is None else F.coalesce(decimal_comma, F.lit(False))
-    plain = (
-        F.when((commas > 0) & (points > 0), F.when(last_is_comma, F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(dropped))
-        .when(commas > 1, dropped)
-        .when((commas == 1) & (tail == 3), F.when(hint, as_point).otherwise(dropped))
-        .when(commas == 1, as_point)
-        .otherwise(number)
-    )
-    return F.struct(F.regexp_replace(plain, r"\.$", "").try_cast("decimal(18,6)").alias("amount"), currency.alias("currency"))
+
+    def plain(number: Column) -> Column:
+        commas, points = (F.regexp_count(number, F.lit(p)) for p in (",", r"\."))
+        as_point, dropped = F.replace(number, F.lit(","), F.lit(".")), F.replace(number, F.lit(","), F.lit(""))
+        shown = (
+            F.when((commas > 0) & (points > 0), F.when(number.rlike(r",[^.]*$"), F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(dropped))
+            .when(commas > 1, dropped)
+            .when(number.rlike(r",.{3}$"), F.when(hint, as_point).otherwise(dropped))
+            .otherwise(as_point)
+        )
+        return F.regexp_replace(shown, r"\.$", "").try_cast("decimal(18,6)")
+
+    currency = _currency_in(F.upper(clean(x)), sorted(C.CURRENCY_SYMBOLS, key=len, reverse=True))
+    return F.struct(let(_number(x), plain).alias("amount"), currency.alias("currency"))
 
 
 def comma_votes(x: Column) -> tuple[Column, Column]:

@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from partloom import constants as C
 from partloom.functions import text as T
+from partloom.functions import units as U
+from partloom.functions import values as X
 
 LINE = ["bom_id", "source_row"]
 
 
 def keyed(lines: DataFrame) -> DataFrame:
-    """lines with the part's key, its root, the designators and the quantity that counts."""
+    """lines with the part's key, its root, the designators and the quantity that counts; blank tolerance, alternates, value
+    and description where there are no such columns."""
+    absent = {"tolerance": F.lit(""), "alt_mpns": F.array().cast("array<string>"), "value_text": F.lit(""), "description": F.lit("")}
+    lines = lines.withColumns({c: v for c, v in absent.items() if c not in lines.columns})
     return lines.withColumns({
         "mpn_key": T.normalize_mpn(F.col("mpn")),
         "root_key": T.normalize_mpn(T.mpn_root(F.col("mpn"))),
@@ -84,29 +90,48 @@ def line_rule(code: str) -> Callable[[Rule], Rule]:
     return add
 
 
-@line_rule("mpn_numeric")
-def _numeric() -> tuple[Column, str]:
-    return F.col("mpn").rlike(r"^\d+$") & (F.length("mpn") < 5), F.lit("warning")
+_EXCEL_ERROR = r"(?i)^\s*#(N/A|VALUE!|REF!|NAME\?|DIV/0!|NULL!|NUM!)\s*$"
+_SCIENTIFIC = r"(?i)^\s*\d(\.\d+)?E[+\-]?\d+\s*$"
+
+
+def _usual() -> Column:
+    """Part numbers that are neither blank nor spoilt by a spreadsheet."""
+    return (T.clean(F.col("mpn")) != "") & ~F.col("mpn").rlike(_EXCEL_ERROR) & ~F.col("mpn").rlike(_SCIENTIFIC)
+
+
+@line_rule("mpn_excel_error")
+def _excel() -> tuple[Column, Column]:
+    return (T.clean(F.col("mpn")) != "") & F.col("mpn").rlike(_EXCEL_ERROR), F.lit("error")
 
 
 @line_rule("mpn_scientific")
-def _scientific() -> tuple[Column, str]:
-    return F.col("mpn").rlike(r"(?i)^\d(\.\d+)?E[+\-]?\d+$"), F.lit("error")
+def _scientific() -> tuple[Column, Column]:
+    return F.col("mpn").rlike(_SCIENTIFIC), F.lit("error")
+
+
+@line_rule("mpn_numeric")
+def _numeric() -> tuple[Column, Column]:
+    return _usual() & F.col("mpn").rlike(r"^[\d\s.,\-]+$") & (F.length(T.clean(F.col("mpn"))) < 5), F.lit("warning")
 
 
 @line_rule("mpn_too_short")
-def _too_short() -> tuple[Column, str]:
-    return (F.length(T.clean(F.col("mpn"))) < 3) & (T.clean(F.col("mpn")) != ""), F.lit("warning")
+def _too_short() -> tuple[Column, Column]:
+    return _usual() & (F.length(T.clean(F.col("mpn"))) < 3), F.lit("warning")
 
 
 @line_rule("mpn_too_long")
-def _too_long() -> tuple[Column, str]:
-    return F.length(T.clean(F.col("mpn"))) > 60, F.lit("warning")
+def _too_long() -> tuple[Column, Column]:
+    return _usual() & (F.length(T.clean(F.col("mpn"))) > 60), F.lit("warning")
 
 
 @line_rule("mpn_whitespace")
-def _whitespace() -> tuple[Column, str]:
-    return F.col("mpn").contains("  ") | (F.col("mpn") != F.trim("mpn")), F.lit("info")
+def _whitespace() -> tuple[Column, Column]:
+    return _usual() & (F.col("mpn").contains("  ") | (F.col("mpn") != F.trim("mpn"))), F.lit("info")
+
+
+@line_rule("mpn_non_ascii")
+def _non_ascii() -> tuple[Column, Column]:
+    return _usual() & F.col("mpn").rlike("[À-ɏ一-鿿]"), F.lit("warning")
 
 
 @line_rule("qty_negative")
@@ -120,8 +145,9 @@ def _zero() -> tuple[Column, str]:
 
 
 @line_rule("qty_fractional")
-def _fractional() -> tuple[Column, str]:
-    return ~F.col("dnp") & (F.col("quantity") > 0) & (F.col("quantity") != F.floor("quantity")), F.lit("warning")
+def _fractional() -> tuple[Column, Column]:
+    bulk = (F.size("refs") == 0) | F.exists("refs", lambda r: T.refdes_prefix(r).isin(*C.BULK_PREFIXES))
+    return ~F.col("dnp") & (F.col("quantity") > 0) & (F.col("quantity") != F.floor("quantity")), F.when(bulk, "info").otherwise("warning")
 
 
 @line_rule("qty_implausible")
@@ -131,7 +157,12 @@ def _implausible() -> tuple[Column, str]:
 
 @line_rule("manufacturer_missing")
 def _no_maker() -> tuple[Column, str]:
-    return (F.col("manufacturer") == "") & (F.col("mpn") != ""), F.lit("info")
+    return ~F.col("dnp") & (F.col("manufacturer") == "") & (F.col("mpn") != ""), F.lit("info")
+
+
+@line_rule("manufacturer_short")
+def _short_maker() -> tuple[Column, Column]:
+    return (F.col("manufacturer") != "") & (F.length(T.clean(F.col("manufacturer"))) < 2), F.lit("warning")
 
 
 @line_rule("refdes_malformed")
@@ -144,6 +175,42 @@ def _mixed() -> tuple[Column, str]:
     return F.size(F.array_distinct(F.filter(F.transform("refs", T.refdes_prefix), lambda p: p != ""))) > 1, F.lit("warning")
 
 
+@line_rule("refdes_prefix_mismatch")
+def _other_prefix() -> tuple[Column, Column]:
+    """The first kind of component that the description and value name decides on the prefixes."""
+    told = F.concat_ws(" ", "description", "value_text")
+    expected = F.coalesce(*[F.when(told.rlike(rf"(?i)\b({words})\b"), F.array(*map(F.lit, prefixes))) for words, prefixes in C.TYPE_PREFIXES])
+    found = F.filter(F.transform("refs", T.refdes_prefix), lambda p: p != "")
+    return (F.size(found) > 0) & expected.isNotNull() & ~F.arrays_overlap(found, expected), F.lit("info")
+
+
+@line_rule("value_description_mismatch")
+def _other_value() -> tuple[Column, Column]:
+    """The first of 24 words of the description with a value of the same kind is neither equal nor a thousand(fold) off."""
+    def differs(value: Column) -> Column:
+        words = F.filter(F.slice(T.tokens(F.col("description")), 1, 24), lambda w: w.rlike(r"^\d"))
+        same = F.filter(F.transform(words, X.parse_value), lambda v: v["kind"].eqNullSafe(value["kind"]) & (v["base"] != 0))
+        ratio = X.let(F.try_element_at(same, F.lit(1))["base"], lambda b: F.greatest(b, value["base"]) / F.least(b, value["base"]))
+        return X.let(ratio, lambda r: F.coalesce((value["base"] != 0) & (r > 1.02) & (r < 1e6) & (F.abs(r - 1000) > 1) & (F.abs(r - 1e6) > 1), F.lit(False)))
+
+    return X.let(X.parse_value(F.col("value_text")), differs), F.lit("warning")
+
+
+@line_rule("tolerance_unparsed")
+def _tolerance() -> tuple[Column, Column]:
+    return (F.col("tolerance") != "") & U.parse_tolerance(F.col("tolerance")).isNull(), F.lit("info")
+
+
+@line_rule("alt_equals_primary")
+def _same_alternate() -> tuple[Column, Column]:
+    return F.exists("alt_mpns", lambda a: T.normalize_mpn(a) == F.col("mpn_key")), F.lit("info")
+
+
+@line_rule("alt_too_short")
+def _short_alternate() -> tuple[Column, Column]:
+    return F.exists("alt_mpns", lambda a: (T.normalize_mpn(a) != F.col("mpn_key")) & (F.length(T.clean(a)) < 3)), F.lit("info")
+
+
 @line_rule("refdes_quantity_multiple")
 def _multiple() -> tuple[Column, str]:
     n = _quantity_of_refs()
@@ -158,7 +225,7 @@ def _mismatch() -> tuple[Column, str]:
 
 @line_rule("package_unparsed")
 def _package() -> tuple[Column, str]:
-    return (F.col("package") != "") & ~F.col("package").rlike(r"\d"), F.lit("info")
+    return (F.col("package") != "") & (F.length(U.normalize_package(F.col("package"))) < 2), F.lit("info")
 
 
 @line_rule("dnp_with_price")
@@ -185,11 +252,13 @@ def with_issue_counts(lines: DataFrame, disabled: tuple[str, ...] = ()) -> DataF
 
 def bom_issues(lines: DataFrame) -> DataFrame:
     """bom_id, code, severity of the rules on whole BOMs."""
-    facts = lines.groupBy("bom_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("mpn") == "").alias("no_mpn"), F.count_if("dnp").alias("n_dnp"), F.count_if(F.col("manufacturer") == "").alias("no_maker")
-    )
-    share = lambda c, low, high=None: (F.col(c) * 100 > F.col("n") * low) & (F.lit(True) if high is None else F.col(c) * 100 <= F.col("n") * high)
-    found = [("mpn_coverage_low", share("no_mpn", 50), "error"), ("mpn_coverage_partial", share("no_mpn", 15, 50), "warning"), ("bom_very_small", F.col("n") <= 2, "warning"), ("dnp_share_high", share("n_dnp", 30), "info"), ("manufacturer_coverage_low", share("no_maker", 25), "info")]
+    live = ~F.col("dnp")
+    facts = lines.groupBy("bom_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(live).alias("live"), F.count_if(live & (F.col("mpn") == "")).alias("no_mpn"), F.count_if("dnp").alias("n_dnp"))
+    over = lambda part, whole, percent: F.col(part) * 100 > F.col(whole) * percent
+    found = [
+        ("mpn_coverage_low", over("no_mpn", "live", 50), "error"), ("mpn_coverage_partial", over("no_mpn", "live", 15) & ~over("no_mpn", "live", 50), "warning"),
+        ("bom_very_small", F.col("n") <= 2, "warning"), ("dnp_share_high", over("n_dnp", "n", 30), "info"),
+    ]
     rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(s).alias("severity"))) for code, c, s in found]))
     return facts.select("bom_id", F.explode(rows).alias("i")).select("bom_id", "i.code", "i.severity")
 

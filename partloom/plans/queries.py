@@ -430,3 +430,18 @@ def fuzzy_match(v: Frames) -> DataFrame:
     at = (F.col("source_row") % F.greatest(F.length(key), F.lit(1)) + 1).cast("int")
     typed = v["v_bom_line"].select("bom_id", "source_row", F.concat(F.substring(key, F.lit(1), at - 1), F.substring(key, at + 1, F.lit(100))).alias("mpn_key"))
     return match.fuzzy(typed, analysis.catalogue_of(v["v_part"]))
+
+
+def _odd(v: Frames) -> DataFrame:
+    return lines.keyed(v["v_odd_line"].withColumn("alt_mpns", F.array("alt_text")))
+
+
+@query
+def odd_line_rules(v: Frames) -> DataFrame:
+    """The rules on lines that break each of them somewhere."""
+    return lines.line_issues(_odd(v))
+
+
+@query
+def odd_bom_rules(v: Frames) -> DataFrame:
+    return lines.bom_issues(v["v_odd_line"])

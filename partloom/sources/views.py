@@ -61,6 +61,16 @@ select part_id, pv.provider, mpn, manufacturer, case when (part_id+pv.provider)%
  case when (part_id+pv.provider)%5=0 then 'Unknown' else rohs end as rohs, case when (part_id*3+pv.provider)%11=0 then 'Non-compliant' else reach end as reach,
  cast((part_id*31+pv.provider*17)%60 as int) as offer_count
 from v_part cross join (values (0),(1),(2)) as pv(provider)""",
+    "v_odd_line": """
+select bom_id, source_row, case source_row%23 when 0 then '#DIV/0!' when 1 then '1.5E+10' when 2 then '123' when 3 then 'A1' when 4 then concat(repeat('LONG-',13),mpn) when 5 then '  padded  x1' when 6 then concat('Ä',mpn) when 7 then '' when 8 then '' when 9 then '' else mpn end as mpn,
+ case when source_row%17=0 then 'X' else manufacturer end as manufacturer,
+ case source_row%11 when 0 then 'RES 10k 1% 0603' when 1 then 'CAP CER 100nF' when 2 then 'box header' else description end as description,
+ case when source_row%29=0 then 'X' else package end as package, case source_row%7 when 0 then '22k' when 1 then '100nF' else value_text end as value_text,
+ case source_row%19 when 0 then cast(-2 as double) when 1 then cast(0 as double) when 2 then cast(2.5 as double) when 3 then cast(200000 as double) else quantity end as quantity, dnp or (bom_id%4=0 and source_row%2=0) as dnp,
+ case source_row%13 when 0 then 'R1,C2' when 1 then 'RR' when 2 then '' else ref_text end as ref_text,
+ case source_row%5 when 0 then '1%' when 1 then 'F' when 2 then 'odd' else '' end as tolerance,
+ case source_row%6 when 0 then lower(mpn) when 1 then 'ab' else 'ALT-123' end as alt_text, input_unit_micro
+from v_bom_line""",
     "v_spelled": """
 select p_partkey as part_id,
  concat(case p_partkey%14 when 0 then concat(cast(p_size as string),'k',cast(p_partkey%10 as string)) when 1 then concat(cast(p_size as string),'n',cast(p_partkey%7 as string),' ') when 2 then concat('1/',cast(p_size as string),'W') when 3 then concat(cast(p_size as string),' nF max')
