@@ -196,3 +196,6 @@ TYPE_PREFIXES = (
     ("module|shield|board|pcb|assembly", ("U", "M", "A", "MOD", "PCB")),
 )
 BULK_PREFIXES = ("", "SOL", "ADH", "PST")
+
+# Countries of origin to look at
+REVIEW_ORIGINS = ("RU", "BY", "IR", "KP", "SY", "CU")

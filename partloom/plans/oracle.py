@@ -445,3 +445,25 @@ SQL |= {
         "select bom_id, source_row, part_id, similarity from given join best on a = k",
     ),
 }
+
+_FIGURES = """select bom_id, count(*) as lines, count(*) filter (not dnp) as live, count(*) filter (kind <> 'none') as matched, count(*) filter (not dnp and kind = 'none') as unmatched, count(*) filter (kind <> 'none' and confidence < 90) as review,
+    count(*) filter (not dnp and lifecycle is not null and stocking = 1) as single_source, count(*) filter (not dnp and lifecycle is not null and stock <= 0) as out_of_stock, count(*) filter (not dnp and lifecycle is not null and stock <= 0 and lead_days >= 84) as long_lead,
+    max(lead_days) filter (not dnp and lifecycle is not null) as max_lead_days, count(*) filter (not dnp and required > 0) as to_cost, count(*) filter (not dnp and required > 0 and unit_micro is not null) as costed,
+    count(*) filter (not dnp and rohs = 'Non-compliant') as blockers, count(*) filter (not dnp and rohs <> 'Unknown') as declared, count(*) filter (not dnp and eccn <> 'EAR99') as export from scored group by bom_id"""
+
+
+def _exploded(keys: str, found: list[tuple[str, str, str]], source: str) -> str:
+    each = ", ".join(f"case when {cond} then {{'code': '{code}', 'severity': {severity}}} end" for code, cond, severity in found)
+    return f"select {keys}, i.code as code, i.severity as severity from (select {keys}, unnest([{each}]) as i from {source}) where i is not null"
+
+
+SQL |= {
+    "compliance_issues": _scored(_exploded("bom_id, source_row", [("rohs_non_compliant", "rohs = 'Non-compliant'", "'error'"), ("rohs_exempt", "rohs = 'Exempt'", "'warning'"), ("rohs_unknown", "rohs = 'Unknown'", "'warning'"), ("reach_svhc", "reach = 'Non-compliant'", "'warning'"), ("export_controlled", "eccn <> 'EAR99'", "'warning'")], "scored where not dnp and lifecycle is not null")),
+    "match_issues": _scored(_exploded("bom_id, source_row", [("no_catalogue_match", "kind = 'none' and not dnp", "'error'"), ("match_needs_review", "kind <> 'none' and confidence < 90", "case when confidence >= 60 then 'warning' else 'error' end"), ("match_packaging_variant", "kind = 'root'", "'info'")], "scored")),
+    "risk_issues": _scored("select bom_id, source_row, 'risk_' || code as code, case when x >= 85 then 'error' else 'warning' end as severity from (" + " union all ".join(f"select bom_id, source_row, '{k}' as code, f_{k} as x from scored where not dnp" for k in C.WEIGHTS) + ") where x >= 60"),
+    "analysis_summary": _scored(_FIGURES),
+    "analysis_issues": _scored(_exploded("bom_id", [
+        ("unmatched_lines", "unmatched > 0", "case when unmatched * 4 > live then 'error' else 'warning' end"), ("matches_need_review", "review > 0", "'warning'"), ("out_of_stock", "out_of_stock > 0", "case when out_of_stock > 2 then 'error' else 'warning' end"),
+        ("single_source", "single_source > 0", "'warning'"), ("long_lead", "long_lead > 0", "'warning'"), ("cost_coverage", "costed * 100 < to_cost * 90", "'warning'"), ("compliance_blockers", "blockers > 0", "'error'"), ("compliance_coverage_low", "declared * 100 < live * 80", "'warning'"), ("compliance_export", "export > 0", "'warning'"),
+    ], f"({_FIGURES})")),
+}

@@ -14,7 +14,7 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, cost, evidence, history, lines, match, replacements, risk
+from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, match, replacements, risk
 from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.views import Frames
@@ -445,3 +445,28 @@ def odd_line_rules(v: Frames) -> DataFrame:
 @query
 def odd_bom_rules(v: Frames) -> DataFrame:
     return lines.bom_issues(v["v_odd_line"])
+
+
+@query
+def compliance_issues(v: Frames) -> DataFrame:
+    return issues.compliance_issues(analysis.scored_lines(v))
+
+
+@query
+def match_issues(v: Frames) -> DataFrame:
+    return issues.match_issues(analysis.scored_lines(v))
+
+
+@query
+def risk_issues(v: Frames) -> DataFrame:
+    return issues.risk_issues(analysis.scored_lines(v))
+
+
+@query
+def analysis_summary(v: Frames) -> DataFrame:
+    return issues.summary(analysis.scored_lines(v))
+
+
+@query
+def analysis_issues(v: Frames) -> DataFrame:
+    return issues.bom_issues(issues.summary(analysis.scored_lines(v)))
