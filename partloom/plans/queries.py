@@ -81,7 +81,8 @@ def refdes_conflicts(v: Frames) -> DataFrame:
 
 @query
 def near_duplicate_mpn(v: Frames) -> DataFrame:
-    return lines.near_duplicates(lines.keyed(v["v_bom_line"]))
+    """Every other line names its part without the packaging."""
+    return lines.near_duplicates(lines.keyed(v["v_bom_line"].withColumn("mpn", F.when(F.col("source_row") % 2 == 0, T.mpn_root(F.col("mpn"))).otherwise(F.col("mpn")))))
 
 
 @query
@@ -148,10 +149,15 @@ def fx_convert(v: Frames) -> DataFrame:
     return got.select("part_id", "supp_id", "break_qty", M.to_usd(F.col("unit_micro"), F.col("currency")).alias("usd_micro"))
 
 
+def _loosely(v: Frames) -> tuple[DataFrame, DataFrame]:
+    """A catalogue with some numbers that no line has, and lines of which some lack the packaging."""
+    parts = analysis.catalogue_of(v["v_part"].withColumn("mpn", F.when(F.col("part_id") % 50 == 0, F.concat(F.col("mpn"), F.lit("Z9"))).otherwise(F.col("mpn"))))
+    return parts, lines.keyed(v["v_bom_line"].drop("part_id").withColumn("mpn", F.when(F.col("source_row") % 3 == 0, T.mpn_root(F.col("mpn"))).otherwise(F.col("mpn"))))
+
+
 @query
 def line_match(v: Frames) -> DataFrame:
-    parts = analysis.catalogue_of(v["v_part"].withColumn("mpn", F.when(F.col("part_id") % 50 == 0, F.concat(F.col("mpn"), F.lit("Z9"))).otherwise(F.col("mpn"))))  # numbers that no line has
-    given = lines.keyed(v["v_bom_line"].drop("part_id").withColumn("mpn", F.when(F.col("source_row") % 3 == 0, T.mpn_root(F.col("mpn"))).otherwise(F.col("mpn"))))
+    parts, given = _loosely(v)
     return match.classify(given, parts, v["v_offer"])
 
 
@@ -237,7 +243,9 @@ def alternates_topk(v: Frames) -> DataFrame:
 
 @query
 def keyword_search(v: Frames) -> DataFrame:
-    return alternates.keyword_search(v["benchmark"], v["v_part"].withColumn("description", F.concat_ws(" ", "description", "manufacturer")))
+    """What a buyer types, made of a part's words in another order with words of a text, against all parts."""
+    typed = v["benchmark"].join(v["v_part"], F.col("item_id") == F.col("part_id")).select("item_id", F.concat_ws(" ", "manufacturer", F.substring("text", 1, 40), "description").alias("text"))
+    return alternates.keyword_search(typed, v["v_part"].withColumn("description", F.concat_ws(" ", "description", "manufacturer")))
 
 
 @query
@@ -454,7 +462,10 @@ def compliance_issues(v: Frames) -> DataFrame:
 
 @query
 def match_issues(v: Frames) -> DataFrame:
-    return issues.match_issues(analysis.scored_lines(v))
+    """Of lines and a catalogue that differ in packaging marks and in some numbers."""
+    parts, given = _loosely(v)
+    matched = match.classify(given, parts, v["v_offer"], ("dnp", "mpn_key"))
+    return issues.match_issues(matched.withColumn("has_part", F.col("mpn_key") != ""))
 
 
 @query
