@@ -1,16 +1,12 @@
-"""Event streams: windows with watermarks, running states and rate limits.
+"""Event streams: windows with watermarks and running states.
 
 Every function takes a streaming or a batch DataFrame of events (event_id, ts, user_id, event_type, value).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -43,47 +39,11 @@ def once_each(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def token_bucket(events: DataFrame, rate_per_s: float, burst: float) -> DataFrame:
-    """event_id, user_id, allowed: each user's bucket fills at a rate up to a burst, and an event takes one token."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (burst, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        allowed = []
-        for t in rows["ts"].astype("int64") / 1e9 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].map(lambda x: x.timestamp()):
-            tokens = min(burst, tokens + (max(0.0, t - last) * rate_per_s if last is not None else 0.0))
-            allowed.append(tokens >= 1)
-            tokens -= tokens >= 1
-            last = t if last is None else max(last, t)
-        state.update((float(tokens), float(last)))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "allowed": allowed})
-
-    return events.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def circuit_breaker(events: DataFrame, failures: int = 6, pause_s: float = 60.0) -> DataFrame:
-    """event_id, user_id, state before the event: closed, open after so many errors in a row, half_open for one try after the pause."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failed, opened = state.get if state.exists else (0, -1.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        states = []
-        for at, kind in zip(rows["ts"], rows["event_type"], strict=True):
-            t = pd.Timestamp(at).timestamp()
-            now = "closed" if opened < 0 else "half_open" if t - opened >= pause_s else "open"
-            states.append(now)
-            if now == "open":
-                continue
-            if kind != "error":
-                failed, opened = 0, -1.0
-            else:
-                failed += 1
-                if failed >= failures or now == "half_open":
-                    opened = t
-        state.update((int(failed), float(opened)))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "user_id": key[0], "state": states})
-
-    return events.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, state string", "failed int, opened double", "append", GroupStateTimeout.NoTimeout)
+def lifecycle_steps(events: DataFrame) -> DataFrame:
+    """user_id, state, steps, notices: the lifecycle state that all events so far lead to, updated with every batch."""
+    from partloom.operators.history import advanced, event_kind
+
+    return advanced(events.select("user_id", event_kind(F.col("event_type")).alias("kind")), ["user_id"])
 
 
 def lifecycle_states(events: DataFrame) -> DataFrame:
@@ -94,15 +54,28 @@ def lifecycle_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max(step).alias("step"), F.count(F.lit(1)).alias("events"))
 
 
-def append_snapshots(events: DataFrame, log: str, latest: str, checkpoint: str):
-    """Append every batch to a log, and rewrite the latest value of each user, batch by batch (idempotent by batch number)."""
+def append_snapshots(events: DataFrame, log: str, latest: str, checkpoint: str, parts: int = 64):
+    """Append every batch to a log, and keep the latest value of each user in a table of `parts` folders by the user's hash.
+
+    A batch reads and writes only the folders that its users fall in, into a new version of each; `latest_of` reads the
+    newest versions. A batch that is repeated writes the same again.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        new = batch.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
-        if number:
-            old = batch.sparkSession.read.parquet(f"{latest}/v={number - 1}")
-            new = old.unionByName(new).groupBy("user_id").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
-        new.write.mode("overwrite").parquet(f"{latest}/v={number}")
+        new = batch.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts")).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int"))
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most `parts`
+        if number and touched:
+            old = latest_of(batch.sparkSession, latest, before=number).where(F.col("part").isin(touched))
+            new = old.unionByName(new).groupBy("user_id", "part").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+        new.write.mode("overwrite").partitionBy("part").parquet(f"{latest}/v={number}")
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_of(spark: SparkSession, latest: str, before: int | None = None) -> DataFrame:
+    """The table that `append_snapshots` keeps: of each folder the newest version (older than `before`)."""
+    found = spark.read.option("basePath", latest).parquet(latest)
+    found = found if before is None else found.where(F.col("v") < before)
+    newest = found.groupBy("part").agg(F.max("v").alias("v"))
+    return found.join(newest, ["part", "v"]).select("user_id", "value", "ts", "part")

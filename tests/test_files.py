@@ -1,67 +1,12 @@
-import json
-import zipfile
-
-import pytest
 from partloom.sinks import files as sinks
-from partloom.sources.files import read_grids
 from pyspark.sql import functions as F
 
-WANT = [["MPN", "Qty"], ["0402", "1E5"], ["AB-1", "2"]]
-NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-ODF = 'xmlns:office="o" xmlns:table="t" xmlns:text="x"'
-
-
-def _xlsx(path):
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {NS}><sheets><sheet name="Hidden" state="hidden" r:id="r2"/><sheet name="BOM" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="p"><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="worksheets/b.xml"/></Relationships>')
-        z.writestr("xl/sharedStrings.xml", f"<sst {NS}><si><t>MPN</t></si><si><t>0402</t></si></sst>")
-        z.writestr("xl/styles.xml", f'<styleSheet {NS}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-        z.writestr("xl/worksheets/a.xml", f"""<worksheet {NS}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Date</t></is></c></row>
-            <row r="4"><c r="A4" t="s"><v>1</v></c><c r="B4" t="b"><v>1</v></c><c r="C4" s="1"><v>45000</v></c><c r="D4" t="e"><v>#REF!</v></c></row></sheetData></worksheet>""")
-        z.writestr("xl/worksheets/b.xml", f'<worksheet {NS}><sheetData><row r="1"><c r="AA1"><v>7</v></c></row></sheetData></worksheet>')
-
-
-def _ods(path):
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("mimetype", "application/vnd.oasis.opendocument.spreadsheet")
-        row = lambda *c: "<table:table-row>" + "".join(f"<table:table-cell><text:p>{x}</text:p></table:table-cell>" for x in c) + "</table:table-row>"
-        z.writestr("content.xml", f'<doc {ODF}><table:table table:name="S">{"".join(row(*r) for r in WANT)}<table:table-row table:number-rows-repeated="9999"><table:table-cell/></table:table-row></table:table></doc>')
-
-
-@pytest.fixture
-def folder(tmp_path):
-    lines = "\r\n".join(";".join(r) for r in WANT)
-    (tmp_path / "a.csv").write_bytes(lines.encode("utf-8-sig"))
-    (tmp_path / "b.txt").write_bytes(lines.replace(";", "\t").encode("utf-16"))
-    (tmp_path / "c.json").write_text(json.dumps({"items": [{"MPN": "0402", "Qty": "1E5"}, {"MPN": "AB-1", "Qty": 2}]}))
-    (tmp_path / "d.ndjson").write_text('{"MPN":"0402","Qty":"1E5"}\n{"MPN":"AB-1","Qty":2}\n')
-    (tmp_path / "e.html").write_text("<html><table><tr><td>x</td></tr></table><table>" + "".join(f"<tr><td>{a}</td><td><b>{b}</b></td></tr>" for a, b in WANT) + "</table></html>")
-    (tmp_path / "f.xml").write_text("<bom><l MPN='0402'><Qty>1E5</Qty></l><l MPN='AB-1'><Qty>2</Qty></l></bom>")
-    _ods(tmp_path / "g.ods")
-    _xlsx(tmp_path / "h.xlsx")
-    (tmp_path / "i.xlsx").write_bytes(b"PK\x03\x04 no archive")
-    (tmp_path / "j.csv").write_bytes(b"")
-    return str(tmp_path)
-
-
-def test_every_format_gives_the_same_cells(spark, folder):
-    rows = read_grids(spark, folder).orderBy("file", "sheet_no", "row_no").collect()
-    of = {}
-    for r in rows:
-        of.setdefault(r.file[-6:].split("/")[-1], []).append(r)
-    for name in ("a.csv", "b.txt", "c.json", "ndjson", "f.xml", "g.ods"):
-        assert [list(r.cells) for r in of[name]] == WANT, name
-    assert [list(r.cells) for r in of["e.html"] if r.sheet_no == 0] == WANT
-    assert [(r.sheet, r.row_no, list(r.cells)) for r in of["h.xlsx"]] == [("BOM", 1, ["MPN", "", "Date"]), ("BOM", 4, ["0402", "TRUE", "2023-03-15", ""]), ("Hidden", 1, [""] * 26 + ["7"])]
-    assert len(of["i.xlsx"]) == 1 and of["i.xlsx"][0].error
-    assert "j.csv" not in of
-
 
 def test_csv_written_is_read_back_without_formulas(spark, tmp_path):
     df = spark.createDataFrame([(1, "=1+1", ["R1", "R2"], -5), (2, None, None, None)], "id int, note string, refs array<string>, n int")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "out"))
-    rows = read_grids(spark, str(tmp_path / "out") + "/*.csv").orderBy("row_no").select("cells").collect()
-    assert [list(r.cells) for r in rows] == [["id", "note", "refs", "n"], ["1", "'=1+1", "R1, R2", "-5"], ["2", "", "", ""]]
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).fillna("")
+    assert rows.columns == ["id", "note", "refs", "n"]
+    assert sorted(map(tuple, rows.collect())) == [("1", "'=1+1", "R1, R2", "-5"), ("2", "", "", "")]
     sinks.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).where(F.col("id") == 1).first().refs == ["R1", "R2"]

@@ -29,8 +29,28 @@ def test_lifecycle_equals_the_batch(spark, sf, stream):
     assert got == {r.user_id: r.state for r in history.lifecycle_fold(spark.read.parquet(f"{sf}/events.parquet")).collect()}
 
 
-def test_bucket_and_breaker_judge_every_event(spark, sf, stream):
-    n = spark.read.parquet(f"{sf}/events.parquet").count()
-    assert collected(spark, E.token_bucket(stream, 1.0, 2.0), "bucket", "append").count() == n
-    states = {r.state for r in collected(spark, E.circuit_breaker(stream, failures=2), "breaker", "append").select("state").distinct().collect()}
-    assert "closed" in states and states <= {"closed", "open", "half_open"}
+def test_steps_equal_the_batch(spark, sf, stream):
+    got = {r.user_id: (r.state, r.steps) for r in collected(spark, E.lifecycle_steps(stream), "steps", "complete").collect()}
+    kinds = spark.read.parquet(f"{sf}/events.parquet").select("user_id", history.event_kind(F.col("event_type")).alias("kind"))
+    assert got == {r.user_id: (r.state, r.steps) for r in history.advanced(kinds, ["user_id"]).collect()}
+
+
+def test_steps_one_by_one(spark):
+    kinds = ["SUCCESSOR", "PCN", "EOL_ANNOUNCED", "PDN", "X", "LAST_TIME_BUY", "SUCCESSOR"]
+    state, seen = "ACTIVE", []
+    for k in kinds:
+        state = spark.range(1).select(history.advance(F.lit(state), F.lit(k)).alias("s")).first().s
+        seen.append(state)
+    assert seen == ["NRND", "NRND", "EOL_ANNOUNCED", "EOL_ANNOUNCED", "LAST_TIME_BUY", "OBSOLETE", "OBSOLETE"]
+    assert spark.range(1).select(history.may_follow(F.lit("NRND")).alias("a"), F.size(history.may_follow(F.lit("?"))).alias("n")).first()[:] == (["EOL_ANNOUNCED", "ACTIVE", "UNKNOWN"], 6)
+
+
+def test_latest_values_by_folder(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id")
+    for i in range(3):
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log, latest = str(tmp_path / "log"), str(tmp_path / "latest")
+    E.append_snapshots(E.read(spark, str(tmp_path / "in")), log, latest, str(tmp_path / "state"), parts=5).awaitTermination(120)
+    want = {r.user_id: r.ts for r in events.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).collect()}
+    assert {r.user_id: r.ts for r in E.latest_of(spark, latest).collect()} == want
+    assert spark.read.parquet(log).count() == events.count()
