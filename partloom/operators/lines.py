@@ -12,6 +12,7 @@ from partloom import constants as C
 from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
+from partloom.functions.names import manufacturer_key, normalize_distributor
 
 LINE = ["bom_id", "source_row"]
 
@@ -43,17 +44,30 @@ def collapse_refdes(refs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_duplicates(lines: DataFrame) -> DataFrame:
-    """One line for each part, maker and fitting state of a BOM; lines without a part number stay apart.
+    """One line for each part, maker and fitting state of a BOM; a line without a part number goes by its distributor's
+    number, if it has those columns (distributor, distributor_pn), and stays apart without either.
 
-    Quantities add up; blanks are filled from the richest line (most fields, then the first); lines are renumbered.
+    Quantities add up; designators and alternates are united in the order of the lines; notes, if there are any, are joined
+    where they differ; blanks are filled from the richest line (most fields, then the first); lines are renumbered.
     """
-    key = F.when(F.col("mpn_key") != "", F.concat_ws(":", F.lit("MPN"), "mpn_key", F.lower("manufacturer"), F.when(F.col("dnp"), "DNP").otherwise("FIT"))).otherwise(F.concat(F.lit("ROW:"), F.col("source_row").cast("string")))
-    fields = ["mpn", "manufacturer", "description", "package", "value_text"]
+    fitted = F.when(F.col("dnp"), "DNP").otherwise("FIT")
+    by_seller = F.lit(None).cast("string")
+    if {"distributor", "distributor_pn"} <= set(lines.columns):
+        number = T.normalize_mpn(F.col("distributor_pn"))
+        by_seller = F.when(number != "", F.concat_ws(":", F.lit("DPN"), normalize_distributor(F.col("distributor")), number, fitted))
+    own = F.when(F.col("mpn_key") != "", F.concat_ws(":", F.lit("MPN"), "mpn_key", manufacturer_key(F.col("manufacturer")), fitted))
+    key = F.coalesce(own, by_seller, F.concat(F.lit("ROW:"), F.col("source_row").cast("string")))
+    fields = [f for f in ("mpn", "manufacturer", "description", "package", "value_text", "tolerance", "distributor", "distributor_pn") if f in lines.columns]
     filled = sum((F.when(F.col(f) != "", 1).otherwise(0) for f in fields), F.lit(0))
     order = F.struct(filled.alias("filled"), (-F.col("source_row")).alias("first"))
     best = lambda f: F.coalesce(F.max_by(F.when(F.col(f) != "", F.col(f)), F.when(F.col(f) != "", order)), F.lit("")).alias(f)
+    united = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("source_row", F.col(c).alias("x")))), lambda r: r["x"]))).alias(c)
+    more = [united("refs"), united("alt_mpns")]
+    if "notes" in lines.columns:
+        told = F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("source_row", "notes"))), lambda r: T.clean(r["notes"])), lambda n: n != ""))
+        more.append(F.array_join(told, "; ").alias("notes"))
     merged = lines.withColumn("merge_key", key).groupBy("bom_id", "merge_key").agg(
-        F.min("source_row").alias("source_row"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("merged"), F.first("dnp").alias("dnp"), *[best(f) for f in fields]
+        F.min("source_row").alias("source_row"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("merged"), F.first("dnp").alias("dnp"), *[best(f) for f in fields], *more
     )
     return merged.withColumn("line_no", F.row_number().over(W.partitionBy("bom_id").orderBy("source_row")))
 

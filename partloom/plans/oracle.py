@@ -225,11 +225,12 @@ SQL: dict[str, str] = {
     ),
     "merge_duplicates": _with(
         {
-            "keyed": f"select *, case when {mpn_key('mpn')} <> '' then 'MPN:' || {mpn_key('mpn')} || ':' || lower(manufacturer) || ':' || case when dnp then 'DNP' else 'FIT' end else 'ROW:' || source_row end as k from v_bom_line",
+            "keyed": f"select *, case when {mpn_key('mpn')} <> '' then 'MPN:' || {mpn_key('mpn')} || ':' || regexp_replace(upper(manufacturer), '[^A-Z0-9]+', '', 'g') || ':' || case when dnp then 'DNP' else 'FIT' end else 'ROW:' || source_row end as k from v_bom_line",
             "filled": "select *, (mpn <> '')::int + (manufacturer <> '')::int + (description <> '')::int + (package <> '')::int + (value_text <> '')::int as n from keyed",
             "merged": "select bom_id, k, min(source_row) as source_row, sum(quantity) as quantity, count(*) as merged, first(dnp) as dnp, coalesce(arg_max(mpn, (n, -source_row)) filter (mpn <> ''), '') as mpn, coalesce(arg_max(manufacturer, (n, -source_row)) filter (manufacturer <> ''), '') as manufacturer, coalesce(arg_max(package, (n, -source_row)) filter (package <> ''), '') as package from filled group by bom_id, k",
+            "refs": f"select bom_id, k, string_agg(ref, ',' order by ref) as designators from (select distinct bom_id, k, letter || n as ref from ({_EACH_REF}) join (select bom_id, source_row, k from keyed) using (bom_id, source_row)) group by all",
         },
-        "select bom_id, row_number() over (partition by bom_id order by source_row)::int as line_no, source_row, quantity, merged, dnp, mpn, manufacturer, package from merged",
+        "select bom_id, row_number() over (partition by bom_id order by source_row)::int as line_no, source_row, quantity, merged, dnp, mpn, manufacturer, package, designators from merged join refs using (bom_id, k)",
     ),
     "line_rules": with_views(f"select bom_id, source_row, i.code as code, i.severity as severity from ({_ISSUES}) where i is not null"),
     "bom_rules": with_views(_bom_issues("v_bom_line")),

@@ -87,7 +87,7 @@ def near_duplicate_mpn(v: Frames) -> DataFrame:
 
 @query
 def merge_duplicates(v: Frames) -> DataFrame:
-    return lines.merge_duplicates(lines.keyed(v["v_bom_line"])).select("bom_id", "line_no", "source_row", "quantity", "merged", "dnp", "mpn", "manufacturer", "package")
+    return lines.merge_duplicates(lines.keyed(v["v_bom_line"])).select("bom_id", "line_no", "source_row", "quantity", "merged", "dnp", "mpn", "manufacturer", "package", F.array_join(F.array_sort("refs"), ",").alias("designators"))
 
 
 @query
