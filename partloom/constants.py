@@ -199,3 +199,23 @@ BULK_PREFIXES = ("", "SOL", "ADH", "PST")
 
 # Countries of origin to look at
 REVIEW_ORIGINS = ("RU", "BY", "IR", "KP", "SY", "CU")
+
+# Sheets: labels of title blocks, banners, totals; the commonest header words with their field and weight, further ones are
+# a parameter; fields that a table needs, and how much fields count in halves (others 1)
+TITLE_LABEL = r"(?i)^(project|program|product|assembly|assy|board|pcb|bom|part|drawing|dwg|revision|rev|version|date|prepared|approved|checked|author|engineer|customer|client|company|department|title|description|notes?|file|issue|status|page|sheet|quantity per|build|variant|configuration|document|doc|ecn|eco|released?|owner|created|modified)\b\s*[:\-]?\s*$"
+SECTION_BANNER = r"(?i)^[\s\-=*_#]*(resistors?|capacitors?|inductors?|connectors?|semiconductors?|ics?|integrated circuits?|diodes?|transistors?|crystals?|oscillators?|leds?|switches?|fuses?|relays?|transformers?|mechanical|hardware|pcb|misc(ellaneous)?|passives?|actives?|electromechanical|section|group|category|smt|tht|assembly)[\s\-=*_#:]*$"
+TOTAL_ROW = r"(?i)^(total|totals|grand total|sub[- ]?total|sum|subtotal|end of bom|end of list|notes?|legend|approved by|prepared by|checked by|signature|remarks?)\b"
+HEADER_WORDS = {
+    "mpn": ("mpn", 100), "manufacturerpartnumber": ("mpn", 100), "manufacturerpartno": ("mpn", 100), "mfrpartnumber": ("mpn", 99), "mfgpartnumber": ("mpn", 99), "mfrpn": ("mpn", 98), "partnumber": ("mpn", 98), "partno": ("mpn", 98), "pn": ("mpn", 97), "mfrpart": ("mpn", 97),
+    "manufacturer": ("manufacturer", 100), "mfr": ("manufacturer", 100), "mfg": ("manufacturer", 100), "mfrname": ("manufacturer", 99), "manufacturername": ("manufacturer", 99), "make": ("manufacturer", 98), "maker": ("manufacturer", 98), "brand": ("manufacturer", 98), "vendor": ("manufacturer", 97),
+    "qty": ("quantity", 100), "quantity": ("quantity", 100), "qnty": ("quantity", 100), "qtyperboard": ("quantity", 99), "count": ("quantity", 99), "pcs": ("quantity", 98), "usage": ("quantity", 98), "requiredquantity": ("quantity", 98),
+    "reference": ("ref_designators", 100), "references": ("ref_designators", 100), "refdes": ("ref_designators", 100), "refdes": ("ref_designators", 99), "referencedesignator": ("ref_designators", 99), "referencedesignators": ("ref_designators", 98), "designator": ("ref_designators", 98), "designators": ("ref_designators", 98),
+    "description": ("description", 100), "desc": ("description", 100), "partdescription": ("description", 100), "componentdescription": ("description", 99),
+    "value": ("value", 100), "val": ("value", 100),
+    "package": ("package", 100), "footprint": ("package", 100), "case": ("package", 100),
+    "tolerance": ("tolerance", 100), "tol": ("tolerance", 100),
+    "notes": ("notes", 100), "remarks": ("notes", 100), "comment": ("notes", 100),
+    "item": ("line_id", 100), "itemno": ("line_id", 100), "line": ("line_id", 100), "lineno": ("line_id", 99),
+}
+REQUIRED_FIELDS = ("mpn", "quantity")
+FIELD_HALVES = {"mpn": 6, "quantity": 4, "manufacturer": 3, "description": 2, "ref_designators": 2}

@@ -480,3 +480,43 @@ SQL |= {
         ("single_source", "single_source > 0", "'warning'"), ("long_lead", "long_lead > 0", "'warning'"), ("cost_coverage", "costed * 100 < to_cost * 90", "'warning'"), ("compliance_blockers", "blockers > 0", "'error'"), ("compliance_coverage_low", "declared * 100 < live * 80", "'warning'"), ("compliance_export", "export > 0", "'warning'"),
     ], f"({_FIGURES})")),
 }
+
+
+_WORDS = "values " + ", ".join(f"('{k}', '{f}', {w})" for k, (f, w) in C.HEADER_WORDS.items())
+_SHEET = {
+    "words(k, field, weight)": _WORDS,
+    "cells": f"select sheet, row_no, list_transform(string_split(cells_text, '|'), lambda c: {clean('c')}) as cells from v_sheet",
+    "filled": "select *, list_filter(cells, lambda c: c <> '') as filled from cells",
+    "counted": """select sheet, row_no, count(w.k) as hits, count(*) filter (w.field in ('mpn', 'quantity')) as needed, count(*) as n, count(*) filter (regexp_matches(c, '^-?[\\d.,]+$')) as numeric, count(*) filter (length(c) > 48) as long, count(distinct key) as keys
+        from (select sheet, row_no, c, regexp_replace(lower(c), '[^a-z0-9]+', '', 'g') as key from (select sheet, row_no, unnest(filled) as c from filled where row_no <= 40)) left join words w on w.k = key group by all""",
+    "scored": """select *, case when n < 2 then 0 else greatest(0.0::double, hits * 12.0::double + needed * 10.0::double + hits / n * 25.0::double + n / 6 * 12.0::double + keys / n * 10.0::double - numeric / n * 40.0::double - long / n * 25.0::double + case when needed >= 2 then 18.0::double else 0.0::double end) end - (row_no - 1) * 0.35::double as score from counted""",
+    "best": "select sheet, arg_max(row_no, (score, -row_no)) as row_no, arg_max(hits, (score, -row_no)) as hits from scored where score > 0 and n >= 2 group by sheet",
+    "guess": "select sheet, min(row_no) as row_no, arg_min(hits, row_no) as hits from scored where n >= 2 and row_no <= 10 group by sheet",
+    "heads": "select g.sheet, case when b.hits > 0 then b.row_no else g.row_no end as header_row, case when b.hits > 0 then b.hits else g.hits end::int as hits from guess g left join best b using (sheet)",
+    "mapped": """select sheet, arg_min(col, (-weight, col))::int as "column", field, max(weight) as weight from (
+        select sheet, unnest(range(len(cells))) as col, unnest(cells) as c from filled join heads using (sheet) where row_no = header_row) join words on k = regexp_replace(lower(c), '[^a-z0-9]+', '', 'g') group by sheet, field""",
+}
+_LABEL, _BANNER, _TOTAL = C.TITLE_LABEL, C.SECTION_BANNER, C.TOTAL_ROW
+SQL |= {
+    "sheet_headers": _with(_SHEET, "select sheet, header_row, hits from heads"),
+    "sheet_titles": _with(
+        _SHEET
+        | {"pairs": f"""select sheet, row_no, case when whole then trim(regexp_replace(filled[1], ':+$', '')) else label end as label, case when whole then rest else coalesce(nullif(after, ''), rest) end as value from (
+            select *, regexp_matches(filled[1], '{_LABEL}') as whole, trim(string_split(filled[1], ':')[1]) as label, trim(regexp_replace(filled[1], '^[^:]*:?', '')) as after, coalesce(filled[2], '') as rest from filled join heads using (sheet) where row_no < header_row and len(filled) between 1 and 6)
+            where whole or (contains(filled[1], ':') and len(filled) <= 2 and regexp_matches(label, '{_LABEL}'))"""},
+        "select sheet, label, arg_min(value, row_no) as value from pairs where label <> '' group by sheet, label",
+    ),
+    "sheet_row_kinds": _with(
+        _SHEET
+        | {"flags": f"""select *, len(filled) = 1 and (regexp_matches(filled[1], '{_BANNER}') or regexp_matches(filled[1], '^[\\-=*_\\s#]{{3,}}$')) as banner, coalesce(regexp_matches(filled[1], '{_TOTAL}') and len(filled) <= 5, false) as total,
+            coalesce(max(len(filled) >= 3) over (partition by sheet order by row_no desc rows between unbounded preceding and 1 preceding), false) as more from filled join heads using (sheet)""",
+           "ends": "select *, min(case when row_no > header_row and total and not coalesce(banner, false) and not more then row_no end) over (partition by sheet) as end_row from flags"},
+        "select sheet, case when row_no < header_row then 'above' when row_no = header_row then 'header' when row_no > end_row then 'below' when len(filled) = 0 then 'blank' when banner then 'banner' when total then 'total' else 'data' end as kind, count(*) as rows from ends group by all",
+    ),
+    "sheet_columns": _with(_SHEET, 'select sheet, "column", field, weight from mapped'),
+    "mapping_confidence": _with(_SHEET, f"select sheet, count(*) as mapped, ((sum(weight * h) * 200 + sum(h)) // (sum(h) * 2))::bigint as confidence from (select *, coalesce({_case('field', C.FIELD_HALVES)}, 1) as h from mapped) group by sheet"),
+}
+SQL["sheet_fingerprints"] = _with(
+    _SHEET | {"keys": "select sheet, list_sort(list_distinct(list_filter(list_transform(cells, lambda c: regexp_replace(lower(c), '[^a-z0-9]+', '', 'g')), lambda c: c <> ''))) as keys from filled join heads using (sheet) where row_no = header_row"},
+    "select sheet, substr(sha1(array_to_string(keys, '|')), 1, 16) as fingerprint, len(keys)::int as headers from keys",
+)

@@ -14,7 +14,7 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, match, replacements, risk
+from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, match, replacements, risk, sheets
 from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.views import Frames
@@ -481,3 +481,39 @@ def analysis_summary(v: Frames) -> DataFrame:
 @query
 def analysis_issues(v: Frames) -> DataFrame:
     return issues.bom_issues(issues.summary(analysis.scored_lines(v)))
+
+
+def _sheets(v: Frames) -> DataFrame:
+    return v["v_sheet"].select("sheet", "row_no", F.split("cells_text", r"\|").alias("cells"))
+
+
+@query
+def sheet_headers(v: Frames) -> DataFrame:
+    return sheets.headers(_sheets(v)).select("sheet", "header_row", "hits")
+
+
+@query
+def sheet_titles(v: Frames) -> DataFrame:
+    return sheets.title_block(_sheets(v), sheets.headers(_sheets(v)))
+
+
+@query
+def sheet_row_kinds(v: Frames) -> DataFrame:
+    return sheets.row_kinds(_sheets(v), sheets.headers(_sheets(v))).groupBy("sheet", "kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def sheet_columns(v: Frames) -> DataFrame:
+    return sheets.columns(sheets.headers(_sheets(v)))
+
+
+@query
+def mapping_confidence(v: Frames) -> DataFrame:
+    return sheets.confidence(sheets.columns(sheets.headers(_sheets(v))))
+
+
+@query
+def sheet_fingerprints(v: Frames) -> DataFrame:
+    """A key for the set of a sheet's headers, for finding a known layout again."""
+    keys = F.array_sort(F.array_distinct(F.filter(F.transform("header", T.header_key), lambda k: k != "")))
+    return sheets.headers(_sheets(v)).select("sheet", F.substring(F.sha1(F.array_join(keys, "|").cast("binary")), 1, 16).alias("fingerprint"), F.size(keys).alias("headers"))

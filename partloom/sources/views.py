@@ -71,6 +71,16 @@ select bom_id, source_row, case source_row%23 when 0 then '#DIV/0!' when 1 then
  case source_row%5 when 0 then '1%' when 1 then 'F' when 2 then 'odd' else '' end as tolerance,
  case source_row%6 when 0 then lower(mpn) when 1 then 'ab' else 'ALT-123' end as alt_text, input_unit_micro
 from v_bom_line""",
+    "v_sheet": """
+select bom_id as sheet, case when bom_id%2=0 then source_row else source_row+1 end+5 as row_no,
+ concat(cast(source_row as string),'|',cast(cast(quantity as bigint) as string),'|',manufacturer,'|',mpn,'|',description,'|',ref_text) as cells_text from v_bom_line
+union all select distinct bom_id, cast(1 as bigint), concat('Project:|Board ',cast(bom_id as string),'||||') from v_bom_line
+union all select distinct bom_id, cast(2 as bigint), case when bom_id%3=0 then 'Rev: B2|||||' else 'Owner|x|2020|||' end from v_bom_line
+union all select distinct bom_id, cast(3 as bigint), case when bom_id%4=0 then 'see the notes|of|1999|||' else '|||||' end from v_bom_line
+union all select distinct bom_id, cast(4 as bigint), case bom_id%4 when 0 then 'Item|Qty|Manufacturer|Mfr Part Number|Description|Reference' when 1 then 'Line No|Quantity|Maker|MPN|Desc|RefDes' when 2 then 'a|b|c|d|e|f' else '#|Usage|Brand|Part No|MPN|Designators' end from v_bom_line
+union all select distinct bom_id, cast(5 as bigint), case when bom_id%2=0 then 'RESISTORS|||||' else '-----|||||' end from v_bom_line
+union all select distinct bom_id, cast(8 as bigint)*1000000, 'TOTAL||||10|' from v_bom_line
+union all select distinct bom_id, cast(8 as bigint)*1000000+1, 'signed|x||||' from v_bom_line""",
     "v_spelled": """
 select p_partkey as part_id,
  concat(case p_partkey%14 when 0 then concat(cast(p_size as string),'k',cast(p_partkey%10 as string)) when 1 then concat(cast(p_size as string),'n',cast(p_partkey%7 as string),' ') when 2 then concat('1/',cast(p_size as string),'W') when 3 then concat(cast(p_size as string),' nF max')
