@@ -40,8 +40,8 @@ def parse_tolerance(x: Column) -> Column:
 
 def normalize_package(x: Column) -> Column:
     """One name for a footprint: library prefixes go, chip sizes are imperial, known packages take their hyphen."""
-    metric = F.create_map(*[F.lit(v) for kv in C.METRIC_CHIPS.items() for v in kv])
-    alias = F.create_map(*[F.lit(v) for kv in C.PACKAGE_ALIASES.items() for v in kv])
+    table = lambda m: F.expr("map(" + ", ".join(f"'{v}'" for kv in m.items() for v in kv) + ")")
+    metric, alias = table(C.METRIC_CHIPS), table(C.PACKAGE_ALIASES)
     imperial = tuple(C.METRIC_CHIPS.values())
     text = F.regexp_replace(F.upper(clean(x)), r"^(FOOTPRINT|PKG|PACKAGE|LIB|SM|SMD|SMT)[_\-: ]+", "")
     text = F.regexp_replace(F.translate(text, "_", "-"), r"^[- ]+|[- ]+$", "")

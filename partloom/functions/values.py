@@ -18,9 +18,13 @@ _PART = r"^(\d+)/(\d+)([A-Za-zΩ]{1,6})$"
 _MONEY = r"-?\d[\d,.\s']*"
 
 
+def _sql(v: str | float) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v)
+
+
 def lookup(table: dict, key: Column) -> Column:
-    """What a small table of fixed values has for the key, else null."""
-    return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
+    """What a small table of fixed values has for the key, else null. Its literals go over in one text, not one by one."""
+    return F.try_element_at(F.expr(f"map({', '.join(_sql(x) for kv in table.items() for x in kv)})"), key)
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partloom import constants as C
 from partloom.functions.text import clean
+from partloom.functions.values import lookup
 
 
 def _any_of(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -21,7 +22,7 @@ def lifecycle(x: Column) -> Column:
 
 
 def rank_of(state: Column, ranks: dict[str, int]) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for kv in ranks.items() for v in kv]), state)
+    return lookup(ranks, state)
 
 
 def worst_lifecycle(states: Column) -> Column:
