@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import exact_dedup, html_main, language, media, mixing, packing, quality, secrets, simhash, url_rules
+from partloom.llm import alignment, exact_dedup, html_main, language, media, mixing, packing, quality, secrets, simhash, token_counts, url_rules, whitening
 from partloom.llm.common import table
 
 #: host, path, verdict
@@ -60,8 +60,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_packing, op4_quality, op5_media, op6_html, op7_url_rules, op8_language, op9_secrets, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_exact_dedup, op3_packing, op4_quality, op5_media, op6_html, op7_url_rules, op8_language, op9_secrets, op10_mixing,
+        op11_whitening, op12_token_counts, op13_alignment,
+    )
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
