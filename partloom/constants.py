@@ -209,7 +209,7 @@ HEADER_WORDS = {
     "mpn": ("mpn", 100), "manufacturerpartnumber": ("mpn", 100), "manufacturerpartno": ("mpn", 100), "mfrpartnumber": ("mpn", 99), "mfgpartnumber": ("mpn", 99), "mfrpn": ("mpn", 98), "partnumber": ("mpn", 98), "partno": ("mpn", 98), "pn": ("mpn", 97), "mfrpart": ("mpn", 97),
     "manufacturer": ("manufacturer", 100), "mfr": ("manufacturer", 100), "mfg": ("manufacturer", 100), "mfrname": ("manufacturer", 99), "manufacturername": ("manufacturer", 99), "make": ("manufacturer", 98), "maker": ("manufacturer", 98), "brand": ("manufacturer", 98), "vendor": ("manufacturer", 97),
     "qty": ("quantity", 100), "quantity": ("quantity", 100), "qnty": ("quantity", 100), "qtyperboard": ("quantity", 99), "count": ("quantity", 99), "pcs": ("quantity", 98), "usage": ("quantity", 98), "requiredquantity": ("quantity", 98),
-    "reference": ("ref_designators", 100), "references": ("ref_designators", 100), "refdes": ("ref_designators", 100), "refdes": ("ref_designators", 99), "referencedesignator": ("ref_designators", 99), "referencedesignators": ("ref_designators", 98), "designator": ("ref_designators", 98), "designators": ("ref_designators", 98),
+    "reference": ("ref_designators", 100), "references": ("ref_designators", 100), "refdes": ("ref_designators", 99), "referencedesignator": ("ref_designators", 99), "referencedesignators": ("ref_designators", 98), "designator": ("ref_designators", 98), "designators": ("ref_designators", 98),
     "description": ("description", 100), "desc": ("description", 100), "partdescription": ("description", 100), "componentdescription": ("description", 99),
     "value": ("value", 100), "val": ("value", 100),
     "package": ("package", 100), "footprint": ("package", 100), "case": ("package", 100),
@@ -219,3 +219,83 @@ HEADER_WORDS = {
 }
 REQUIRED_FIELDS = ("mpn", "quantity")
 FIELD_HALVES = {"mpn": 6, "quantity": 4, "manufacturer": 3, "description": 2, "ref_designators": 2}
+
+# Names of sheets that hold the table of parts, and of sheets that don't
+SHEET_NAMED = r"(?i)(bom|bill of material|parts?|component|material|stückliste|nomenclature|lista)"
+SHEET_NOT_NAMED = r"(?i)(instruction|readme|help|legend|notes?|history|revision|change|cover|title|template|pivot|chart|graph|summary|dashboard|do not|obsolete|old|backup|copy of)"
+
+# Column mapping: the commonest spellings of each field's header, the more canonical first; further ones are a parameter.
+# A spelling's weight is 100 less 0.4 for each before it. FIELD_PATTERNS are looked for in the header's key and in its text.
+FIELD_WORDS = {
+    "mpn": ("mpn", "manufacturer part number", "manufacturer part no", "manufacturer part #", "manufacturer pn", "manufacturer p/n", "mfr part number", "mfg part number"),
+    "manufacturer": ("manufacturer", "mfr", "mfg", "mfr name", "mfg name", "manufacturer name", "make", "maker"),
+    "quantity": ("qty", "quantity", "qnty", "qty.", "qty per board", "qty/board", "qty per assy", "qty per assembly"),
+    "ref_designators": ("reference", "references", "refdes", "ref des", "ref-des", "ref designator", "reference designator", "reference designators"),
+    "description": ("description", "desc", "descr", "part description", "component description", "item description", "long description", "short description"),
+    "internal_pn": ("internal part number", "internal pn", "internal p/n", "ipn", "company part number", "house part number", "in house pn", "sku"),
+    "value": ("value", "val", "component value", "nominal value", "rating", "resistance", "capacitance", "inductance"),
+    "package": ("package", "pkg", "footprint", "case", "case code", "case size", "package type", "package/case"),
+    "tolerance": ("tolerance", "tol", "tol.", "accuracy", "precision"),
+    "voltage": ("voltage", "voltage rating", "rated voltage", "vdc", "wvdc", "working voltage"),
+    "power": ("power", "power rating", "wattage", "watts", "rated power"),
+    "alt_mpns": ("alternate", "alternates", "alternate part number", "alternate part numbers", "alternative", "alternatives", "alt part number", "alt pn"),
+    "distributor": ("distributor", "dist", "supplier name", "source", "purchase from", "buy from"),
+    "distributor_pn": ("distributor part number", "distributor pn", "distributor p/n", "dist pn", "dist part number", "digikey", "digi-key", "digikey part number"),
+    "unit_price_in": ("price", "unit price", "unit cost", "cost", "cost each", "price each", "unit price usd", "target price"),
+    "currency": ("currency", "curr", "ccy", "price currency"),
+    "notes": ("notes", "note", "remark", "remarks", "comment", "comments"),
+    "dnp": ("dnp", "dni", "do not populate", "do not place", "do not install", "populate", "install", "fitted"),
+    "level": ("level", "bom level", "lvl", "indent"),
+    "parent": ("parent", "parent assembly", "parent pn", "assembly"),
+    "line_id": ("line", "line no", "line number", "line #", "item no", "item number", "seq", "sequence"),
+}
+FIELD_PATTERNS = {
+    "mpn": (r"^m(fr|fg|anu)[a-z ]*part", r"part\s*(number|no|#|num)$", r"^mpn\b"),
+    "manufacturer": (r"^m(fr|fg|anufactur)", r"^(vendor|supplier|brand)$"),
+    "quantity": (r"^q(ty|nty|uantity)", r"\bqty\b", r"^no\.?\s*off$"),
+    "ref_designators": (r"ref\s*des", r"^design(ator|ation)s?$", r"^ref(erence)?s?$"),
+    "description": (r"^desc", r"description$"),
+    "internal_pn": (r"^(internal|house|company|our|customer)\b.*\b(part|pn)", r"^(ipn|cpn|sku)$", r"^material(\s*(number|no))?$", r"^(matnr|idnrk)$"),
+    "value": (r"^val(ue)?$",),
+    "package": (r"^(pkg|package|footprint|case)", r"package\s*/?\s*case"),
+    "tolerance": (r"^tol",),
+    "voltage": (r"^v(oltage)?(\s*rating)?$", r"^wvdc$"),
+    "power": (r"^(power|wattage)",),
+    "alt_mpns": (r"^alt", r"second\s*source", r"^mpn\s*[23456]$", r"(part\s*number|pn)\s*[23456]$", r"^(aml|avl)$"),
+    "distributor": (r"^dist", r"^supplier\s*name$"),
+    "distributor_pn": (r"(digi\s*-?key|mouser|farnell|newark|element\s*14|arrow|lcsc|rs\s*components?)", r"order\s*code", r"^dist.*\bpn\b"),
+    "unit_price_in": (r"^(unit\s*)?(price|cost)", r"(price|cost)\s*(each|/?\s*unit)", r"^rate\b", r"\b(price|cost|rate)\s*\([a-z]{3}\)$"),
+    "currency": (r"^(currency|ccy|curr)$",),
+    "notes": (r"^(note|remark|comment)",),
+    "dnp": (r"^(dnp|dni|dnf)$", r"do\s*not\s*(populate|place|install|fit)", r"^(populate|install|fit(ted)?|loaded?)$"),
+    "level": (r"^(bom\s*)?le?ve?l$", r"^indent"),
+    "parent": (r"^parent", r"^ass(y|embly)$"),
+    "line_id": (r"^(sl|sr|s)\.?\s*no\.?$", r"^line(\s*(no|number|#))?$", r"^(seq|sequence|index)$", r"^#$"),
+}
+MULTI_FIELDS = ("alt_mpns",)
+CONTENT_FIELDS = ("quantity", "unit_price_in", "ref_designators", "currency", "dnp")  # whose cells tell against a header
+
+# What the cells of a column look like
+REFDES_CELL = r"^[A-Za-z]{1,4}\d{1,5}([A-Za-z])?([,;/\s]+[A-Za-z]{1,4}\d{1,5}([A-Za-z])?|\s*-\s*[A-Za-z]{0,4}\d{1,5})*$"
+MPN_CELL = r"^[A-Za-z0-9][A-Za-z0-9\-_./+#]{2,}$"  # with a digit in it
+DNP_CELL = r"(?i)^(dnp|dni|dnf|yes|no|y|n|true|false|1|0|x|populate|do not populate|install|fitted|not fitted|nopop)$"
+REFDES_PREFIXES = (
+    "R", "C", "L", "U", "D", "Q", "J", "P", "X", "Y", "SW", "S", "F", "K", "T", "TP", "FB", "BT", "MH", "E", "ANT", "IC", "VR", "RN", "CN", "CON", "M", "W", "G", "LED", "Z", "CR", "TR", "XT", "OSC",
+    "RL", "RY", "PB", "BAT", "HS", "MP", "MOD", "TB", "FL", "RV", "RT", "ZD", "TVS", "DS",
+)
+MAKER_HINTS = (
+    "TEXASINSTRUMENTS", "TI", "STMICROELECTRONICS", "ST", "MURATA", "TDK", "YAGEO", "VISHAY", "PANASONIC", "KEMET", "SAMSUNG", "NXP", "MICROCHIP", "ANALOGDEVICES", "INFINEON", "ONSEMICONDUCTOR", "ONSEMI",
+    "RENESAS", "TECONNECTIVITY", "MOLEX", "AMPHENOL", "BOURNS", "WURTH", "WURTHELEKTRONIK", "NICHICON", "ROHM", "TOSHIBA", "DIODES", "NEXPERIA", "LITTELFUSE", "ABRACON", "EPSON", "COILCRAFT", "OMRON", "AVX",
+    "TAIYOYUDEN", "JST", "HIROSE", "BROADCOM", "MICRON", "WINBOND", "ESPRESSIF", "CREE", "OSRAM", "KINGBRIGHT", "HONEYWELL", "BOSCH", "NORDICSEMICONDUCTOR", "XILINX", "LATTICE", "SILICONLABS", "SKYWORKS", "MAXIM",
+    "LINEARTECHNOLOGY",
+)
+SELLER_HINTS = ("DIGIKEY", "MOUSER", "ARROW", "FARNELL", "ELEMENT14", "NEWARK", "RS", "RSCOMPONENTS", "LCSC", "AVNET", "TTI", "FUTURE", "HEILIND", "VERICAL", "ONLINECOMPONENTS", "BUERKLIN", "RUTRONIK")
+
+# Rows: cells that mean nothing, words of a fit column, and header words that turn its sense
+PLACEHOLDER_CELLS = (
+    "", "-", "--", "---", "n/a", "na", "none", "null", "nil", "tbd", "tba", "?", "??", "x", "xx", "#n/a", "#value!", "#ref!", "0", "no part", "not applicable", "see note", "see notes", "blank", "empty",
+)
+UNFIT_WORDS = ("NO", "N", "FALSE", "0", "DNP", "DNI", "OMIT", "NOPOP", "NOTFITTED", "UNPOPULATED", "OPEN", "NOTUSED")
+FIT_WORDS = ("YES", "Y", "TRUE", "1", "FIT", "FITTED", "POPULATE", "POPULATED", "INSTALL", "INSTALLED", "LOAD", "LOADED", "PLACE", "PLACED", "ASSEMBLE")
+FIT_HEADERS = ("POPULATE", "FIT", "FITTED", "INSTALL", "INSTALLED", "LOAD", "LOADED", "ASSEMBLE", "PLACEMENT", "PLACE")
+UNFIT_HEADERS = ("DNP", "DNI", "NOT", "NO")

@@ -49,7 +49,9 @@ def mpn_root(x: Column) -> Column:
 
 def split_refdes(x: Column) -> Column:
     """Designators of a cell in order, each once; ranges such as R3-R5 in full."""
-    parts = F.filter(F.transform(F.split(clean(x), r"[,;/]+|\s{2,}"), lambda p: F.trim(p)), lambda p: p != "")
+    text = clean(x)
+    spaced = text.rlike(r"^[A-Za-z]{1,4}[0-9]{1,6}[A-Za-z]?( [A-Za-z]{1,4}[0-9]{1,6}[A-Za-z]?)+$")  # blanks are the only separators
+    parts = F.filter(F.transform(F.split(F.when(spaced, F.translate(text, " ", ",")).otherwise(text), r"[,;/]+"), lambda p: F.trim(p)), lambda p: p != "")
     shape = r"^([A-Za-z]{1,4})\s*([0-9]{1,6})\s*(?:-|\.\.|to|through|thru)\s*(?:([A-Za-z]{1,4})\s*)?([0-9]{1,6})$"
 
     def expand(p: Column) -> Column:

@@ -25,32 +25,41 @@ def tidied(sheets: DataFrame) -> DataFrame:
     return got.withColumn("filled", F.filter("cells", lambda c: c != ""))
 
 
-def header_score(vocabulary: Vocabulary = C.HEADER_WORDS, required: tuple[str, ...] = C.REQUIRED_FIELDS) -> tuple[Column, Column]:
-    """score, hits of a tidied row: known words count for it, numbers, long and repeated cells against it."""
+def by_pattern(key: Column, patterns: Mapping[str, tuple[str, ...]]) -> Column:
+    """The first field one of whose patterns a header's key matches, else null."""
+    return F.coalesce(*[F.when(key.rlike("|".join(p)), f) for f, p in patterns.items()])
+
+
+def with_header_score(rows: DataFrame, vocabulary: Vocabulary = C.HEADER_WORDS, patterns: Mapping[str, tuple[str, ...]] | None = None, filled: str = "filled", cells: str = "cells", out: tuple[str, str] = ("score", "hits"), required: tuple[str, ...] = C.REQUIRED_FIELDS) -> DataFrame:
+    """Rows with a score and the number of known headers among their filled cells: known words (and words that match a pattern)
+    count for it, numbers, long and repeated cells against it. Values are bound column by column, each computed once."""
     fields = {k: f for k, (f, _) in vocabulary.items()}
-    n = F.size("filled")
-    known = F.filter(F.transform("filled", lambda c: lookup(fields, T.header_key(c))), lambda f: f.isNotNull())
-    needed = F.size(F.filter(known, lambda f: f.isin(*required)))
-    hits = F.size(known)
-    share = lambda x: x / n
-    numeric = share(F.size(F.filter("filled", lambda c: c.rlike(r"^-?[\d.,]+$"))))
-    long = share(F.size(F.filter("filled", lambda c: F.length(c) > 48)))
-    distinct = share(F.size(F.array_distinct(F.transform("filled", T.header_key))))
-    score = hits * 12.0 + needed * 10.0 + share(hits) * 25.0 + n / F.size("cells") * 12.0 + distinct * 10.0 - numeric * 40.0 - long * 25.0 + F.when(needed >= 2, 18.0).otherwise(0.0)
-    return F.when(n < 2, 0.0).otherwise(F.greatest(score, F.lit(0.0))), F.when(n < 2, 0).otherwise(hits)
-
-
-def headers(sheets: DataFrame, scan: int = 40, vocabulary: Vocabulary = C.HEADER_WORDS) -> DataFrame:
-    """sheet, header_row, hits, header (cells) of each sheet: the best row of the first `scan`, earlier ones preferred by
+    field = lambda key: F.when(key != "", F.coalesce(lookup(fields, key), by_pattern(key, patterns))) if patterns else lookup(fields, key)
+    score, hits = out
+    rows = rows.withColumn("_keys", F.transform(filled, T.header_key))
+    rows = rows.withColumn("_known", F.filter(F.transform("_keys", field), lambda f: f.isNotNull()))
+    counts = {
+        "_n": F.size(filled), "_needed": F.size(F.filter("_known", lambda f: f.isin(*required))), hits: F.size("_known"), "_numeric": F.size(F.filter(filled, lambda c: c.rlike(r"^-?[\d.,]+$"))),
+        "_long": F.size(F.filter(filled, lambda c: F.length(c) > 48)), "_distinct": F.size(F.array_distinct("_keys")),
+    }
+    rows = rows.withColumns(counts)
+    share = lambda c: F.col(c) / F.col("_n")
+    total = F.col(hits) * 12.0 + F.col("_needed") * 10.0 + share(hits) * 25.0 + F.col("_n") / F.size(cells) * 12.0 + share("_distinct") * 10.0 - share("_numeric") * 40.0 - share("_long") * 25.0 + F.when(F.col("_needed") >= 2, 18.0).otherwise(0.0)
+    rows = rows.withColumn(score, F.when(F.col("_n") < 2, 0.0).otherwise(F.greatest(total, F.lit(0.0)))).withColumn(hits, F.when(F.col("_n") < 2, 0).otherwise(F.col(hits)))
+    return rows.drop("_keys", "_known", "_n", "_needed", "_numeric", "_long", "_distinct")
+
+
+def headers(sheets: DataFrame, scan: int = 40, vocabulary: Vocabulary = C.HEADER_WORDS, patterns: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """sheet, header_row, hits, header (cells), score of each sheet: the best row of the first `scan`, earlier ones preferred by
     0.35 a row; without any known word, the first of ten rows with two cells filled. Sheets without either have no row."""
-    score, hits = header_score(vocabulary)
-    rows = tidied(sheets).where(F.col("row_no") <= max(scan, 10)).withColumns({"hits": hits, "score": score - (F.col("row_no") - 1) * 0.35})
+    rows = with_header_score(tidied(sheets).where(F.col("row_no") <= max(scan, 10)), vocabulary, patterns)
+    rows = rows.withColumn("score", F.col("score") - (F.col("row_no") - 1) * 0.35)
     best = F.when(F.col("score") > 0, F.struct("score", (-F.col("row_no")).alias("r")))
-    found = F.struct("row_no", "hits", "cells")
+    found = F.struct("row_no", "hits", "cells", "score")
     guess = F.when((F.col("row_no") <= 10) & (F.size("filled") >= 2), -F.col("row_no"))
     got = rows.groupBy("sheet").agg(F.max_by(found, best).alias("b"), F.max_by(found, guess).alias("g"))
     chosen = got.select("sheet", F.when(F.col("b.hits") > 0, F.col("b")).otherwise(F.col("g")).alias("h")).where("h is not null")
-    return chosen.select("sheet", F.col("h.row_no").alias("header_row"), F.col("h.hits").alias("hits"), F.col("h.cells").alias("header"))
+    return chosen.select("sheet", F.col("h.row_no").alias("header_row"), F.col("h.hits").alias("hits"), F.col("h.cells").alias("header"), F.when(F.col("h.hits") > 0, F.col("h.score")).otherwise(1.0).alias("score"))
 
 
 def title_pair() -> Column:

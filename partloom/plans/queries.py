@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom import constants as C
@@ -14,9 +14,10 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, match, replacements, risk, sheets
+from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, mapping, match, replacements, risk, sheets, tables
 from partloom.plans import analysis
 from partloom.sinks import files
+from partloom.sources.cuts import written
 from partloom.sources.views import Frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,3 +518,60 @@ def sheet_fingerprints(v: Frames) -> DataFrame:
     """A key for the set of a sheet's headers, for finding a known layout again."""
     keys = F.array_sort(F.array_distinct(F.filter(F.transform("header", T.header_key), lambda k: k != "")))
     return sheets.headers(_sheets(v)).select("sheet", F.substring(F.sha1(F.array_join(keys, "|").cast("binary")), 1, 16).alias("fingerprint"), F.size(keys).alias("headers"))
+
+
+def _wild(v: Frames) -> DataFrame:
+    return v["v_wild"].select("sheet", "row_no", F.split("cells_text", r"\|").alias("cells"))
+
+
+def _found(v: Frames) -> DataFrame:
+    return written(tables.regions(_wild(v)))
+
+
+def _whole(name: str, times: int, of: str) -> Column:
+    """A double as a whole number of hundredths or thousandths."""
+    return F.floor(F.col(of) * times + 0.5).cast("long").alias(name)
+
+
+@query
+def table_regions(v: Frames) -> DataFrame:
+    return tables.regions(_wild(v)).select("sheet", "header_row", "hits", "first_col", "last_col", "header_rows", F.array_join("header", "|").alias("header"))
+
+
+@query
+def table_rows(v: Frames) -> DataFrame:
+    rows = tables.data_rows(_wild(v), _found(v))
+    return rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_no").alias("row_numbers"), F.sum(F.size(F.filter("cells", lambda c: c != ""))).alias("filled"))
+
+
+@query
+def column_looks(v: Frames) -> DataFrame:
+    """What each column's cells look like, with a score."""
+    seen = written(mapping.profile(mapping.samples(tables.data_rows(_wild(v), _found(v)))))
+    return seen.select("sheet", "column", F.inline("looks_like")).select("sheet", "column", "field", _whole("hundredths", 100, "score"))
+
+
+def _learned(v: Frames) -> DataFrame:
+    """Headers of the tidier sheets, whose mapping is taken as confirmed."""
+    known = written(sheets.headers(_sheets(v)))
+    return written(mapping.learned_headers(sheets.columns(known), known))
+
+
+@query
+def column_mapping(v: Frames) -> DataFrame:
+    found = _found(v)
+    return mapping.mapped(found, written(tables.data_rows(_wild(v), found)), _learned(v)).select("sheet", "column", "field", _whole("hundredths", 100, "score"), "tier")
+
+
+@query
+def layouts_alike(v: Frames) -> DataFrame:
+    return tables.alike(tables.layouts(_found(v))).select("layout", "other", "shared", _whole("similarity", 1000, "similarity"))
+
+
+@query
+def compatible_sheets(v: Frames) -> DataFrame:
+    """Ten sheets are a workbook."""
+    found = _found(v)
+    names = found.select("sheet", F.when(F.col("sheet") % 3 == 0, "BOM main").when(F.col("sheet") % 3 == 1, "Sheet1").otherwise("old backup").alias("name"))
+    got = tables.compatible(tables.layouts(found), F.floor(F.col("sheet") / 10), tables.quality(found, tables.data_rows(_wild(v), found), names))
+    return got.select("workbook", "sheet", "best", _whole("similarity", 1000, "similarity"))

@@ -81,6 +81,38 @@ union all select distinct bom_id, cast(4 as bigint), case bom_id%4 when 0 then '
 union all select distinct bom_id, cast(5 as bigint), case when bom_id%2=0 then 'RESISTORS|||||' else '-----|||||' end from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000, 'TOTAL||||10|' from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000+1, 'signed|x||||' from v_bom_line""",
+    # Sheets of six layouts, two of them in two variants: known, learned, misspelt, blank, stacked and contradicted headers.
+    "v_wild": """
+select bom_id as sheet, source_row+6+case when source_row>10 then 1 else 0 end as row_no, case bom_id%12
+ when 0 then concat_ws('|',n,mp,mk,qt,rf,description,pd,'USD',fn,al,nt) when 6 then concat_ws('|',mp,n,qt,mk,rf,description,pd,'USD',fn,al,nt,'L7')
+ when 1 then concat_ws('|',n,mp,mk,qg,rf,description,pc,fp,al,'B2-77',nt) when 7 then concat_ws('|',n,mp,mk,qg,rf,description,pc,fp,al,'B2-77',nt)
+ when 2 then concat('||',concat_ws('|',mp,rf,q,mk,description,package,'1%',value_text)) when 8 then concat('||',concat_ws('|',mp,rf,q,mk,description,package,'1%',value_text))
+ when 3 then concat_ws('|',n,mk,mp,concat('$',pd),package,qt,rf,nt) when 9 then concat_ws('|',n,mk,mp,concat('$',pd),package,qt,rf,nt)
+ when 4 then concat_ws('|',n,q,mk,mp,value_text,rf) when 10 then concat_ws('|',n,q,mk,mp,value_text,rf)
+ when 5 then concat_ws('|','1',concat('S-',n),'as required by',q,mk,mp,bin,'DigiKey',sku,value_text,'16V',al) else concat_ws('|','1',concat('S-',n),'as required by',q,mk,mp,bin,'DigiKey',sku,al) end as cells_text
+from (select *, concat('A',cast(source_row%40 as string)) as bin, case when source_row%4=0 then 'n/a' else concat('DK-',cast(source_row as string)) end as sku,
+ cast(source_row as string) as n, cast(cast(quantity as bigint) as string) as q, case source_row%4 when 0 then 'TI' when 1 then 'Murata' when 2 then 'Yageo' else manufacturer end as mk,
+ case source_row%17 when 3 then 'DNP' when 5 then 'TBD' when 7 then concat('AB',cast(source_row as string),'CD, XY',cast(source_row as string),'ZW') when 9 then '' else mpn end as mp,
+ case source_row%5 when 0 then replace(ref_text,'-',', ') when 1 then concat(substr(ref_text,1,1),'1 ',substr(ref_text,1,1),'2') when 2 then '-' else ref_text end as rf,
+ case source_row%13 when 0 then '' when 1 then concat(cast(cast(quantity as bigint) as string),' pcs') when 2 then 'as req' else cast(cast(quantity as bigint) as string) end as qt,
+ case source_row%13 when 0 then '1.000' when 1 then concat(cast(cast(quantity as bigint) as string),',5') else cast(cast(quantity as bigint) as string) end as qg,
+ concat(cast(cast(floor(input_unit_micro/1000000) as bigint) as string),'.',lpad(cast(input_unit_micro%1000000 as string),6,'0')) as pd,
+ case when source_row%7=0 then '' else concat(cast(cast(floor(input_unit_micro/1000000) as bigint) as string),',',lpad(cast(input_unit_micro%1000000 as string),6,'0')) end as pc,
+ case source_row%6 when 0 then concat('ALT-',cast(source_row as string),'; ',mpn) when 1 then concat('ALT-',cast(source_row as string),' / alt-',cast(source_row as string),', B',cast(source_row as string),'77') when 2 then 'n/a' when 3 then 'tbd' else '' end as al,
+ case source_row%10 when 0 then 'do not fit' when 4 then 'see drawing' when 5 then 'PLACEHOLDER' else '' end as nt,
+ case when dnp then 'no' when source_row%3=0 then 'yes' when source_row%11=0 then 'DNP' when source_row%11=1 then 'maybe' else 'Y' end as fp,
+ case when dnp then 'x' when source_row%3=0 then 'no' when source_row%11=0 then 'fitted' when source_row%11=1 then 'open' else '' end as fn from v_bom_line) b
+union all select distinct bom_id, cast(1 as bigint), concat('Project:|Board ',cast(bom_id as string)) from v_bom_line
+union all select distinct bom_id, cast(2 as bigint), 'Rev: B||' from v_bom_line
+union all select distinct bom_id, cast(3 as bigint), case bom_id%12 when 0 then 'Line|MPN|Manufacturer|Qty|Reference Designator|Description|Unit Price|Currency|DNP|Alternates|Notes' when 6 then 'MPN|Line|Qty|Manufacturer|Reference Designator|Description|Unit Price|Currency|DNP|Alternates|Notes|Lot'
+ when 5 then 'Level|SKU|Qty|Qnty|Mfr|MPN|Warehouse Bin|Distributor|Digi-Key|Value|Volts|Second Source' when 11 then 'Level|SKU|Qty|Qnty|Mfr|MPN|Warehouse Bin|Distributor|Digi-Key|Second Source' when 4 then '||Manufacturer|Manufacturer||' when 10 then '||Manufacturer|Manufacturer||' else '||' end from v_bom_line
+union all select distinct bom_id, cast(4 as bigint), case bom_id%6 when 1 then '#|Part No|Brand|Usage|Designators|Bezeichnung|Rate (EUR)|Populate|Alt 1|Alt 2|Remarks:' when 2 then '||Mfr Part Number (primary)||Quantty||Discription|Footprint|Tol|Item'
+ when 3 then 'Item No|Mfr|Part Number||Case|Qty|RefDes' else 'Seq|Qty|Name|Part Number|Val|Ref Des' end from v_bom_line where bom_id%6 in (1,2,3,4)
+union all select distinct bom_id, cast(5 as bigint), '|||Cost Each|||' from v_bom_line where bom_id%6=3
+union all select distinct bom_id, cast(6 as bigint), 'RESISTORS|||' from v_bom_line
+union all select distinct bom_id, cast(17 as bigint), 'Notes: hand solder||' from v_bom_line
+union all select distinct bom_id, cast(8 as bigint)*1000000, 'TOTAL||||10|' from v_bom_line
+union all select distinct bom_id, cast(8 as bigint)*1000000+1, 'checked by|x|y' from v_bom_line""",
     "v_spelled": """
 select p_partkey as part_id,
  concat(case p_partkey%14 when 0 then concat(cast(p_size as string),'k',cast(p_partkey%10 as string)) when 1 then concat(cast(p_size as string),'n',cast(p_partkey%7 as string),' ') when 2 then concat('1/',cast(p_size as string),'W') when 3 then concat(cast(p_size as string),' nF max')

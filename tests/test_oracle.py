@@ -2,9 +2,11 @@ import os
 
 import duckdb
 import pytest
-from partloom.plans.oracle import SQL
+from partloom.plans import oracle, oracle_sheets
 from partloom.plans.queries import QUERIES
 
+SQL = oracle.SQL | oracle_sheets.SQL
+
 
 @pytest.fixture(scope="module")
 def duck(sf):
