@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from partloom.llm import exact_dedup, near_text, simhash
 from partloom.llm.components import components
@@ -162,3 +163,36 @@ def test_near_texts_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == d.columns
     assert len(set(want.values())) < len(want) - 150
     assert near_text.first_of_each_group(d.limit(0)).count() == 0
+
+
+def family(rng, size, length=200, edits=4):
+    """Texts that differ from one text in a few words each: most pairs are alike in fingerprint, few by shingles."""
+    base = [f"b{rng.randrange(10_000)}" for _ in range(length)]
+    made = []
+    for _ in range(size):
+        text = base.copy()
+        for at in rng.sample(range(length), edits):
+            text[at] = f"e{rng.randrange(10**9)}"
+        made.append(" ".join(text))
+    return made
+
+
+@pytest.mark.parametrize("sizes", [(60, 4), (800, 4), (900, 3), (700, 1)])
+def test_families_of_mostly_unlike_texts(spark, sizes):
+    """A template with few words changed fills large buckets; no link may be lost in them."""
+    rng = random.Random(sum(sizes))
+    texts = family(rng, sizes[0], edits=sizes[1]) + family(rng, 30, 60, 1)
+    given = list(zip(rng.sample(range(100_000), len(texts)), texts, strict=True))
+    kept = {r.doc_id for r in near_text.first_of_each_group(docs(spark, texts, ids=[i for i, _ in given])).collect()}
+    assert kept == set(slow_groups(given).values())
+
+
+def test_tiles_of_a_crowd(spark, monkeypatch):
+    """A crowd in many tiles, with buckets that are all large, gives the same groups."""
+    rng = random.Random(12)
+    texts = family(rng, 150) + family(rng, 100, edits=2)
+    given = list(enumerate(texts))
+    monkeypatch.setattr(near_text, "TILE", 40)
+    monkeypatch.setattr(near_text, "SMALL", 2)
+    kept = {r.doc_id for r in near_text.first_of_each_group(docs(spark, texts)).collect()}
+    assert kept == set(slow_groups(given).values())
