@@ -141,6 +141,7 @@ def _contents(raw: bytes, largest: int) -> Iterator[str]:
                     end = m.start() + ends[-1]
 
     yield raw.decode("utf-8", "replace")
+    yield from _wide(raw)
     seen = {_digest(raw)}
     work = [inside(raw)]
     while work:  # one stream's pieces at a time, however many there are
@@ -149,9 +150,17 @@ def _contents(raw: bytes, largest: int) -> Iterator[str]:
         elif (d := _digest(piece)) not in seen:
             seen.add(d)
             yield piece.decode("utf-8", "replace")
+            yield from _wide(piece)
             work.append(inside(piece))
 
 
+def _wide(raw: bytes) -> Iterator[str]:
+    """The bytes as UTF-16, if every other one is mostly null."""
+    for name, high in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])):
+        if len(raw) > 3 and 2 * high.count(0) > len(high):
+            yield raw.decode(name, "replace")
+
+
 def _digest(x: bytes | str) -> bytes:
     return hashlib.blake2b(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -241,12 +250,13 @@ def secrets(docs: DataFrame, largest: int = 1 << 26) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [find(t, largest) for t in batch.column(1).to_pylist()]
+            known = [set(b) for b, _ in found]
             count = lambda k: pa.array([sum(x[1] == k for x in b) for b, _ in found], pa.int64())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), count(0), count(1), count(2),
                     pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
-                    pa.array([[{"kind": KINDS[k], "start": s, "stop": e, "in_text": (s, k, e) in set(b)} for s, k, e in every] for b, every in found], _SPANS),
+                    pa.array([[{"kind": KINDS[k], "start": s, "stop": e, "in_text": (s, k, e) in b} for s, k, e in every] for b, (_, every) in zip(known, found, strict=True)], _SPANS),
                 ],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 import urllib.parse
 import wave
 import zlib
@@ -13,6 +14,8 @@ import pytest
 from partloom.llm import html_main, language, media, quality, secrets
 from partloom.llm.queries import op4_quality, op5_media, op6_html, op8_language, op9_secrets
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import docs, rows
 
 
@@ -326,3 +329,18 @@ def test_peaks_and_pairs_against_plain_sums():
     t, code = media.pairs(times, bins)
     near = sorted((a, b << 13 | d - 1 << 6 | c - a) for i, (a, b) in enumerate(want) for c, d in want[i + 1 : i + 4] if c - a <= 63)
     assert list(zip(t.tolist(), code.tolist(), strict=True)) == near
+
+
+def test_secrets_in_wide_characters():
+    for name in ("utf-16-le", "utf-16-be"):
+        run = base64.b64encode("password=hunter22".encode(name)).decode()
+        text = f"run {run} now"
+        assert secrets.find(text)[1] == [(4, 0, 4 + len(run))]
+
+
+def test_very_many_secrets(spark):
+    text = " ".join(f"{i:024x}" for i in range(100_000))
+    began = time.time()
+    base, every = secrets.find(text)
+    found = secrets.secrets(docs(spark, [text])).select("n_hex", F.size("spans").alias("n")).first()
+    assert len(base) == 100_000 and tuple(found) == (100_000, len(every)) and time.time() - began < 60
