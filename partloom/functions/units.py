@@ -15,7 +15,7 @@ def first_number(x: Column) -> Column:
     return F.regexp_extract(clean(x), _NUMBER, 0).try_cast("double")
 
 
-def parse_quantity(x: Column, decimal_comma: bool = False) -> Column:
+def parse_quantity(x: Column, decimal_comma: bool | Column = False) -> Column:
     """Units, thousands separators and parenthesised negatives; decimal_comma is the column's convention."""
     text = clean(x)
     negative = text.startswith("(") & text.endswith(")")
@@ -23,10 +23,9 @@ def parse_quantity(x: Column, decimal_comma: bool = False) -> Column:
     text = F.regexp_replace(text, r"(?i)\b(pcs?|pieces?|ea|each|nos?|qty|units?|off)\b", " ")
     body = F.trim(F.regexp_replace(text, "[xX]", " "))
     bare = F.regexp_replace(body, r"[^0-9.\-]", "")
-    if decimal_comma:
-        number = F.when(body.rlike(r"^-?[\d.]+(,\d+)?$"), F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
-    else:
-        number = F.when(body.rlike(r"^-?\d+,\d{1,2}$"), F.replace(body, F.lit(","), F.lit("."))).otherwise(bare)
+    with_comma = F.when(body.rlike(r"^-?[\d.]+(,\d+)?$"), F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
+    with_point = F.when(body.rlike(r"^-?\d+,\d{1,2}$"), F.replace(body, F.lit(","), F.lit("."))).otherwise(bare)
+    number = F.when(decimal_comma, with_comma).otherwise(with_point) if isinstance(decimal_comma, Column) else with_comma if decimal_comma else with_point
     value = F.regexp_extract(number, _NUMBER, 0).try_cast("double")
     return F.when(negative, -value).otherwise(value)
 

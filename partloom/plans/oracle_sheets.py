@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 from partloom import constants as C
 from partloom.operators.tables import field_words
-from partloom.plans.oracle import _BANNER, _SHEET, _TOTAL, _case, _in, _list, _q, _values, _with, clean
+from partloom.plans.oracle import _BANNER, _SHEET, _TOTAL, _aliases, _case, _in, _list, _q, _values, _with, clean
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 
@@ -154,3 +154,66 @@ SQL: dict[str, str] = {
         f"select r.workbook, r.sheet, r.sheet = b.best_sheet as best, case when r.layout = b.best_layout then 1000 else {_MILLE} end as similarity from valued r join firsts b using (workbook) left join both_ways w on w.layout = r.layout and w.other = b.best_layout where r.layout = b.best_layout or w.similarity is not null",
     ),
 }
+
+# Typed lines
+_WORDS = lambda x: f"list_filter(string_split_regex(upper({x}), '[^A-Z0-9]+'), lambda t: t <> '')"
+_JOINED = lambda x: f"array_to_string({_WORDS(x)}, '')"
+_DNP = lambda x: f"(list_has_any({_WORDS(x)}, {_list(C.DNP_TOKENS)}) or {_JOINED(x)} in {_in(C.DNP_TOKENS)} or regexp_matches({x}, '(?i)\\bdo\\s*not\\s*(populate|place|install|fit|load)\\b'))"
+_PLACEHOLDER = lambda x: f"(lower({x}) in {_in(C.PLACEHOLDER_CELLS)})"
+_NUMBER = lambda x: rf"regexp_replace(regexp_extract({x}, '-?\d[\d,.\s'']*'), '[\s'']', '', 'g')"
+_PARTS = lambda x: f"list_filter(list_transform(string_split_regex({x}, '[,;|]+| / '), lambda p: trim(p)), lambda p: p <> '')"
+_SINGLE = tuple(f for f in C.FIELD_WORDS if f != "alt_mpns")
+
+
+def _votes(name: str) -> str:
+    """Two counts over the texts of a column: cells that a decimal comma explains, cells with a decimal point."""
+    both, lone = "contains(x, ',') and contains(x, '.')", "len(x) - len(replace(x, '{0}', '')) = 1 and len(regexp_extract(x, '[^{0}]*$')) <> 3"
+    return f"""select sheet, count(*) filter (case when {both} then regexp_matches(x, ',[^.]*$') else {lone.format(',')} end) as commas, count(*) filter (case when {both} then not regexp_matches(x, ',[^.]*$') else not contains(x, ',') and len(x) - len(replace(x, '.', '')) = 1 and len(regexp_extract(x, '[^.]*$')) <> 3 end) as points
+        from (select sheet, {_NUMBER(name)} as x from told) group by sheet"""
+
+
+_BODY_Q = _BODY.replace("text", "quantity")
+_TYPED = _ALL | {
+    "places": "select sheet, list(col order by col) filter (field = 'alt_mpns') as c_alts, " + ", ".join(f"max(col) filter (field = '{f}') as c_{f}" for f in _SINGLE) + " from mapping group by sheet",
+    "told": "select d.sheet, d.row_no, coalesce(list_transform(p.c_alts, lambda i: d.cells[i + 1]), []) as alternates, " + ", ".join(f"coalesce(d.cells[p.c_{f} + 1], '') as {f}" for f in _SINGLE) + " from data d join places p using (sheet)",
+    "price_votes": _votes("unit_price_in"), "quantity_votes": _votes("quantity"),
+    "senses": f"""select r.sheet, list_has_any({_WORDS("coalesce(r.header[p.c_dnp + 1], '')")}, {_list(C.FIT_HEADERS)}) and not list_has_any({_WORDS("coalesce(r.header[p.c_dnp + 1], '')")}, {_list(C.UNFIT_HEADERS)}) as fits,
+        list_filter(list_transform(regexp_extract_all(upper(coalesce(r.header[p.c_unit_price_in + 1], '')), '\\b[A-Z]{{3}}\\b|[$€£¥₹]'), lambda c: {_case('c', C.CURRENCY_SYMBOLS)}), lambda c: c is not null)[1] as header_currency,
+        a.commas > 0 and a.commas >= a.points as price_comma, (q.commas > 0 and q.commas >= q.points) or (a.commas > 0 and a.commas >= a.points) as quantity_comma
+        from regions r join places p using (sheet) join price_votes a using (sheet) join quantity_votes q using (sheet)""",
+    "makers(k, name)": "values " + ", ".join(f"({_q(k)}, {_q(n)})" for k, n in _aliases(C.MAKER_ALIASES).items()),
+    "maker_words": f"select manufacturer, {_WORDS('manufacturer')} as all_words, list_filter(all_words, lambda w: w not in {_in(C.COMPANY_NOISE)}) as kept_words, case when len(kept_words) > 0 then kept_words else all_words end as shown from (select distinct manufacturer from told)",
+    "maker_names": "select manufacturer, case when manufacturer = '' then '' else coalesce(a.name, b.name, array_to_string(list_transform(shown, lambda w: case when regexp_matches(w, '^[A-Z]{1,3}$') then w else w[1] || lower(w[2:]) end), ' ')) end as maker from maker_words left join makers a on a.k = array_to_string(all_words, '') left join makers b on b.k = array_to_string(shown, '')",
+    "firsts_of": f"select t.*, s.* exclude (sheet), m.maker, t.mpn <> '' and {_DNP('t.mpn')} as flag, case when {_PLACEHOLDER('t.mpn')} or flag then '' else t.mpn end as own0, {_PARTS('own0')} as parts, contains(own0, ',') and len(parts) > 1 and len(list_filter(parts, lambda p: len(p) < 4)) = 0 as several from told t join senses s using (sheet) join maker_names m using (manufacturer)",
+    "owned": f"""select *, case when several then parts[1] else own0 end as own, list_concat(flatten(list_transform(alternates, lambda a: {_PARTS('a')})), case when several then parts[2:] else [] end) as others, case when {_PLACEHOLDER('distributor_pn')} then '' else distributor_pn end as sku,
+        case when ref_designators = '' or {_PLACEHOLDER('ref_designators')} then [] when regexp_matches(ref_designators, '^[A-Z]\\d+-[A-Z]\\d+$') then list_transform(range(regexp_extract(ref_designators, '(\\d+)-', 1)::int, regexp_extract(ref_designators, '-[A-Z](\\d+)', 1)::int + 1), lambda n: ref_designators[1] || n::varchar)
+          else list_transform(string_split_regex(ref_designators, '[, ]+'), lambda p: trim(p)) end as every_ref, list_filter(every_ref, lambda p, i: not list_contains(every_ref[1:i - 1], p)) as refs0,
+        {_JOINED('dnp')} as word from firsts_of""",
+    "read": f"""select *, list_filter(others, lambda p: not {_PLACEHOLDER('p')} and upper(p) <> upper(own)) as alts0,
+        case when dnp = '' then {_DNP('notes')} or {_DNP('description')} or {_DNP('ref_designators')} or {_DNP('line_id')} or (flag and {_DNP('mpn')}) when fits then case when word in {_in(C.UNFIT_WORDS)} then true when word in {_in(C.FIT_WORDS)} then false else {_DNP('dnp')} end
+          when word in {_in((*C.FIT_WORDS, 'DNP', 'DNI', 'DNF', 'X'))} then true when word in ('NO', 'N', 'FALSE', '0') then false else {_DNP('dnp')} end as out,
+        try_cast(nullif(regexp_extract(case when quantity_comma and regexp_matches({_BODY_Q}, '^-?[\\d.]+(,\\d+)?$') then replace(replace({_BODY_Q}, '.', ''), ',', '.') when not quantity_comma and regexp_matches({_BODY_Q}, '^-?\\d+,\\d{{1,2}}$') then replace({_BODY_Q}, ',', '.') else regexp_replace({_BODY_Q}, '[^0-9.\\-]', '', 'g') end, '-?\\d+(?:\\.\\d+)?'), '') as double) as read_quantity,
+        {_NUMBER('unit_price_in')} as x, coalesce({', '.join(f"case when contains(upper(unit_price_in), {_q(k)}) then {_q(C.CURRENCY_SYMBOLS[k])} end" for k in sorted(C.CURRENCY_SYMBOLS, key=len, reverse=True))}) as cell_currency from owned""",
+    "judged_lines": f"""select *, list_filter(alts0, lambda p, i: len(list_filter(alts0[1:i - 1], lambda o: upper(o) = upper(p))) = 0) as alts, own = '' and sku = '' as blank, {_JOINED('description')} in {_in(C.NO_PART_TOKENS)} or {_JOINED('notes')} in {_in(C.NO_PART_TOKENS)} or {_JOINED('mpn')} in {_in(C.NO_PART_TOKENS)} as marked, {_JOINED('own')} in {_in(C.NO_PART_TOKENS)} as no_part,
+        case when x = '' then null else try_cast(regexp_replace(case when contains(x, ',') and contains(x, '.') then case when regexp_matches(x, ',[^.]*$') then replace(replace(x, '.', ''), ',', '.') else replace(x, ',', '') end when len(x) - len(replace(x, ',', '')) > 1 then replace(x, ',', '') when regexp_matches(x, ',...$') and not price_comma then replace(x, ',', '') else replace(x, ',', '.') end, '\\.$', '') as decimal(18,6)) end as amount from read""",
+}
+_ISSUES = """array_to_string(list_filter([case when read_quantity is not null then null when len(refs0) > 0 then 'qty_from_refdes:info' when quantity <> '' then 'qty_unparsed:warning' else 'qty_blank:info' end,
+    case when blank and marked then 'no_part_marker:info' when blank and not out then 'mpn_missing:error' when not blank and no_part then 'mpn_placeholder:warning' end], lambda i: i is not null), ',')"""
+_LINES = f"""select sheet, row_no, row_number() over (partition by sheet order by row_no)::int as line_no, case when not blank and no_part then '' else own end as mpn, maker as manufacturer, internal_pn, description, distributor, sku as distributor_pn, value, package, tolerance, notes, level,
+    array_to_string(alts, ',') as alt_mpns, array_to_string(refs0, ',') as refs, out as dnp, coalesce(read_quantity, case when len(refs0) > 0 then len(refs0)::double else 1.0::double end) as quantity,
+    (amount::decimal(38,6) * 1000000)::bigint as price_micro, case when unit_price_in = '' then '' else coalesce(nullif(currency, ''), cell_currency, header_currency, '') end as currency, {_ISSUES} as issues from judged_lines"""
+SQL |= {
+    "typed_lines": _recursive(_TYPED, _LINES),
+    "united_lines": _recursive(
+        _TYPED
+        | {k: v for k, v in _LAYOUTS.items() if k not in _REGIONS}
+        | {"sizes": "select sheet, count(*) as n from data group by sheet",
+           "qualities": "select r.sheet, r.score + least(30.0::double, sqrt(n) * 2.0::double) + least(12.0::double, (last_col - first_col) * 0.6::double) + case when r.sheet % 3 = 0 then 20.0::double else 0 end - case when r.sheet % 3 = 2 then 30.0::double else 0 end as quality from regions r join sizes using (sheet)",
+           "valued": "select l.sheet // 10 as workbook, l.sheet, l.layout, q.quality from layouts l join qualities q using (sheet)",
+           "firsts": "select workbook, arg_max(sheet, (quality, -sheet)) as best_sheet, arg_max(layout, (quality, -sheet)) as best_layout from valued group by workbook",
+           "both_ways": "select layout, other from pairs where similarity >= 0.8 union all select other, layout from pairs where similarity >= 0.8",
+           "together": "select r.workbook, r.sheet, r.sheet = b.best_sheet as best from valued r join firsts b using (workbook) where r.layout = b.best_layout or exists (select 1 from both_ways w where w.layout = r.layout and w.other = b.best_layout)",
+           "lines_of": _LINES},
+        "select workbook, sheet, row_no, row_number() over (partition by workbook order by best desc, sheet, row_no) as line_no, mpn, quantity from lines_of join together using (sheet)",
+    ),
+}

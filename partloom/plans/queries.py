@@ -14,7 +14,7 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, mapping, match, replacements, risk, sheets, tables
+from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, mapping, match, normalise, replacements, risk, sheets, tables
 from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.cuts import written
@@ -557,10 +557,42 @@ def _learned(v: Frames) -> DataFrame:
     return written(mapping.learned_headers(sheets.columns(known), known))
 
 
+def _mapped(v: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables found, their data rows and what their columns are."""
+    found = _found(v)
+    rows = written(tables.data_rows(_wild(v), found))
+    return found, rows, mapping.mapped(found, rows, _learned(v))
+
+
 @query
 def column_mapping(v: Frames) -> DataFrame:
-    found = _found(v)
-    return mapping.mapped(found, written(tables.data_rows(_wild(v), found)), _learned(v)).select("sheet", "column", "field", _whole("hundredths", 100, "score"), "tier")
+    return _mapped(v)[2].select("sheet", "column", "field", _whole("hundredths", 100, "score"), "tier")
+
+
+def _together(v: Frames, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ten sheets are a workbook."""
+    names = found.select("sheet", F.when(F.col("sheet") % 3 == 0, "BOM main").when(F.col("sheet") % 3 == 1, "Sheet1").otherwise("old backup").alias("name"))
+    return tables.compatible(tables.layouts(found), F.floor(F.col("sheet") / 10), tables.quality(found, rows, names))
+
+
+def _typed(v: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found, rows, mapped = _mapped(v)
+    plans = written(normalise.sheet_plans(found, mapped))
+    return found, rows, normalise.typed(written(normalise.texts(rows, plans)), plans)
+
+
+@query
+def typed_lines(v: Frames) -> DataFrame:
+    got = _typed(v)[2]
+    issues_text = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["code"], i["severity"])), ",").alias("issues")
+    lists = [F.array_join(c, ",").alias(c) for c in ("alt_mpns", "refs")]
+    return got.select("sheet", "row_no", "line_no", "mpn", "manufacturer", "internal_pn", "description", "distributor", "distributor_pn", "value", "package", "tolerance", "notes", "level", *lists, "dnp", "quantity", (F.col("unit_price") * 1_000_000).cast("long").alias("price_micro"), "currency", issues_text)
+
+
+@query
+def united_lines(v: Frames) -> DataFrame:
+    found, rows, got = _typed(v)
+    return normalise.united(got, written(_together(v, found, rows))).select("workbook", "sheet", "row_no", "line_no", "mpn", "quantity")
 
 
 @query
@@ -570,8 +602,5 @@ def layouts_alike(v: Frames) -> DataFrame:
 
 @query
 def compatible_sheets(v: Frames) -> DataFrame:
-    """Ten sheets are a workbook."""
     found = _found(v)
-    names = found.select("sheet", F.when(F.col("sheet") % 3 == 0, "BOM main").when(F.col("sheet") % 3 == 1, "Sheet1").otherwise("old backup").alias("name"))
-    got = tables.compatible(tables.layouts(found), F.floor(F.col("sheet") / 10), tables.quality(found, tables.data_rows(_wild(v), found), names))
-    return got.select("workbook", "sheet", "best", _whole("similarity", 1000, "similarity"))
+    return _together(v, found, tables.data_rows(_wild(v), found)).select("workbook", "sheet", "best", _whole("similarity", 1000, "similarity"))
