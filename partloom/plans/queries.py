@@ -14,7 +14,7 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, cost, evidence, history, issues, lines, mapping, match, normalise, replacements, risk, sheets, tables
+from partloom.operators import alternates, catalogue, completions, cost, evidence, history, issues, lines, mapping, match, normalise, replacements, risk, sheets, tables
 from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.cuts import written
@@ -604,3 +604,22 @@ def layouts_alike(v: Frames) -> DataFrame:
 def compatible_sheets(v: Frames) -> DataFrame:
     found = _found(v)
     return _together(v, found, tables.data_rows(_wild(v), found)).select("workbook", "sheet", "best", _whole("similarity", 1000, "similarity"))
+
+
+def _proposed(v: Frames) -> DataFrame:
+    """Completions of lines with gaps that the catalogue knows."""
+    matched = match.classify(lines.keyed(v["v_gap_line"].withColumns({"ref_text": F.lit(""), "dnp": F.lit(False), "quantity": F.lit(1.0)})), analysis.catalogue_of(v["v_part"]), v["v_offer"])
+    gaps = v["v_gap_line"].join(matched.select("bom_id", "source_row", "part_id", "confidence"), ["bom_id", "source_row"])
+    return written(completions.proposals(written(gaps), v["v_known_part"]))
+
+
+@query
+def completion_proposals(v: Frames) -> DataFrame:
+    return _proposed(v)
+
+
+@query
+def completed_lines(v: Frames) -> DataFrame:
+    """Lines after the completions that are 80 sure or more."""
+    got = completions.applied(v["v_gap_line"], _proposed(v), least=80)
+    return got.select("bom_id", "source_row", *completions.FIELDS, "filled", F.array_join(F.array_sort(F.map_keys("origin")), ",").alias("fields"))

@@ -81,6 +81,14 @@ union all select distinct bom_id, cast(4 as bigint), case bom_id%4 when 0 then '
 union all select distinct bom_id, cast(5 as bigint), case when bom_id%2=0 then 'RESISTORS|||||' else '-----|||||' end from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000, 'TOTAL||||10|' from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000+1, 'signed|x||||' from v_bom_line""",
+    # Lines with blanks, other spellings and vague footprints, and the parameters that the catalogue gives.
+    "v_gap_line": """
+select bom_id, source_row, case source_row%5 when 0 then lower(mpn) else mpn end as mpn, case when source_row%7=0 then '' when source_row%7=1 and manufacturer<>'' then concat(manufacturer,' Corp.') when source_row%7=2 then replace(manufacturer,'Brand','Brnd') when source_row%7=3 then 'Other Works' else manufacturer end as manufacturer,
+ case when source_row%3=0 then '' else description end as description, case source_row%8 when 0 then '' when 1 then 'SMD' when 2 then 'ZZ-9' else package end as package, case when source_row%4=0 then '' else value_text end as value,
+ case when source_row%2=0 then '' else '2%' end as tolerance, case when source_row%3=1 then '' else '10V' end as voltage from v_bom_line""",
+    "v_known_part": """
+select v.part_id, v.mpn, v.manufacturer, v.description, v.package, v.value_text as value, case p.p_size%3 when 0 then '1%' when 1 then '5%' else '' end as tolerance, case p.p_size%4 when 0 then '16V' when 1 then '50V' else '' end as voltage,
+ case p.p_partkey%3 when 0 then 'maker, seller' when 1 then 'seller' else 'catalogue' end as source from v_part v join part p on p.p_partkey=v.part_id""",
     # Sheets of six layouts, two of them in two variants: known, learned, misspelt, blank, stacked and contradicted headers.
     "v_wild": """
 select bom_id as sheet, source_row+6+case when source_row>10 then 1 else 0 end as row_no, case bom_id%12
