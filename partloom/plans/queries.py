@@ -569,6 +569,23 @@ def column_mapping(v: Frames) -> DataFrame:
     return _mapped(v)[2].select("sheet", "column", "field", _whole("hundredths", 100, "score"), "tier")
 
 
+@query
+def header_learning(v: Frames) -> DataFrame:
+    return _learned(v)
+
+
+@query
+def replayed_mapping(v: Frames) -> DataFrame:
+    """Mappings confirmed on some sheets, replayed on all of the same layout, with columns that a user has set."""
+    found, rows, mapped = _mapped(v)
+    kept = mapping.templates_of(mapped.where("sheet % 4 = 1 and field <> 'notes'"), found)
+    pin = lambda field, column: F.struct(F.lit(field).alias("field"), F.lit(column).alias("column"))
+    pins = F.inline(F.array(pin("notes", 0), pin("dnp", -1)))
+    forced = found.where("sheet % 5 = 0").select("sheet", pins)
+    got = mapping.mapped(found, rows, _learned(v), written(kept), forced)
+    return got.select("sheet", "column", "field", _whole("hundredths", 100, "score"), "tier")
+
+
 def _together(v: Frames, found: DataFrame, rows: DataFrame) -> DataFrame:
     """Ten sheets are a workbook."""
     names = found.select("sheet", F.when(F.col("sheet") % 3 == 0, "BOM main").when(F.col("sheet") % 3 == 1, "Sheet1").otherwise("old backup").alias("name"))
