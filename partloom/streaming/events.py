@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from partloom.streaming.merging import keep_merged
+from partloom.streaming.merging import newest as merged
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -54,28 +58,13 @@ def lifecycle_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max(step).alias("step"), F.count(F.lit(1)).alias("events"))
 
 
-def append_snapshots(events: DataFrame, log: str, latest: str, checkpoint: str, parts: int = 64):
-    """Append every batch to a log, and keep the latest value of each user in a table of `parts` folders by the user's hash.
-
-    A batch reads and writes only the folders that its users fall in, into a new version of each; `latest_of` reads the
-    newest versions. A batch that is repeated writes the same again.
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        new = batch.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts")).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int"))
-        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most `parts`
-        if number and touched:
-            old = latest_of(batch.sparkSession, latest, before=number).where(F.col("part").isin(touched))
-            new = old.unionByName(new).groupBy("user_id", "part").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
-        new.write.mode("overwrite").partitionBy("part").parquet(f"{latest}/v={number}")
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_snapshots(events: DataFrame, log: str, latest: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Append every batch to a log, and keep the latest value of each user in a table of `parts` folders: see `merging.keep_merged`."""
+    newest = lambda df: df.groupBy("user_id").agg(F.max_by(F.struct("value", "ts", "event_id"), F.struct("ts", "event_id")).alias("l")).select("user_id", "l.*")
+    append = lambda batch, number: batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+    return keep_merged(events, latest, checkpoint, ("user_id",), newest, parts, append)
 
 
-def latest_of(spark: SparkSession, latest: str, before: int | None = None) -> DataFrame:
-    """The table that `append_snapshots` keeps: of each folder the newest version (older than `before`)."""
-    found = spark.read.option("basePath", latest).parquet(latest)
-    found = found if before is None else found.where(F.col("v") < before)
-    newest = found.groupBy("part").agg(F.max("v").alias("v"))
-    return found.join(newest, ["part", "v"]).select("user_id", "value", "ts", "part")
+def latest_of(spark: SparkSession, latest: str) -> DataFrame:
+    """The table that `append_snapshots` keeps."""
+    return merged(spark, latest).select("user_id", "value", "ts", "part")

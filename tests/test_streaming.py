@@ -3,6 +3,7 @@ import shutil
 import pytest
 from partloom.operators import history
 from partloom.streaming import events as E
+from partloom.streaming import merging
 from pyspark.sql import functions as F
 
 
@@ -54,3 +55,25 @@ def test_latest_values_by_folder(spark, sf, tmp_path):
     want = {r.user_id: r.ts for r in events.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).collect()}
     assert {r.user_id: r.ts for r in E.latest_of(spark, latest).collect()} == want
     assert spark.read.parquet(log).count() == events.count()
+
+
+def test_learned_headers_over_restarts(spark, tmp_path):
+    """Three runs over files that arrive in between give what one batch gives; a folder keeps two versions at most."""
+    given = [(f"h{i % 7}", ("mpn", "value", "notes")[(i * i + i // 5) % 3]) for i in range(120)] + [("", "mpn"), ("h1", "")]
+    table, state, arrived = (str(tmp_path / n) for n in ("table", "state", "in"))
+    for run in range(3):
+        for part in range(2):
+            spark.createDataFrame(given[run * 2 + part :: 6], "key string, field string").coalesce(1).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema("key string, field string").option("maxFilesPerTrigger", 1).parquet(arrived)
+        assert merging.learn_headers(stream, table, state, parts=3).awaitTermination(120)
+    counts = {}
+    for k, f in given:
+        if k and f:
+            counts.setdefault(k, {}).setdefault(f, 0)
+            counts[k][f] += 1
+    assert {(r.key, r.field): r.hits for r in merging.newest(spark, table).collect()} == {(k, f): n for k, fs in counts.items() for f, n in fs.items()}
+    best = {k: min(fs, key=lambda f: (-fs[f], f)) for k, fs in counts.items()}
+    assert {r.key: (r.field, r.hits) for r in merging.learned(spark, table).collect()} == {k: (f, counts[k][f]) for k, f in best.items()}
+    versions = [len([v for v in p.iterdir() if v.name.startswith("v=")]) for p in (tmp_path / "table").iterdir() if p.name.startswith("part=")]
+    assert versions and max(versions) <= 2
+    assert merging.learned(spark, str(tmp_path / "none")).count() == 0
