@@ -221,6 +221,14 @@ HEADER_WORDS = {
 REQUIRED_FIELDS = ("mpn", "quantity")
 FIELD_HALVES = {"mpn": 6, "quantity": 4, "manufacturer": 3, "description": 2, "ref_designators": 2}
 
+# Records in nested answers: fields that mark one, how deep they are looked for; words of parameters by the fact they tell, in this order
+RECORD_MARKERS = ("partNumber", "mpn", "manufacturerPartNumber")
+RECORD_DEPTH = 7
+COMPLIANCE_NAMES = {
+    "rohs": "rohs", "reach": "reach", "halogen_free": "halogen", "msl": "moisture sensitivity|^msl$", "aec_q": "automotive|aec", "country_of_origin": "country of origin|^coo$|^origin$", "hts_code": "hts|tariff",
+    "eccn": "eccn|export control", "lead_free_process": "lead free|lead-free",
+}
+
 # Names of sheets that hold the table of parts, and of sheets that don't
 SHEET_NAMED = r"(?i)(bom|bill of material|parts?|component|material|stückliste|nomenclature|lista)"
 SHEET_NOT_NAMED = r"(?i)(instruction|readme|help|legend|notes?|history|revision|change|cover|title|template|pivot|chart|graph|summary|dashboard|do not|obsolete|old|backup|copy of)"

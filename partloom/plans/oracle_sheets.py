@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 from partloom import constants as C
 from partloom.operators.tables import field_words
 from partloom.plans.oracle import _BANNER, _SHEET, _TOTAL, _aliases, _case, _in, _list, _matched, _q, _values, _with, clean, mpn_key, package
+from partloom.sources.views import with_views
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 
@@ -274,3 +275,20 @@ SQL |= {
         union all select sheet, 0, 'notes', 10000, -1 from regions where sheet % 5 = 0""",
     ),
 }
+
+
+# Records in nested answers
+_MARKED = "json_type(v) = 'OBJECT' and (" + " or ".join(f"{clean(f'json_extract_string(v, {_q(chr(36) + chr(46) + m)})')} <> ''" for m in C.RECORD_MARKERS) + ")"
+_STATE = "case {0} when 'ROHS3 Compliant' then 'Compliant' when 'RoHS non-compliant' then 'Non-compliant' when 'Compliant by exemption' then 'Exempt' when 'No' then 'Non-compliant' when 'Yes' then 'Compliant' when 'No SVHC' then 'Compliant' else 'Unknown' end"
+_fact = lambda name: f"coalesce(list_filter(specs, lambda s: s.name = '{name}')[1].value, '')"
+SQL["payload_records"] = _recursive(
+    {
+        "parsed": "select part_id, payload::json as v from v_payload where json_valid(payload)",
+        "walk": f"""select part_id, 0 as depth, v, []::varchar[] as path, {_MARKED} as found from parsed
+            union all select part_id, depth, v, path, {_MARKED} from (select w.part_id, w.depth + 1 as depth, e.value as v, list_append(w.path, e.key::varchar) as path from walk w, json_each(w.v) e where not w.found and w.depth < 7 and json_type(w.v) in ('OBJECT', 'ARRAY'))""",
+        "told": "select part_id, depth, path, coalesce(json_extract_string(v, '$.partNumber'), json_extract_string(v, '$.mpn'), json_extract_string(v, '$.manufacturerPartNumber')) as mpn, coalesce(from_json(json_extract(v, '$.specs'), '[{\"name\":\"VARCHAR\",\"value\":\"VARCHAR\"}]'), []) as specs from walk where found",
+        "rated": "select *, list_filter(specs, lambda s: contains(lower(s.name), 'rohs')) as r, list_filter(specs, lambda s: contains(lower(s.name), 'reach')) as e from told",
+        "chosen": f"select *, coalesce(list_filter(r, lambda s: {_STATE.format('s.value')} <> 'Unknown')[1], r[-1]).value as rv, coalesce(list_filter(e, lambda s: {_STATE.format('s.value')} <> 'Unknown')[1], e[-1]).value as ev from rated",
+    },
+    f"select part_id, depth, array_to_string(path, '/') as path, mpn, {_STATE.format('rv')} as rohs, coalesce(rv, '') as rohs_note, {_STATE.format('ev')} as reach, coalesce(ev, '') as reach_note, {_fact('MSL')} as msl, {_fact('Tariff Code')} as hts_code, {_fact('Country of Origin')} as country_of_origin from chosen",
+)

@@ -14,7 +14,7 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, completions, cost, evidence, history, issues, lines, mapping, match, normalise, replacements, risk, sheets, tables
+from partloom.operators import alternates, catalogue, completions, cost, evidence, history, issues, lines, mapping, match, normalise, records, replacements, risk, sheets, tables
 from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.cuts import written
@@ -640,3 +640,11 @@ def completed_lines(v: Frames) -> DataFrame:
     """Lines after the completions that are 80 sure or more."""
     got = completions.applied(v["v_gap_line"], _proposed(v), least=80)
     return got.select("bom_id", "source_row", *completions.FIELDS, "filled", F.array_join(F.array_sort(F.map_keys("origin")), ",").alias("fields"))
+
+
+@query
+def payload_records(v: Frames) -> DataFrame:
+    """Records in nested answers with what their parameters say of compliance."""
+    got = records.records(v["v_payload"], "part_id").withColumn("mpn", F.coalesce(*[F.try_variant_get("record", f"$.{m}", "string") for m in C.RECORD_MARKERS]))
+    got = got.withColumn("c", records.compliance(records.specs(F.col("record"))))
+    return got.select("part_id", "depth", F.array_join("path", "/").alias("path"), "mpn", *[F.col(f"c.{f}").alias(f) for f in ("rohs", "rohs_note", "reach", "reach_note", "msl", "hts_code", "country_of_origin")])

@@ -81,6 +81,15 @@ union all select distinct bom_id, cast(4 as bigint), case bom_id%4 when 0 then '
 union all select distinct bom_id, cast(5 as bigint), case when bom_id%2=0 then 'RESISTORS|||||' else '-----|||||' end from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000, 'TOTAL||||10|' from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000+1, 'signed|x||||' from v_bom_line""",
+    # Answers of sources: one or two records a part, none to nine levels deep, some without a marker, some not JSON.
+    "v_payload": """
+select p_partkey as part_id, case when p_partkey%23=0 then 'service unavailable' else replace(replace(concat('<"n":',cast(p_partkey as string),',"found":',repeat('<"in":[',cast(p_partkey%5 as int)),
+ '<"',case p_partkey%3 when 0 then 'mpn' when 1 then 'partNumber' else 'manufacturerPartNumber' end,'":"',case when p_partkey%11=0 then 'n/a' else concat('P',cast(p_partkey as string)) end,
+ '","specs":[<"name":"RoHS Status","value":"',case p_partkey%4 when 0 then 'ROHS3 Compliant' when 1 then 'see note' when 2 then 'RoHS non-compliant' else 'Compliant by exemption' end,
+ '">,<"name":"EU RoHS","value":"',case p_partkey%2 when 0 then 'No' else 'Yes' end,'">,<"name":"REACH","value":"',case p_partkey%5 when 0 then 'No SVHC' else '?' end,
+ '">,<"name":"MSL","value":"',cast(p_partkey%4 as string),'">,<"name":"Tariff Code","value":"85',cast(p_partkey%90 as string),'">,<"name":"Country of Origin","value":"',case p_partkey%6 when 0 then 'CN' when 1 then '' else 'JP' end,'">],"kit":<"mpn":"K',cast(p_partkey as string),'">>',
+ repeat(']>',cast(p_partkey%5 as int)),case when p_partkey%7=0 then ',"more":[1,"x",<"mpn":"M1","specs":[]>]' else '' end,'>'),'<',chr(123)),'>',chr(125)) end as payload
+from part""",
     # Lines with blanks, other spellings and vague footprints, and the parameters that the catalogue gives.
     "v_gap_line": """
 select bom_id, source_row, case source_row%5 when 0 then lower(mpn) else mpn end as mpn, case when source_row%7=0 then '' when source_row%7=1 and manufacturer<>'' then concat(manufacturer,' Corp.') when source_row%7=2 then replace(manufacturer,'Brand','Brnd') when source_row%7=3 then 'Other Works' else manufacturer end as manufacturer,
