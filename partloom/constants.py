@@ -229,6 +229,9 @@ COMPLIANCE_NAMES = {
     "eccn": "eccn|export control", "lead_free_process": "lead free|lead-free",
 }
 
+# Seconds after which a part's facts and its newest snapshot are stale
+TIMES_TO_LIVE = {"fact": 86400, "snapshot": 900}
+
 # Names of sheets that hold the table of parts, and of sheets that don't
 SHEET_NAMED = r"(?i)(bom|bill of material|parts?|component|material|stückliste|nomenclature|lista)"
 SHEET_NOT_NAMED = r"(?i)(instruction|readme|help|legend|notes?|history|revision|change|cover|title|template|pivot|chart|graph|summary|dashboard|do not|obsolete|old|backup|copy of)"

@@ -292,3 +292,16 @@ SQL["payload_records"] = _recursive(
     },
     f"select part_id, depth, array_to_string(path, '/') as path, mpn, {_STATE.format('rv')} as rohs, coalesce(rv, '') as rohs_note, {_STATE.format('ev')} as reach, coalesce(ev, '') as reach_note, {_fact('MSL')} as msl, {_fact('Tariff Code')} as hts_code, {_fact('Country of Origin')} as country_of_origin from chosen",
 )
+
+
+# Staleness
+_OBSERVED = "select user_id as part_id, case when event_type in ('view', 'click') then 'snapshot' else 'fact' end as kind, ts from events"
+_LIFE = f"to_seconds({_case('kind', C.TIMES_TO_LIVE)})"
+SQL |= {
+    "stale_marks": f"select part_id, kind, stale_at from (select part_id, kind, ts + {_LIFE} as stale_at, lead(ts) over (partition by part_id, kind order by ts) as following from ({_OBSERVED})) where (following is null or following > stale_at) and stale_at < timestamp '2024-01-25'",
+    "parts_to_fetch": _with(
+        {"seen": f"select part_id, max(ts) filter (kind = 'fact') as fact, max(ts) filter (kind = 'snapshot') as snapshot from ({_OBSERVED}) where ts < timestamp '2024-01-20' group by part_id",
+         "judged": "select p.part_id, case when p.part_id % 17 = 0 then 'forced' when fact is null then 'never verified' when timestamp '2024-01-20' - fact > interval 24 hours then 'facts' when timestamp '2024-01-20' - snapshot > interval 15 minutes then 'snapshot' end as reason from v_part p left join seen s on s.part_id = p.part_id"},
+        "select part_id, reason from judged where reason is not null",
+    ),
+}

@@ -19,6 +19,7 @@ from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.cuts import written
 from partloom.sources.views import Frames
+from partloom.streaming import staleness
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -648,3 +649,20 @@ def payload_records(v: Frames) -> DataFrame:
     got = records.records(v["v_payload"], "part_id").withColumn("mpn", F.coalesce(*[F.try_variant_get("record", f"$.{m}", "string") for m in C.RECORD_MARKERS]))
     got = got.withColumn("c", records.compliance(records.specs(F.col("record"))))
     return got.select("part_id", "depth", F.array_join("path", "/").alias("path"), "mpn", *[F.col(f"c.{f}").alias(f) for f in ("rohs", "rohs_note", "reach", "reach_note", "msl", "hts_code", "country_of_origin")])
+
+
+def _observed(v: Frames) -> DataFrame:
+    """Users stand for parts; views and clicks for snapshots, other events for facts."""
+    return v["events"].select(F.col("user_id").alias("part_id"), F.when(F.col("event_type").isin("view", "click"), "snapshot").otherwise("fact").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query
+def stale_marks(v: Frames) -> DataFrame:
+    got = staleness.stale_marks(_observed(v), "2024-01-25 00:00:00")
+    return got.select("part_id", "kind", F.col("stale_at").cast("timestamp_ntz").alias("stale_at"))
+
+
+@query
+def parts_to_fetch(v: Frames) -> DataFrame:
+    parts = v["v_part"].select("part_id", (F.col("part_id") % 17 == 0).alias("forced"))
+    return staleness.needs_fetch(parts, _observed(v).where("ts < timestamp '2024-01-20'"), "2024-01-20 00:00:00")

@@ -3,7 +3,7 @@ import shutil
 import pytest
 from partloom.operators import history
 from partloom.streaming import events as E
-from partloom.streaming import merging
+from partloom.streaming import merging, staleness
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,21 @@ def test_learned_headers_over_restarts(spark, tmp_path):
     versions = [len([v for v in p.iterdir() if v.name.startswith("v=")]) for p in (tmp_path / "table").iterdir() if p.name.startswith("part=")]
     assert versions and max(versions) <= 2
     assert merging.learned(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stale_marks_equal_the_batch(spark, sf, tmp_path):
+    """Marks come when the watermark passes them; a last event moves it past all that the batch is asked for."""
+    events = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 25").orderBy("ts")
+    kind = F.when(F.col("event_type").isin("view", "click"), "snapshot").otherwise("fact").alias("kind")
+    seen = events.select(F.col("user_id").alias("part_id"), kind, F.col("ts").cast("timestamp").alias("ts"))
+    arrived, state = str(tmp_path / "in"), str(tmp_path / "state")
+    days = [("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2024-03-01")]
+    for lo, hi in days:
+        seen.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+        q = staleness.watch(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+    until = seen.agg(F.max("ts") - F.expr("interval 10 minutes")).first()[0]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where(F.col("stale_at") < F.lit(until)).collect())
+    want = sorted(tuple(r) for r in staleness.stale_marks(seen, str(until)).collect())
+    assert got == want and len(got) > 100
