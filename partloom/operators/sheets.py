@@ -25,16 +25,26 @@ def tidied(sheets: DataFrame) -> DataFrame:
     return got.withColumn("filled", F.filter("cells", lambda c: c != ""))
 
 
-def by_pattern(key: Column, patterns: Mapping[str, tuple[str, ...]]) -> Column:
-    """The first field one of whose patterns a header's key matches, else null."""
-    return F.coalesce(*[F.when(key.rlike("|".join(p)), f) for f, p in patterns.items()])
+def _telling(key: Column, vocabulary: Vocabulary, patterns: Mapping[str, tuple[str, ...]] | None, required: tuple[str, ...]) -> Column:
+    """The required field that a header key stands for, `other` for any other known one, else null. Patterns come after the
+    vocabulary, in their order, but those behind the last required field are looked for at once."""
+    keys = lambda fits: [k for k, (f, _) in vocabulary.items() if fits(f)]
+    found = [F.when(key.isin(*keys(lambda f, r=r: f == r)), r) for r in required]
+    found.append(F.when(key.isin(*keys(lambda f: f not in required)), "other"))
+    if patterns:
+        first = 1 + max((i for i, f in enumerate(patterns) if f in required), default=-1)
+        for i, (field, several) in enumerate(patterns.items()):
+            if i < first:
+                found.append(F.when(key.rlike("|".join(several)), field if field in required else "other"))
+        rest = [p for several in list(patterns.values())[first:] for p in several]
+        found += [F.when(key.rlike("|".join(rest)), "other")] if rest else []
+    return F.when(key != "", F.coalesce(*found))
 
 
 def with_header_score(rows: DataFrame, vocabulary: Vocabulary = C.HEADER_WORDS, patterns: Mapping[str, tuple[str, ...]] | None = None, filled: str = "filled", cells: str = "cells", out: tuple[str, str] = ("score", "hits"), required: tuple[str, ...] = C.REQUIRED_FIELDS) -> DataFrame:
     """Rows with a score and the number of known headers among their filled cells: known words (and words that match a pattern)
     count for it, numbers, long and repeated cells against it. Values are bound column by column, each computed once."""
-    fields = {k: f for k, (f, _) in vocabulary.items()}
-    field = lambda key: F.when(key != "", F.coalesce(lookup(fields, key), by_pattern(key, patterns))) if patterns else lookup(fields, key)
+    field = lambda key: _telling(key, vocabulary, patterns, required)
     score, hits = out
     rows = rows.withColumn("_keys", F.transform(filled, T.header_key))
     rows = rows.withColumn("_known", F.filter(F.transform("_keys", field), lambda f: f.isNotNull()))
