@@ -9,6 +9,8 @@ REVIEW_CONFIDENCE = 90
 FUZZY_SIMILARITY = 88
 COMPLETION_CONFIDENCE = 70
 SIMILAR_BONUS = 6  # of an alternate that is a similar part
+SOURCE_BONUS = {"bom": 26, "substitution": 18, "similar": 6, "search": 0}  # of an alternate, by its source
+PUBLISHED_ALTERNATES = 6  # of a part that count
 MAX_ALTERNATES = 5
 WEIGHTS = {"lifecycle": 1.0, "availability": 1.0, "sourcing": 0.8, "lead_time": 0.7, "compliance": 0.6, "data_quality": 0.5, "cost": 0.4}
 

@@ -14,7 +14,7 @@ from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
 from partloom.functions import vocab as V
-from partloom.operators import alternates, catalogue, completions, cost, evidence, history, issues, lines, mapping, match, normalise, records, replacements, risk, sheets, tables
+from partloom.operators import alternates, candidates, catalogue, completions, cost, evidence, history, issues, lines, mapping, match, normalise, records, replacements, risk, sheets, tables
 from partloom.plans import analysis
 from partloom.sinks import files
 from partloom.sources.cuts import written
@@ -243,6 +243,24 @@ def alternates_topk(v: Frames) -> DataFrame:
     return alternates.best(alternates.scores(alternates.prepared(v["v_part"], catalogue.supply(v["v_offer"])))).select("part_id", "place", "candidate_id", "score")
 
 
+def _pool(v: Frames) -> DataFrame:
+    return candidates.prepared(v["v_pool_part"], catalogue.supply(v["v_offer"]), candidates.unit_prices(v["v_offer"], v["v_price_break"]))
+
+
+@query
+def alternates_by_source(v: Frames) -> DataFrame:
+    return candidates.alternates(v["v_pool_line"], _pool(v))
+
+
+@query
+def part_searches(v: Frames) -> DataFrame:
+    """What each line would search the catalogue for."""
+    own = ("category", "value", "tolerance", "package")
+    known = v["v_pool_part"].select("part_id", *[F.col(c).alias(f"o_{c}") for c in own])
+    text = candidates.search_text({c: F.col(c) for c in ("value", "package", "tolerance", "description")}, {c: F.col(f"o_{c}") for c in own})
+    return v["v_pool_line"].join(known, "part_id", "left").select("bom_id", "source_row", text.alias("search"))
+
+
 @query
 def keyword_search(v: Frames) -> DataFrame:
     """What a buyer types, made of a part's words in another order with words of a text, against all parts."""

@@ -130,6 +130,18 @@ union all select distinct bom_id, cast(6 as bigint), 'RESISTORS|||' from v_bom_l
 union all select distinct bom_id, cast(17 as bigint), 'Notes: hand solder||' from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000, 'TOTAL||||10|' from v_bom_line
 union all select distinct bom_id, cast(8 as bigint)*1000000+1, 'checked by|x|y' from v_bom_line""",
+    # A catalogue with published substitutes, values in a column, in words or nowhere, and lines that declare alternates.
+    "v_pool_part": """
+select v.part_id, concat('PL-',cast(v.part_id as string),case when v.part_id%3=0 then '/A' else '' end) as mpn, v.manufacturer, case v.part_id%4 when 0 then concat('RES ',cast(p.p_size as string),'R 0603') when 1 then concat('CAP CER ',cast(p.p_size as string),'nF/16V') when 2 then '' else v.description end as description,
+ case when v.part_id%31=0 then '' else v.category end as category, v.package, case v.part_id%6 when 0 then '' when 1 then 'see sheet' else v.value_text end as value, case p.p_size%3 when 0 then '1%' when 1 then '5%' else '' end as tolerance,
+ v.lifecycle, v.rohs, v.reach, v.eccn, v.median_1k_micro, case when v.part_id%10=3 then concat_ws('; ',concat('PL ',cast(v.part_id+3 as string),x.s),concat('pl',cast(v.part_id+6 as string),x.s),concat('PL-',cast(v.part_id+9 as string),x.s),concat('PL-',cast(v.part_id+12 as string),x.s),'ZZ-1',v.mpn,concat('PL-',cast(v.part_id+15 as string),x.s))
+  when v.part_id%10=6 then concat('PL-',cast(v.part_id as string),x.s,'; PL-',cast(v.part_id+30 as string),x.s) else '' end as published
+from v_part v join part p on p.p_partkey=v.part_id join (select p_partkey as k, case when p_partkey%3=0 then '/A' else '' end as s from part) x on x.k=v.part_id""",
+    "v_pool_line": """
+select b.bom_id, b.source_row, case when b.source_row%16=0 then null else b.part_id end as part_id, p.mpn, case b.source_row%4 when 0 then '' when 1 then 'THT' else b.package end as package, case b.source_row%5 when 0 then b.value_text when 1 then 'see drawing' else '' end as value,
+ case b.source_row%3 when 0 then '2%' when 1 then 'as is' else '' end as tolerance, case when b.source_row%2=0 then concat('CHOKE ',b.value_text) else b.description end as description,
+ case b.source_row%6 when 0 then concat('PL ',cast(b.part_id+3 as string),case when b.part_id%3=0 then 'a' else '' end,', NOPE-1') when 1 then p.mpn else '' end as alternates, cast(b.quantity as bigint)*10 as required, b.dnp
+from v_bom_line b join v_pool_part p on p.part_id=b.part_id""",
     "v_spelled": """
 select p_partkey as part_id,
  concat(case p_partkey%14 when 0 then concat(cast(p_size as string),'k',cast(p_partkey%10 as string)) when 1 then concat(cast(p_size as string),'n',cast(p_partkey%7 as string),' ') when 2 then concat('1/',cast(p_size as string),'W') when 3 then concat(cast(p_size as string),' nF max')

@@ -2,10 +2,10 @@ import os
 
 import duckdb
 import pytest
-from partloom.plans import oracle, oracle_sheets
+from partloom.plans import oracle, oracle_pool, oracle_sheets
 from partloom.plans.queries import QUERIES
 
-SQL = oracle.SQL | oracle_sheets.SQL
+SQL = oracle.SQL | oracle_sheets.SQL | oracle_pool.SQL
 
 
 @pytest.fixture(scope="module")
