@@ -287,7 +287,7 @@ SQL: dict[str, str] = {
     ),
     "keyword_search": _with(
         {
-            "typed": "select item_id, manufacturer || ' ' || substr(text, 1, 40) || ' ' || description as text from benchmark join v_part on item_id = part_id",
+            "typed": r"select item_id, concat_ws(' ', manufacturer, regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), description) as text from benchmark left join v_part on item_id = part_id",
             "asked": f"select distinct item_id, unnest({tokens('text')}) as word from typed",
             "told": f"""select distinct part_id, unnest({tokens("description || ' ' || manufacturer || ' ' || category")}) as word from v_part""",
         },

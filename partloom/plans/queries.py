@@ -263,8 +263,9 @@ def part_searches(v: Frames) -> DataFrame:
 
 @query
 def keyword_search(v: Frames) -> DataFrame:
-    """What a buyer types, made of a part's words in another order with words of a text, against all parts."""
-    typed = v["benchmark"].join(v["v_part"], F.col("item_id") == F.col("part_id")).select("item_id", F.concat_ws(" ", "manufacturer", F.substring("text", 1, 40), "description").alias("text"))
+    """What a buyer types, a whole text with a part's maker and description where there is one of that id, against all parts."""
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "_")  # engines differ in the upper case of some letters
+    typed = v["benchmark"].join(v["v_part"], F.col("item_id") == F.col("part_id"), "left").select("item_id", F.concat_ws(" ", "manufacturer", text, "description").alias("text"))
     return alternates.keyword_search(typed, v["v_part"].withColumn("description", F.concat_ws(" ", "description", "manufacturer")))
 
 
