@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom import constants as C
@@ -36,6 +36,12 @@ def manufacturer_key(name: Column, aliases: Mapping[str, tuple[str, ...]] = C.MA
     return slug(normalize_manufacturer(name, aliases))
 
 
+def with_maker_key(df: DataFrame, out: str = "maker") -> DataFrame:
+    """df with the key of its manufacturer in another column. Names repeat, so distinct ones are keyed and joined back."""
+    keys = df.select(F.col("manufacturer").alias("maker_name")).distinct().withColumn(out, manufacturer_key(F.col("maker_name")))
+    return df.join(keys, F.col("manufacturer").eqNullSafe(F.col("maker_name")), "left").drop("maker_name")
+
+
 def normalize_distributor(name: Column, aliases: Mapping[str, tuple[str, ...]] = C.DISTRIBUTOR_ALIASES) -> Column:
     """A distributor's canonical name, else the name as it stands."""
     known = alias_keys(aliases)

@@ -12,7 +12,7 @@ from partloom import constants as C
 from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions import values as X
-from partloom.functions.names import manufacturer_key, normalize_distributor
+from partloom.functions.names import normalize_distributor, with_maker_key
 
 LINE = ["bom_id", "source_row"]
 
@@ -55,7 +55,7 @@ def merge_duplicates(lines: DataFrame) -> DataFrame:
     if {"distributor", "distributor_pn"} <= set(lines.columns):
         number = T.normalize_mpn(F.col("distributor_pn"))
         by_seller = F.when(number != "", F.concat_ws(":", F.lit("DPN"), normalize_distributor(F.col("distributor")), number, fitted))
-    own = F.when(F.col("mpn_key") != "", F.concat_ws(":", F.lit("MPN"), "mpn_key", manufacturer_key(F.col("manufacturer")), fitted))
+    own = F.when(F.col("mpn_key") != "", F.concat_ws(":", F.lit("MPN"), "mpn_key", "maker_key", fitted))
     key = F.coalesce(own, by_seller, F.concat(F.lit("ROW:"), F.col("source_row").cast("string")))
     fields = [f for f in ("mpn", "manufacturer", "description", "package", "value_text", "tolerance", "distributor", "distributor_pn") if f in lines.columns]
     filled = sum((F.when(F.col(f) != "", 1).otherwise(0) for f in fields), F.lit(0))
@@ -66,7 +66,7 @@ def merge_duplicates(lines: DataFrame) -> DataFrame:
     if "notes" in lines.columns:
         told = F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("source_row", "notes"))), lambda r: T.clean(r["notes"])), lambda n: n != ""))
         more.append(F.array_join(told, "; ").alias("notes"))
-    merged = lines.withColumn("merge_key", key).groupBy("bom_id", "merge_key").agg(
+    merged = with_maker_key(lines, "maker_key").withColumn("merge_key", key).groupBy("bom_id", "merge_key").agg(
         F.min("source_row").alias("source_row"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("merged"), F.first("dnp").alias("dnp"), *[best(f) for f in fields], *more
     )
     return merged.withColumn("line_no", F.row_number().over(W.partitionBy("bom_id").orderBy("source_row")))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from partloom import constants as C
 from partloom.functions import similar
 from partloom.functions import units as U
-from partloom.functions.names import manufacturer_key
+from partloom.functions.names import with_maker_key
 
 
 def keyed_parts(parts: DataFrame, offers: DataFrame | None = None) -> DataFrame:
     """Parts as lines meet them: keys, maker, footprint, and whether anyone offers them (taken for granted without offers)."""
     offered = parts.withColumn("offered", F.lit(True)) if offers is None else parts.join(offers.select("part_id").distinct().withColumn("offered", F.lit(True)), "part_id", "left")
-    return offered.select(
-        "part_id", F.col("mpn_key").alias("p_key"), F.col("root_key").alias("p_root"), manufacturer_key(F.col("manufacturer")).alias("p_maker"), U.normalize_package(F.col("package")).alias("p_package"), F.coalesce("offered", F.lit(False)).alias("offered")
+    return with_maker_key(offered, "p_maker").select(
+        "part_id", F.col("mpn_key").alias("p_key"), F.col("root_key").alias("p_root"), "p_maker", U.normalize_package(F.col("package")).alias("p_package"), F.coalesce("offered", F.lit(False)).alias("offered")
     )
 
 
@@ -27,7 +27,7 @@ def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None
     then of the smaller id counts. Makers that agree add 4 where they weren't asked for, a conflict takes 28, a missing one
     2; footprints that agree add 6 and take 13 if they differ; a part that nobody offers loses 4.
     """
-    line = lines.select("bom_id", "source_row", manufacturer_key(F.col("manufacturer")).alias("maker"), U.normalize_package(F.col("package")).alias("package_key"), F.struct(*carry) if carry else F.lit(0), "mpn_key", "root_key")
+    line = with_maker_key(lines, "maker").select("bom_id", "source_row", "maker", U.normalize_package(F.col("package")).alias("package_key"), F.struct(*carry) if carry else F.lit(0), "mpn_key", "root_key")
     line = line.toDF("bom_id", "source_row", "maker", "package_key", "carried", "mpn_key", "root_key")
     asks = F.array(F.struct(F.lit(0).alias("by"), F.nullif("mpn_key", F.lit("")).alias("key")), F.struct(F.lit(2).alias("by"), F.when(F.length("root_key") >= 5, F.col("root_key")).alias("key")))
     line = line.select("bom_id", "source_row", "maker", "package_key", "carried", F.inline(asks))
