@@ -79,12 +79,14 @@ def flags() -> Column:
 
 def health(scored: DataFrame) -> DataFrame:
     """Component and total health of each BOM, with penalties that no average hides."""
-    live = scored.where(~F.col("dnp")).withColumn("w", F.greatest(F.lit(1.0), F.col("quantity")))
+    live = scored.where(~F.col("dnp")).withColumn("w", F.greatest(F.lit(1.0), F.col("quantity")).cast("decimal(18,6)"))
     used = [k for k in FACTORS if k != "cost"]
     got = live.groupBy("bom_id").agg(
-        *[tenth(100 - F.sum(F.floor(F.col(f"f_{k}") * 1000 + 0.5) / 1000 * F.col("w")) / F.sum("w")).alias(k) for k in used], F.count(F.lit(1)).alias("lines"),
+        *[F.sum(F.floor(F.col(f"f_{k}") * 1000 + 0.5).cast("decimal(6,0)") * F.col("w")).alias(k) for k in used], F.sum("w").alias("w"), F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("lifecycle") == "Obsolete").alias("obsolete"), F.count_if(F.col("lifecycle").isNotNull() & (F.col("stock") <= 0)).alias("no_stock"), F.count_if(F.col("kind") == "none").alias("unmatched"), F.count_if(F.col("rohs") == "Non-compliant").alias("non_rohs"),
     )
+    # 100 less the mean of whole thousandths, half up to a tenth: exact, so neither the order of adding nor a double's error decides a tie.
+    got = got.withColumns({k: F.expr(f"(100050 * w - {k}) div (100 * w)") / 10 for k in used}).drop("w")
     score = None
     for k in used:
         score = F.col(k) * C.WEIGHTS[k] if score is None else score + F.col(k) * C.WEIGHTS[k]
