@@ -257,11 +257,53 @@ def line_issues(lines: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
     return lines.select(*LINE, F.explode(_found(disabled)).alias("issue")).select(*LINE, "issue.code", "issue.severity")
 
 
-def with_issue_counts(lines: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+#: Rules that find errors or warnings in a line's texts, and in its quantity and designators; all others only inform, and
+#: that of values is counted by distinct texts.
+TEXT_RULES = ("mpn_excel_error", "mpn_scientific", "mpn_numeric", "mpn_too_short", "mpn_too_long", "mpn_non_ascii", "manufacturer_short")
+QUANTITY_RULES = ("qty_negative", "qty_zero", "qty_fractional", "qty_implausible", "refdes_mixed_prefix", "refdes_quantity_mismatch")
+VALUE_RULE = "value_description_mismatch"
+
+
+def _counts(found: list[tuple[Column, Column]]) -> list[Column]:
+    """How many of the conditions hold as errors and how many as warnings."""
+    return [sum((F.when(cond & (severity == kind), 1).otherwise(0) for cond, severity in found), F.lit(0)) for kind in ("error", "warning")]
+
+
+def with_text_counts(texts: DataFrame) -> DataFrame:
+    """texts (mpn, manufacturer, description, value_text) with the errors and warnings that the rules find in them. Values
+    and descriptions repeat, so distinct ones are compared and joined back."""
+    cond, _ = RULES[VALUE_RULE]()
+    told = texts.select("description", "value_text").distinct().select(F.col("description").alias("told_description"), F.col("value_text").alias("told_value"), F.coalesce(cond, F.lit(False)).alias("unlike"))
+    same = F.col("description").eqNullSafe(F.col("told_description")) & F.col("value_text").eqNullSafe(F.col("told_value"))
+    errors, warnings = _counts([RULES[r]() for r in TEXT_RULES])
+    got = texts.join(told, same, "left").withColumns({"text_errors": errors, "text_warnings": warnings + F.col("unlike").cast("int")})
+    return got.drop("told_description", "told_value", "unlike")
+
+
+_RANGE = r"^([A-Z]{1,4})([0-9]{1,6})-\1([0-9]{1,6})$"
+
+
+def quantity_counts(span: Column | None = None) -> tuple[Column, Column]:
+    """Errors and warnings in the quantity and the designators of a line (quantity, dnp, ref_text). Of a single range its ends
+    tell all; other texts are split. span: last less first number of a line known to have a range, else read from the text."""
+    text = F.col("ref_text")
+    many = F.abs(F.regexp_extract(text, _RANGE, 3).try_cast("int") - F.regexp_extract(text, _RANGE, 2).try_cast("int")) if span is None else span
+    plain = many <= 5000
+    refs = T.split_refdes(text)
+    prefixes = lambda: F.transform(refs, T.refdes_prefix)
+    n = F.when(plain, many + 1).otherwise(F.size(refs))
+    mixed = F.when(plain, False).otherwise(F.size(F.array_distinct(F.filter(prefixes(), lambda p: p != ""))) > 1)
+    bulk = (n == 0) | F.exists(prefixes(), lambda p: p.isin(*C.BULK_PREFIXES))
+    live, q = ~F.col("dnp"), F.col("quantity")
+    errors = F.when(live & (q < 0), 1).otherwise(0)
+    found = [live & (q == 0), live & (q > 0) & (q != F.floor(q)) & ~bulk, live & (q > 100000), mixed, live & (n > 0) & (q != n) & ((q <= 0) | (q % n != 0))]
+    return errors, sum((F.when(c, 1).otherwise(0) for c in found), F.lit(0))
+
+
+def with_issue_counts(lines: DataFrame) -> DataFrame:
     """The lines with the number of errors and warnings in each."""
-    got = lines.withColumn("found", _found(disabled))
-    n = lambda severity: F.size(F.filter("found", lambda i: i["severity"] == severity))
-    return got.withColumns({"errors": n("error"), "warnings": n("warning")}).drop("found")
+    errors, warnings = quantity_counts()
+    return with_text_counts(lines).withColumns({"errors": F.col("text_errors") + errors, "warnings": F.col("text_warnings") + warnings}).drop("text_errors", "text_warnings")
 
 
 def bom_issues(lines: DataFrame) -> DataFrame:

@@ -19,13 +19,19 @@ def keyed_parts(parts: DataFrame, offers: DataFrame | None = None) -> DataFrame:
     )
 
 
-def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def settled(sure: Column, offered: Column) -> Column:
+    """The confidence, 0 to 100, in a part that agrees so far: one that nobody offers loses 4."""
+    return F.least(F.greatest(sure + F.when(offered, 0).otherwise(-4), F.lit(0)), F.lit(100))
+
+
+def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None, carry: tuple[str, ...] = (), settle: bool = True) -> DataFrame:
     """bom_id, source_row, part_id, kind, confidence for every line; lines: keyed lines, parts: with mpn_key and root_key.
     carry: columns of the lines that come along.
 
     Each line asks for its key and for its root in one join, and of the parts that it meets the one of the better tier,
     then of the smaller id counts. Makers that agree add 4 where they weren't asked for, a conflict takes 28, a missing one
-    2; footprints that agree add 6 and take 13 if they differ; a part that nobody offers loses 4.
+    2; footprints that agree add 6 and take 13 if they differ; a part that nobody offers loses 4. With settle=False that is
+    left to `settled`, for those who get to know the offers later.
     """
     line = with_maker_key(lines, "maker").select("bom_id", "source_row", "maker", U.normalize_package(F.col("package")).alias("package_key"), F.struct(*carry) if carry else F.lit(0), "mpn_key", "root_key")
     line = line.toDF("bom_id", "source_row", "maker", "package_key", "carried", "mpn_key", "root_key")
@@ -40,8 +46,8 @@ def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None
     maker = F.when(agree, F.when(F.col("tier") == 0, 0).otherwise(4)).when((F.col("maker") != "") & (F.col("p_maker") != ""), -28).when(F.col("maker") != "", -2).when(F.col("p_maker") != "", 1).otherwise(0)
     same = U.same_package(F.col("package_key"), F.col("p_package"))
     package = F.when(same, 6).when(~same, -13).otherwise(0)
-    sure = F.least(F.greatest(base + maker + package + F.when(F.col("offered"), 0).otherwise(-4), F.lit(0)), F.lit(100))
-    scored = met.withColumn("tier", tier).withColumn("confidence", sure)
+    sure = base + maker + package
+    scored = met.withColumn("tier", tier).withColumn("confidence", settled(sure, F.col("offered")) if settle else sure)
     known = F.col("part_id").isNotNull()
     best = scored.groupBy("bom_id", "source_row").agg(F.min_by(F.when(known, F.struct("part_id", "tier", "confidence")), F.when(known, F.struct("tier", "part_id"))).alias("b"), F.first("carried").alias("carried"))
     kind = F.when(F.col("b.tier") == 0, "exact_with_maker").when(F.col("b.tier") == 1, "exact").when(F.col("b.tier") == 2, "root").otherwise("none")
