@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partloom import constants as C
 from partloom.functions import similar
+from partloom.functions import text as T
 from partloom.functions import units as U
 from partloom.functions.names import with_maker_key
 
@@ -24,19 +25,35 @@ def settled(sure: Column, offered: Column) -> Column:
     return F.least(F.greatest(sure + F.when(offered, 0).otherwise(-4), F.lit(0)), F.lit(100))
 
 
-def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None, carry: tuple[str, ...] = (), settle: bool = True) -> DataFrame:
-    """bom_id, source_row, part_id, kind, confidence for every line; lines: keyed lines, parts: with mpn_key and root_key.
-    carry: columns of the lines that come along.
+ASK = ["mpn", "manufacturer", "package"]
+
+
+def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """bom_id, source_row, part_id, kind, confidence for every line; lines: with mpn, manufacturer and package, parts: with
+    mpn_key and root_key. carry: columns of the lines that come along.
+
+    Lines that ask the same get keys and are matched once, and meet the outcome in one join.
+    """
+    given = lines.select("bom_id", "source_row", *[F.col(c).alias(f"ask_{i}") for i, c in enumerate(ASK)], *[F.col(c).alias(f"own_{c}") for c in carry])
+    asks = lines.select(*ASK).distinct().withColumns({"mpn_key": T.normalize_mpn(F.col("mpn")), "root_key": T.normalize_mpn(T.mpn_root(F.col("mpn")))})
+    told = classify_each(asks, ASK, parts, offers)
+    got = given.join(told, F.expr(" and ".join(f"ask_{i} <=> {c}" for i, c in enumerate(ASK))), "left")
+    return got.select("bom_id", "source_row", "part_id", "kind", "confidence", *[F.col(f"own_{c}").alias(c) for c in carry])
+
+
+def classify_each(lines: DataFrame, keys: list[str], parts: DataFrame, offers: DataFrame | None = None, carry: tuple[str, ...] = (), settle: bool = True) -> DataFrame:
+    """keys, part_id, kind, confidence for every row of lines (mpn_key, root_key, manufacturer, package), which has keys of its own.
 
     Each line asks for its key and for its root in one join, and of the parts that it meets the one of the better tier,
     then of the smaller id counts. Makers that agree add 4 where they weren't asked for, a conflict takes 28, a missing one
     2; footprints that agree add 6 and take 13 if they differ; a part that nobody offers loses 4. With settle=False that is
     left to `settled`, for those who get to know the offers later.
     """
-    line = with_maker_key(lines, "maker").select("bom_id", "source_row", "maker", U.normalize_package(F.col("package")).alias("package_key"), F.struct(*carry) if carry else F.lit(0), "mpn_key", "root_key")
-    line = line.toDF("bom_id", "source_row", "maker", "package_key", "carried", "mpn_key", "root_key")
+    own = [f"key_{i}" for i in range(len(keys))]
+    line = with_maker_key(lines, "maker").select(*keys, "maker", U.normalize_package(F.col("package")).alias("package_key"), F.struct(*carry) if carry else F.lit(0), "mpn_key", "root_key")
+    line = line.toDF(*own, "maker", "package_key", "carried", "mpn_key", "root_key")
     asks = F.array(F.struct(F.lit(0).alias("by"), F.nullif("mpn_key", F.lit("")).alias("key")), F.struct(F.lit(2).alias("by"), F.when(F.length("root_key") >= 5, F.col("root_key")).alias("key")))
-    line = line.select("bom_id", "source_row", "maker", "package_key", "carried", F.inline(asks))
+    line = line.select(*own, "maker", "package_key", "carried", F.inline(asks))
     has = F.array(F.struct(F.lit(0).alias("by"), F.col("p_key").alias("key")), F.struct(F.lit(2).alias("by"), F.col("p_root").alias("key")))
     part = keyed_parts(parts, offers).select("part_id", "p_maker", "p_package", "offered", F.inline(has))
     met = line.join(part, ["by", "key"], "left")
@@ -49,9 +66,9 @@ def classify(lines: DataFrame, parts: DataFrame, offers: DataFrame | None = None
     sure = base + maker + package
     scored = met.withColumn("tier", tier).withColumn("confidence", settled(sure, F.col("offered")) if settle else sure)
     known = F.col("part_id").isNotNull()
-    best = scored.groupBy("bom_id", "source_row").agg(F.min_by(F.when(known, F.struct("part_id", "tier", "confidence")), F.when(known, F.struct("tier", "part_id"))).alias("b"), F.first("carried").alias("carried"))
+    best = scored.groupBy(*own).agg(F.min_by(F.when(known, F.struct("part_id", "tier", "confidence")), F.when(known, F.struct("tier", "part_id"))).alias("b"), F.first("carried").alias("carried"))
     kind = F.when(F.col("b.tier") == 0, "exact_with_maker").when(F.col("b.tier") == 1, "exact").when(F.col("b.tier") == 2, "root").otherwise("none")
-    return best.select("bom_id", "source_row", F.col("b.part_id").alias("part_id"), kind.alias("kind"), F.coalesce("b.confidence", F.lit(0)).alias("confidence"), *[F.col(f"carried.{c}").alias(c) for c in carry])
+    return best.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.col("b.part_id").alias("part_id"), kind.alias("kind"), F.coalesce("b.confidence", F.lit(0)).alias("confidence"), *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
 def summary(matches: DataFrame, review: int = C.REVIEW_CONFIDENCE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,9 +64,9 @@ def score_lines(lines: DataFrame) -> DataFrame:
     return out.withColumn("raw_score", score).withColumns({"score": tenth(F.col("raw_score")), "level": risk_level(F.col("raw_score"))}).drop("raw_score")
 
 
-def long_factors(scored: DataFrame) -> DataFrame:
-    """bom_id, source_row, code, score, weight: a row a factor."""
-    return scored.select("bom_id", "source_row", F.inline(F.array(*[F.struct(F.lit(k).alias("code"), F.col(f"f_{k}").alias("factor_score"), F.lit(w).alias("weight")) for k, w in C.WEIGHTS.items()])))
+def long_factors(scored: DataFrame, keys: Sequence[str] = ("bom_id", "source_row")) -> DataFrame:
+    """keys, code, score, weight: a row a factor."""
+    return scored.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("code"), F.col(f"f_{k}").alias("factor_score"), F.lit(w).alias("weight")) for k, w in C.WEIGHTS.items()])))
 
 
 def flags() -> Column:

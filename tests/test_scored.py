@@ -1,6 +1,8 @@
 import os
 
+import pytest
 from partloom.operators import catalogue, cost, lines
+from partloom.plans.queries import QUERIES
 from partloom.sources.views import PRICE_STEPS, TABLES, VIEWS, frames, needed
 from pyspark.sql import functions as F
 
@@ -53,3 +55,19 @@ def test_best_of_equals_best_option(spark, sf):
     got = wanted.join(cost.gathered_offers(v["v_priced_offer"]), "part_id", "left").withColumn("b", best).where("b is not null")
     fields = ["supp_id", "order_qty", "unit_micro", "extended_micro", "covers", "overbuy", "low", "high", "options"]
     assert _rows(got.select("part_id", "required", *[f"b.{f}" for f in fields])) == _rows(want.select("part_id", "required", *fields))
+
+
+@pytest.mark.parametrize("name, most", [("line_risk", 9), ("analysis_summary", 8), ("line_cost", 9), ("line_match", 12)])
+def test_rows_shuffled_for_a_line(spark, sf, name, most):
+    """Lines cross the network a few times, and neither their options nor their tiers do: rows written to shuffles, in times of the lines."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    stages = lambda: list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), None)))
+    before = max((s.stageId() for s in stages()), default=-1)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > before) <= most * 6000
